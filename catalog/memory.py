@@ -175,8 +175,8 @@ def _(spark, d):
     sql("SELECT doc_key, page, block_no, source, target, frequency FROM contained", "contained"),
 )
 def _(spark, d):
-    """The same containment as if the glossary were too large to broadcast."""
-    found = h.contained_terms(s.whole_blocks(spark, d), terms(spark, d), broadcast_terms=0)
+    """The same containment as if the vocabulary matches were too large to broadcast."""
+    found = h.contained_terms(s.whole_blocks(spark, d), terms(spark, d), broadcast_rows=-1)
     return found.drop("first_seen")
 
 
