@@ -2,37 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tmloom.functions.text import ColumnOrName, as_col
 
 
-def sequence_ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+_REMEMBERED = 200_000  # pairs a task keeps before it starts afresh
 
 
-@F.pandas_udf("double")
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    matcher, seen, out = SequenceMatcher(None), None, []
-    for x, y in zip(a, b):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        if y != seen:  # the matcher indexes its second string once
-            matcher.set_seq2(y)
-            seen = y
-        matcher.set_seq1(x)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
+@F.pandas_udf(DoubleType())
+def _ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Repeated pairs of a task are compared once; a run of equal second texts
+    is indexed once."""
+    matcher, indexed, known = SequenceMatcher(None), None, {}
+    for a, b in batches:
+        out = []
+        if len(known) > _REMEMBERED:
+            known = {}
+        for pair in zip(a, b):
+            if pair not in known:
+                x, y = pair
+                if x is None or y is None:
+                    known[pair] = None
+                else:
+                    if y != indexed:
+                        matcher.set_seq2(y)
+                        indexed = y
+                    matcher.set_seq1(x)
+                    known[pair] = matcher.ratio()
+            out.append(known[pair])
+        yield pd.Series(out, dtype="float64")
+
+
+# A filter on the ratio would otherwise be copied below the joins and groupings
+# that shrink its input, and the ratio computed twice.
+_pinned_ratios = _ratios.asNondeterministic()
 
 
 def similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Matching-block ratio 2M/T; the order of the two arguments matters."""
-    return _ratios(as_col(a), as_col(b))
+    return _pinned_ratios(as_col(a), as_col(b))
 
 
 def similarity_bound(a: ColumnOrName, b: ColumnOrName) -> Column:

@@ -144,14 +144,16 @@ def candidate_pairs(lines: DataFrame, recent: DataFrame) -> DataFrame:
     """(batch, text, hist_source, at, hist_target): the first meeting of each pair.
 
     ``at`` = (line, token, posting) position.  Rows of a batch are brought
-    together once; the steps after it keep that placement.
+    together once; the steps after it keep that placement.  The number of tasks
+    is given, because small rows are costly ones here: each is compared in Python.
     """
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = lines.join(
         recent.select("batch", "token", "ord", F.col("src").alias("hist_source"), F.col("tgt").alias("hist_target")),
         ["batch", "token"],
     )
     return (
-        met.repartition("batch")
+        met.repartition(tasks, "batch")
         .groupBy("batch", "text", "hist_source")
         .agg(
             F.min_by(

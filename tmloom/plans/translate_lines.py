@@ -13,6 +13,7 @@ from tmloom.operators import batches as b
 from tmloom.operators import fuzzy
 from tmloom.operators import progress as p
 from tmloom.operators.prompts import line_requests
+from tmloom.operators.scale import materialize
 from tmloom.plans.parameters import LineParameters
 
 
@@ -34,7 +35,8 @@ def plan_requests(
     todo = p.pending(lines, progress, params.failure_mark)
     if params.dedupe:
         todo = todo.groupBy("src").agg(F.min("row_id").alias("row_id"))
-    batched = b.assign_batches(todo, params.batch_size)
+    # ranked once: retrieval and packing read it several times
+    batched = materialize(b.assign_batches(todo, params.batch_size), "batched")
     hints = fuzzy.retrieve_hints(
         batched,
         p.valid_history(progress, params.failure_mark),
