@@ -274,8 +274,8 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    pairs = r.parse_terms(r.parse_json_body("body"))
-    return s.bodies(spark, d).select("doc_id", F.inline(pairs))
+    payloads = s.bodies(spark, d).select("doc_id", r.parse_json_body("body").alias("payload"))
+    return payloads.select("doc_id", F.inline(r.parse_terms(F.col("payload"))))
 
 
 @register(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tmloom.functions import fixed_values as fv
 from tmloom.functions import text as t
+from tmloom.operators.scale import spread
 
 MARK = fv.FAILURE_MARK
 LATER = 1 << 40
@@ -26,8 +27,13 @@ def strip_sql(x: str) -> str:
     return f"trim({x}, {WS_CHARS})"
 
 
+_TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; text tables in too few splits are dealt to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, *_TEXT_KEYS[name]) if name in _TEXT_KEYS else df
 
 
 # --- lines and progress ------------------------------------------------------
@@ -118,7 +124,11 @@ def term_pairs(words: Column, lang: Column) -> Column:
 
 def results(spark: SparkSession, d: str, by_lang: bool = False) -> DataFrame:
     """Documents as translated blocks; labels decide which of them failed."""
-    joined = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    joined = (
+        table(spark, d, "documents")
+        .withColumn("words", long_words(F.col("text")))
+        .join(table(spark, d, "labels"), "doc_id", "left")
+    )
     ok = F.coalesce(F.col("quality") != 0, F.lit(True))
     doc = F.col("doc_id")
     page = (doc if by_lang else doc % 50 + 1).cast("int")
@@ -131,7 +141,7 @@ def results(spark: SparkSession, d: str, by_lang: bool = False) -> DataFrame:
         t.block_id(page, F.lit(1)).alias("block_id"),
         F.col("text").alias("source_text"),
         F.when(~ok, "").when(F.col("lang") == "en", F.col("text")).otherwise(han).alias("translation"),
-        term_pairs(long_words(F.col("text")), F.col("lang")).alias("term_pairs"),
+        term_pairs(F.col("words"), F.col("lang")).alias("term_pairs"),
         F.when(ok, 1 + doc % 3).otherwise(4).cast("int").alias("attempts"),
         (F.col("n_chars") * 0.00125).alias("elapsed_seconds"),
         F.when(ok, "ok").otherwise("failed").alias("status"),
@@ -156,15 +166,21 @@ def memory(spark: SparkSession, d: str) -> DataFrame:
         F.struct(*fields).alias("result"),
         "toxic",
     )
-    again = entry.where(F.col("toxic") == 1).withColumns(
-        {
-            "seq": F.col("seq") + LATER,
-            "result": F.col("result").withField(
-                "translation", F.concat(F.lit("again "), F.col("result.translation"))
-            ),
-        }
+    runs = F.when(F.col("toxic") == 1, F.array(F.lit(False), F.lit(True))).otherwise(
+        F.array(F.lit(False))
+    )
+    translation = F.col("result.translation")
+    return entry.withColumn("again", F.explode(runs)).select(
+        F.when(F.col("again"), F.col("seq") + LATER).otherwise(F.col("seq")).alias("seq"),
+        "doc_key",
+        "source_hash",
+        F.col("result")
+        .withField(
+            "translation",
+            F.when(F.col("again"), F.concat(F.lit("again "), translation)).otherwise(translation),
+        )
+        .alias("result"),
     )
-    return entry.unionByName(again).drop("toxic")
 
 
 def whole_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -205,14 +221,19 @@ def json_text(c: Column) -> Column:
 
 def bodies(spark: SparkSession, d: str) -> DataFrame:
     """Model answers: plain, fenced, wrapped in prose or cut off, by language."""
-    text = json_text(F.col("text"))
-    word = F.coalesce(F.get(long_words(F.col("text")), F.lit(0)), F.lit(""))
+    text, word = F.col("escaped"), F.col("word")
     inner = F.concat(
         F.lit('{"translation":" '), text, F.lit(' ","terms":[{"source":" '), word,
         F.lit(' ","target":"'), F.upper(word), F.lit('"},7,{"source":"","target":"x"},{"source":"y"}]}'),
     )
     lang = F.col("lang")
-    return table(spark, d, "documents").select(
+    prepared = table(spark, d, "documents").select(
+        "doc_id",
+        "lang",
+        json_text(F.col("text")).alias("escaped"),
+        F.coalesce(F.get(long_words(F.col("text")), F.lit(0)), F.lit("")).alias("word"),
+    )
+    return prepared.select(
         "doc_id",
         F.when(lang == "en", inner)
         .when(lang == "fr", F.concat(F.lit("```json\n"), inner, F.lit("\n```\n")))

@@ -37,11 +37,19 @@ def strip(c: ColumnOrName) -> Column:
 
 
 def normalize_whitespace(c: ColumnOrName) -> Column:
-    """Soft hyphens out, hyphenated line ends joined, blanks and blank lines squeezed."""
+    """Soft hyphens out, hyphenated line ends joined, blanks and blank lines squeezed.
+
+    Patterns are written to match only where something changes: single blanks
+    are left alone, and words are searched for broken ends only in texts that
+    have a hyphen before a line feed.
+    """
     c = F.replace(as_col(c), F.lit("\u00ad"), F.lit(""))
-    c = F.regexp_replace(c, rf"([{WORD}])-[{WS}]*\n[{WS}]*([{WORD}])", "$1$2")
-    c = F.translate(c, "\r", "\n")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
+    broken = rf"-[{WS}]*\n"
+    c = F.when(
+        c.rlike(broken), F.regexp_replace(c, rf"([{WORD}]){broken}[{WS}]*([{WORD}])", "$1$2")
+    ).otherwise(c)
+    c = F.replace(c, F.lit("\r"), F.lit("\n"))
+    c = F.regexp_replace(c, r"[ \t]{2,}|\t", " ")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return strip(c)
 
@@ -96,8 +104,9 @@ def clean_page(c: ColumnOrName) -> Column:
 
 def split_sentences(c: ColumnOrName) -> Column:
     """Split after . ? ! ; : where whitespace and an opening character follow."""
-    compact = strip(F.translate(as_col(c), "\n", " "))
-    parts = F.split(compact, rf"(?<=[.?!;:])[{WS}]+(?=[A-Z0-9\"“‘(])")
+    compact = strip(F.replace(as_col(c), F.lit("\n"), F.lit(" ")))
+    # opens with the blank, then looks back: most positions fail at once
+    parts = F.split(compact, rf"[{WS}](?<=[.?!;:][{WS}])[{WS}]*(?=[A-Z0-9\"“‘(])")
     return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
@@ -158,7 +167,8 @@ def han_char_count(c: ColumnOrName) -> Column:
 
 
 def word_count(c: ColumnOrName) -> Column:
-    return F.regexp_count(as_col(c), F.lit(rf"[^{WS}]+"))
+    c = strip(c)
+    return F.when(c == "", 0).otherwise(F.size(F.split(c, rf"[{WS}]+")))
 
 
 def char_count(c: ColumnOrName) -> Column:

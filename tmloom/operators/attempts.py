@@ -189,13 +189,13 @@ def score_judge(answered: DataFrame) -> DataFrame:
 def block_judge(answered: DataFrame) -> DataFrame:
     """Accept answers that hold a JSON object with a translation."""
     ok_call = F.col("error_message").isNull()
-    payload = r.parse_json_body("body")
-    parsed = answered.withColumns(
+    payload = F.col("_payload")  # parsed once, read twice
+    parsed = answered.withColumn("_payload", r.parse_json_body("body")).withColumns(
         {
             "translation": F.when(ok_call, r.parse_translation(payload)),
             "term_pairs": F.when(ok_call, r.parse_terms(payload)),
         }
-    )
+    ).drop("_payload")
     return parsed.withColumns(
         {
             "accepted": F.col("translation").isNotNull(),

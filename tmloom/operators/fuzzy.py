@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,9 +29,10 @@ _HISTORY_ERA = -(1 << 62)  # prior history lies before batch 0
 
 def postings(history: DataFrame, segment: Segmenter = tokens) -> DataFrame:
     """(token, seq, tok_pos, src, tgt): one row per token occurrence."""
-    return history.select(
-        F.posexplode(segment(F.col("src"))).alias("tok_pos", "token"), "seq", "src", "tgt"
-    ).select("token", "seq", "tok_pos", "src", "tgt")
+    rows = history.select(
+        F.posexplode_outer(segment(F.col("src"))).alias("tok_pos", "token"), "seq", "src", "tgt"
+    )
+    return rows.where(F.col("token").isNotNull()).select("token", "seq", "tok_pos", "src", "tgt")
 
 
 def last_postings(posted: DataFrame, n: int = fv.POSTINGS_PER_TOKEN) -> DataFrame:
@@ -54,8 +56,8 @@ def line_tokens(batched: DataFrame, segment: Segmenter = tokens) -> DataFrame:
         "batch",
         F.col("pos").alias("line_pos"),
         F.col("src").alias("text"),
-        F.posexplode(distinct).alias("tok_pos", "token"),
-    )
+        F.posexplode_outer(distinct).alias("tok_pos", "token"),
+    ).where(F.col("token").isNotNull())
 
 
 def _recent(rows: DataFrame, *keys: str) -> DataFrame:
@@ -196,24 +198,34 @@ def rank_candidates(hits: DataFrame) -> DataFrame:
 
 
 def keep_distinct(sources: list[str], threshold: float, cap: int) -> list[int]:
-    """Indexes kept when each source is compared with those kept before it."""
+    """Indexes kept when each source is compared with those kept before it.
+
+    The ratio never exceeds what the shared letters of two texts allow.  That
+    bound is taken for all kept sources at once from letter counts; only pairs
+    above it are compared.
+    """
+    letters = {c: n for n, c in enumerate(sorted(set("".join(sources))))}
+    counts = np.zeros((len(sources), len(letters)), dtype=np.int32)
+    for row, source in zip(counts, sources):
+        for c in source:
+            row[letters[c]] += 1
+    lengths = counts.sum(axis=1)
     kept: list[int] = []
-    matchers: list[SequenceMatcher] = []  # each indexes one kept source, once
+    matchers: dict[int, SequenceMatcher] = {}  # each indexes one kept source, once
     for i, source in enumerate(sources):
         if len(kept) >= cap:
             break
-        for matcher in matchers:
-            matcher.set_seq1(source)
-            # both quick ratios are upper bounds of the ratio
-            if (
-                matcher.real_quick_ratio() > threshold
-                and matcher.quick_ratio() > threshold
-                and matcher.ratio() > threshold
-            ):
+        shared = np.minimum(counts[kept], counts[i]).sum(axis=1)
+        bound = 2.0 * shared / np.maximum(lengths[kept] + lengths[i], 1)
+        for at in np.flatnonzero((bound > threshold) | (lengths[kept] + lengths[i] == 0)):
+            j = kept[at]
+            if j not in matchers:
+                matchers[j] = SequenceMatcher(None, "", sources[j])
+            matchers[j].set_seq1(source)
+            if matchers[j].ratio() > threshold:
                 break
         else:
             kept.append(i)
-            matchers.append(SequenceMatcher(None, "", source))
     return kept
 
 

@@ -42,6 +42,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores to all of them.
+
+    For costly work per row on a small or badly split input.  A scan with
+    enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, *keys)
+
+
 def global_rank(
     df: DataFrame,
     id_col: str,

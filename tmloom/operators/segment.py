@@ -17,11 +17,13 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 
 def blocks_of(chosen: DataFrame, max_chars: int = fv.CHUNK_MAX_CHARS) -> DataFrame:
     """Blocks of pages that went through ``pages_with_fallback`` already."""
+    # The outer form of explode: the plain form would add a filter on the array's
+    # size, and with it a second evaluation of the whole chunking expression.
     parts = F.transform(F.split("text", "\n\n"), t.strip)
     units = F.flatten(F.transform(parts, lambda p: t.chunk_text(p, max_chars)))
     return (
         chosen.where(F.col("text").isNotNull())
-        .select("doc_key", "page", "backend", F.posexplode(units).alias("pos", "unit"))
+        .select("doc_key", "page", "backend", F.posexplode_outer(units).alias("pos", "unit"))
         .withColumn("source_text", t.strip("unit"))
         .where(F.col("source_text") != "")
         .select(
