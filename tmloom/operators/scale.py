@@ -13,26 +13,34 @@ CHUNK_BITS = 16  # rows ranked by one window group
 ROWS_PER_TASK = 1_000_000  # a join key above this is split over several tasks
 HOT_KEYS = 1024  # split at most this many keys: a broadcast of 16 KiB
 _SAMPLE = 64
+_OWNED: set[str] = set()
 
 
 def durable_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables.
+    """The run's own folder for written intermediate tables.
 
-    Clusters name it in ``spark.checkpoint.dir``.  A folder of our own is made
-    only on a local master, where driver and tasks share one disk.
+    Clusters name the shared parent in ``spark.checkpoint.dir``.  A parent of
+    our own is made only on a local master where none is named.  Each
+    application owns one subfolder, which goes when the application ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    own = tempfile.mkdtemp(prefix="tmloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        named = tempfile.mkdtemp(prefix="tmloom-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    folder = f"{named.rstrip('/')}/tmloom-{spark.sparkContext.applicationId}"
+    if folder not in _OWNED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWNED.add(folder)
+    return folder
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+    """Write ``df`` once to the run's folder and read it back.
 
     Used where a second evaluation would cost a model call or could differ.
     """
