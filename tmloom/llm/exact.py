@@ -130,9 +130,12 @@ def exact_groups(
     """
     rows, identities = name_documents(docs, text_col, block_chars)
     groups = materialize(rows.select(_ROW, id_col).join(identities, _ROW), "groups")
-    best = groups.groupBy("_level", "_name").agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.max(F.struct(F.col(id_col).alias("id"), F.col(_ROW).alias("row"))).alias("_best"),
+    best = materialize(
+        groups.groupBy("_level", "_name").agg(
+            F.count(F.lit(1)).alias("group_size"),
+            F.max(F.struct(F.col(id_col).alias("id"), F.col(_ROW).alias("row"))).alias("_best"),
+        ),
+        "best",
     )
     placed = groups.select(_ROW, "_level", "_name").join(best, ["_level", "_name"])
     return (

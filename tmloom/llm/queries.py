@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tmloom.llm.exact import exact_groups
 from tmloom.llm.mix import mix
+from tmloom.llm.pieces import encode
+from tmloom.llm.simhash import near_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +28,13 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return bind
 
 
+def tokenizer_path() -> str:
+    """The model file that the queries encode with; the operator takes any."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -111,3 +120,22 @@ FROM placed p JOIN sel ON sel.source_no = p.source_no AND sel.shard = p.shard"""
 def op7(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op3_simhash_near_dedup")
+def op3(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return near_groups(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+@register("op6_sentencepiece")
+def op6(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return encode(docs, tokenizer_path()).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
