@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tmloom.llm.exact import exact_groups
+from tmloom.llm.folds import fold
+from tmloom.llm.language import identify
 from tmloom.llm.mix import mix
 from tmloom.llm.pieces import encode
+from tmloom.llm.quality import score_quality
 from tmloom.llm.simhash import near_groups
+from tmloom.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -139,3 +143,33 @@ def op6(spark, d):
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+@register("op5_toxicity")
+def op5(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    labels = table(spark, d, "labels").select("doc_id", "toxic")
+    train = docs.where(fold("doc_id", 5) != 0).join(labels, "doc_id")
+    return score_toxicity(docs, train).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@register("op10_language_id")
+def op10(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return identify(docs, docs.where(fold("doc_id", 3) != 1)).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@register("op8_quality")
+def op8(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    train = docs.where(fold("doc_id", 4) != 2).join(labels, "doc_id")
+    return score_quality(docs, train).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
