@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmloom.llm.folds import bounded_sample
+from tmloom.llm.texts import map_texts
 
 SAMPLE_ROWS = 2000  # labelled rows of each language, at most
 BUCKETS = 1 << 17
@@ -20,7 +22,6 @@ SMOOTHING = 0.5
 SWITCH = 8.0
 SCRIPT_SHARE = 0.01  # of a language's letters, for a script to make it a candidate
 CACHE_WORDS = 300_000
-SLICE_CHARS = 4_000_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 # First code points of ranges, and the script from there on.
@@ -239,36 +240,26 @@ def identify(
     model = fit(sample, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames):
+    def prepare():
         model, cache, table = shared.value, {}, []
-        for frame in frames:
-            texts, at, parts = frame[text_col].tolist(), 0, []
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars < SLICE_CHARS):
-                    chars += len(texts[end] or "")
-                    end += 1
-                names, scores, spans = [UNDETERMINED] * (end - at), np.zeros(end - at), [[]] * (end - at)
-                if model is not None:
-                    spans, letters = label_texts(model, texts[at:end], cache, table, switch)
-                    total = letters.sum(axis=1)
-                    best = letters.argmax(axis=1)
-                    names = [
-                        model.languages[b] if n else UNDETERMINED
-                        for b, n in zip(best.tolist(), total.tolist(), strict=True)
-                    ]
-                    scores = letters.max(axis=1) / np.maximum(total, 1)
-                parts.append(pd.DataFrame({
-                    id_col: frame[id_col].iloc[at:end].to_numpy(), "lang_pred": names,
-                    "score": scores, "spans": spans,
-                }))
-                at = end
-            if parts:
-                yield pd.concat(parts)
-
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInPandas(
-        run,
-        f"`{id_col}` {kind}, lang_pred string, score double, "
-        "spans array<struct<lang string, words long, letters long>>",
+
+        def work(texts):
+            names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            spans: list = [[] for _ in texts]
+            if model is not None:
+                spans, letters = label_texts(model, texts, cache, table, switch)
+                total = letters.sum(axis=1)
+                scores = letters.max(axis=1) / np.maximum(total, 1)
+                names = [
+                    model.languages[b] if n else UNDETERMINED
+                    for b, n in zip(letters.argmax(axis=1).tolist(), total.tolist(), strict=True)
+                ]
+            kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64()), ("letters", pa.int64())]))
+            return [pa.array(names, pa.string()), pa.array(scores), pa.array(spans, kind)]
+
+        return work
+
+    return map_texts(
+        docs, [id_col], text_col, prepare,
+        "lang_pred string, score double, spans array<struct<lang string, words long, letters long>>",
     )

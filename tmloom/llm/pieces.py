@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tmloom.llm.texts import map_texts
 
 SPACE = "▁"
 CACHE_UNITS = 200_000
@@ -218,29 +219,16 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Pieces.load(model))
 
-    def run(batches):
+    def prepare():
         pieces, cache = shared.value, {}
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars < SLICE_CHARS):
-                    chars += len(texts[end] or "")
-                    end += 1
-                found = encode_texts(pieces, [t or "" for t in texts[at:end]], cache)
-                lists = [np.frombuffer(x, "<i4") for x in found]
-                offsets = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
-                ids = pa.ListArray.from_arrays(
-                    pa.array(offsets), pa.array(np.concatenate(lists), pa.int32())
-                )
-                decoded = pa.array([decode_ids(pieces, x.tolist()) for x in lists], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), ids, decoded], [id_col, "ids", "decoded"]
-                )
-                at = end
-
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(
-        run, f"`{id_col}` {kind}, ids array<int>, decoded string"
-    )
+
+        def work(texts):
+            found = encode_texts(pieces, [t or "" for t in texts], cache)
+            lists = [np.frombuffer(x, "<i4") for x in found]
+            offsets = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists), pa.int32()))
+            return [ids, pa.array([decode_ids(pieces, x.tolist()) for x in lists], pa.string())]
+
+        return work
+
+    return map_texts(docs, [id_col], text_col, prepare, "ids array<int>, decoded string", SLICE_CHARS)

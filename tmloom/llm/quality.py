@@ -6,16 +6,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmloom.llm.folds import bounded_sample
+from tmloom.llm.texts import map_texts
 
 SAMPLE_ROWS = 1500  # labelled documents of each class that the field is fitted on, at most
 SAMPLE_LINES = 64  # lines of a training document used at most, evenly spread; scoring uses all
 ROUNDS = 250
 RIDGE = 1e-3
-SLICE_CHARS = 4_000_000
 
 _KINDS = ("upper", "lower", "digit", "space", "stop", "mark", "symbol", "other")
 _CLASS = np.full(256, _KINDS.index("other"), np.uint8)
@@ -232,29 +233,17 @@ def score_quality(
         )
     shared = spark.sparkContext.broadcast((field, share))
 
-    def run(frames):
+    def prepare():
         field, share = shared.value
-        for frame in frames:
-            texts, at = frame[text_col].tolist(), 0
-            out = np.zeros((len(texts), 3))
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars < SLICE_CHARS):
-                    chars += len(texts[end] or "")
-                    end += 1
-                features, size, counts = line_features(texts[at:end])
-                good = field.line_goodness(features, counts) if field else np.full(len(size), share)
-                first = np.cumsum(counts) - counts
-                out[at:end, 0] = np.add.reduceat(good * (size + 1), first) / np.add.reduceat(size + 1, first)
-                out[at:end, 1] = counts
-                out[at:end, 2] = np.add.reduceat((good > 0.5) * 1, first)
-                at = end
-            yield pd.DataFrame({
-                id_col: frame[id_col], "score": np.clip(out[:, 0], 0, 1),
-                "lines": out[:, 1].astype(int), "good_lines": out[:, 2].astype(int),
-            })
-
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInPandas(
-        run, f"`{id_col}` {kind}, score double, lines long, good_lines long"
-    )
+
+        def work(texts):
+            features, size, counts = line_features(texts)
+            good = field.line_goodness(features, counts) if field else np.full(len(size), share)
+            first = np.cumsum(counts) - counts
+            score = np.add.reduceat(good * (size + 1), first) / np.add.reduceat(size + 1, first)
+            fine = np.add.reduceat((good > 0.5).astype(np.int64), first)
+            return [*map(pa.array, (np.clip(score, 0, 1), counts, fine))]
+
+        return work
+
+    return map_texts(docs, [id_col], text_col, prepare, "score double, lines long, good_lines long")

@@ -9,12 +9,21 @@ from pyspark.sql import functions as F
 
 from tmloom.llm.exact import exact_groups
 from tmloom.llm.folds import fold
+from tmloom.llm.html import main_text
 from tmloom.llm.language import identify
 from tmloom.llm.mix import mix
 from tmloom.llm.pieces import encode
 from tmloom.llm.quality import score_quality
 from tmloom.llm.simhash import near_groups
 from tmloom.llm.toxicity import score_toxicity
+from tmloom.llm.urls import (
+    BLOCKED_WORDS,
+    DEFAULT_VERDICT,
+    filter_urls,
+    rules_table,
+    site_rule,
+    word_rule,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -173,3 +182,53 @@ def op8(spark, d):
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+SITE_RULES = (
+    site_rule("org", "/", "allow"),
+    site_rule("example.org", "/es/", "block"),
+    site_rule("example.org", "/en/1", "block"),
+    site_rule("com", "/fr/", "allow"),
+    site_rule("com", "/de/", "block"),
+)
+_ALTERNATIVES = "|".join(BLOCKED_WORDS)
+
+
+@register(
+    "op4_url_filter",
+    rf"""
+WITH split AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+judged AS (
+  SELECT page_id, host, path,
+         (SELECT arg_max(h || p || '>' || v, length(h || p)) FROM rules
+          WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS won
+  FROM split)
+SELECT page_id, host, path, split_part(won, '>', 1) AS rule,
+       CASE WHEN won IS NOT NULL THEN split_part(won, '>', 2)
+            WHEN regexp_matches(host, '(^|[^a-z0-9])({_ALTERNATIVES})([^a-z0-9]|$)') THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM judged""",
+)
+def op4(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    rules = rules_table(spark, [*SITE_RULES, *map(word_rule, BLOCKED_WORDS)])
+    return filter_urls(pages, rules).select(
+        "page_id", "host", "path",
+        F.when(F.col("rank") > 0, F.col("rule")).alias("rule"),
+        F.coalesce("verdict", F.lit(DEFAULT_VERDICT)).alias("verdict"),
+    )
+
+
+@register("op9_html_extraction")
+def op9(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    return main_text(pages).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )

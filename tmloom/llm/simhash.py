@@ -7,11 +7,13 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmloom.llm.graph import components
+from tmloom.llm.texts import map_texts
 from tmloom.operators.scale import materialize
 
 SHINGLE_WORDS = 4
@@ -54,15 +56,14 @@ def fingerprints(
 ) -> DataFrame:
     """(``id_col``, ``fp``): the fingerprint's bits as a long.  Null texts have fingerprint 0."""
 
-    def run(frames):
-        for frame in frames:
-            bits = np.fromiter(
-                (fingerprint(t, words, seed) for t in frame[text_col]), np.uint64, len(frame)
-            )
-            yield pd.DataFrame({id_col: frame[id_col], "fp": bits.view(np.int64)})
+    def prepare():
+        def work(texts):
+            bits = np.fromiter((fingerprint(t, words, seed) for t in texts), np.uint64, len(texts))
+            return [pa.array(bits.view(np.int64))]
+
+        return work
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, fp long")
+    return map_texts(docs, [id_col], text_col, prepare, "fp long")
 
 
 def blocks(max_distance: int) -> list[int]:

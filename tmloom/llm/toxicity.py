@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmloom.llm.folds import bounded_sample
+from tmloom.llm.texts import map_texts
 from tmloom.operators.scale import materialize
 
 ORDER = 6
@@ -19,7 +21,6 @@ SAMPLE_ROWS = 6000  # labelled rows of each class that the models are fitted on,
 DISCOUNT = 0.75
 MARGIN = 4.0  # nats by which a word must favour class 1 to stand out
 CACHE_WORDS = 300_000
-SLICE_CHARS = 4_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -177,22 +178,16 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray):
 
 def ratios(models: SpellingModels, texts, cache: dict[str, float]) -> np.ndarray:
     """Of each text: sum of the words' log-likelihood differences, sum of their excess over MARGIN, words."""
+    found = [words_of(t) for t in texts]
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
+    new = list(set().union(*found).difference(cache))
+    if new:
+        cache.update(zip(new, models.word_values(new).tolist(), strict=True))
     out = np.zeros((len(texts), 3))
-    at = 0
-    while at < len(texts):
-        found, chars, start = [], 0, at
-        while at < len(texts) and (at == start or chars < SLICE_CHARS):
-            found.append(words_of(texts[at]))
-            chars += len(texts[at] or "")
-            at += 1
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list(set().union(*found).difference(cache))
-        if new:
-            cache.update(zip(new, models.word_values(new).tolist(), strict=True))
-        for k, words in enumerate(found, start):
-            values = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
-            out[k] = values.sum(), np.maximum(values - MARGIN, 0).sum(), len(words)
+    for k, words in enumerate(found):
+        values = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
+        out[k] = values.sum(), np.maximum(values - MARGIN, 0).sum(), len(words)
     return out
 
 
@@ -248,23 +243,19 @@ def score_toxicity(
 
 
 def _scored(docs, shared, id_col, text_col, rest, weights) -> DataFrame:
-    def run(frames):
-        cache: dict[str, float] = {}
-        for frame in frames:
-            sums = ratios(shared.value, frame[text_col].tolist(), cache)
-            out = frame[[id_col, *rest]].copy()
-            if weights is not None:
-                logit = np.clip(_features(sums) @ weights, -40, 40)
-                out["score"] = 1 / (1 + np.exp(-logit))
-            out["log_ratio"], out["excess"], out["words"] = sums[:, 0], sums[:, 1], sums[:, 2].astype(int)
-            yield out
-
-    kinds = dict(docs.dtypes)
-    named = [f"`{c}` {kinds[c]}" for c in (id_col, *rest)]
-    scores = ["score double"] if weights is not None else []
-    return docs.select(id_col, text_col, *rest).mapInPandas(
-        run, ", ".join([*named, *scores, "log_ratio double", "excess double", "words long"])
-    )
+    def prepare():
+        models, cache = shared.value, {}
+
+        def work(texts):
+            sums = ratios(models, texts, cache)
+            logit = np.clip(_features(sums) @ (np.zeros(4) if weights is None else weights), -40, 40)
+            score = 1 / (1 + np.exp(-logit))
+            return [*map(pa.array, (score, sums[:, 0], sums[:, 1], sums[:, 2].astype(np.int64)))]
+
+        return work
+
+    fields = "score double, log_ratio double, excess double, words long"
+    return map_texts(docs, [id_col, *rest], text_col, prepare, fields)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
