@@ -12,6 +12,7 @@ from tmloom.llm.folds import fold
 from tmloom.llm.html import main_text
 from tmloom.llm.language import identify
 from tmloom.llm.mix import mix
+from tmloom.llm.neighbours import nearest
 from tmloom.llm.pieces import encode
 from tmloom.llm.quality import score_quality
 from tmloom.llm.simhash import near_groups
@@ -232,3 +233,9 @@ def op9(spark, d):
     return main_text(pages).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
     )
+
+
+@register("op2_nearest_neighbours")
+def op2(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
