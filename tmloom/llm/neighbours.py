@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from tmloom.operators.scale import materialize
 
-DEGREE = 24
-REVERSE = 16  # links into a node that join a round, by a new hash order each round
-TABLES = 4
-CHUNK = 320
+DEGREE = 40
+REVERSE = 40  # links into a node that join a round, by a new hash order each round
+TABLES = 8
+CHUNK = 500
+FIRST = 16  # neighbours of a node taken from one comparison of a run
 ROUNDS = 3
 BEAM = 48
-WIDTH = 6
-SEARCH_ROUNDS = 3
+WIDTH = 4
+SEARCH_ROUNDS = 2
 PLANES = 24
 _ROWS = 1 << 16
 
@@ -85,13 +86,14 @@ def _runs(batches, key: int) -> Iterator[pa.Table]:
 
 
 def _best(edges: DataFrame, degree: int) -> DataFrame:
-    """The ``degree`` most similar neighbours of each node; the limit is applied before the shuffle too."""
+    """The ``degree`` most similar neighbours of each node; a link known before is not new."""
     order = Window.partitionBy("node").orderBy(F.desc("sim"), "nbr")
-    distinct = edges.groupBy("node", "nbr").agg(F.max("sim").alias("sim"))
+    dealt = edges.repartition("node")  # one shuffle for both steps
+    distinct = dealt.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
     return distinct.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= degree).drop("_r")
 
 
-def first_graph(nodes: DataFrame, dtype: str, degree: int, tables: int, chunk: int, seed: int) -> DataFrame:
+def first_graph(nodes: DataFrame, dtype: str, tables: int, chunk: int, seed: int) -> DataFrame:
     """Neighbours among nodes on like sides of random planes.
 
     For each of ``tables`` sets of planes, nodes are range-partitioned by their
@@ -116,7 +118,7 @@ def first_graph(nodes: DataFrame, dtype: str, degree: int, tables: int, chunk: i
             ids = table.column(0).to_numpy()
             x = _matrix(table.column(1), dtype).astype(np.float32)
             for part in np.array_split(np.arange(len(ids)), max(1, round(len(ids) / chunk))):
-                k = min(degree, len(part) - 1)
+                k = min(FIRST, len(part) - 1)
                 if k < 1:
                     continue
                 sims = x[part] @ x[part].T
@@ -126,13 +128,13 @@ def first_graph(nodes: DataFrame, dtype: str, degree: int, tables: int, chunk: i
                 fine = np.isfinite(value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(ids[part], k).reshape(-1, k)[fine]), pa.array(ids[part][top][fine]),
-                     pa.array(value[fine].astype(float))],
-                    ["node", "nbr", "sim"],
+                     pa.array(value[fine].astype(float)), pa.array(np.ones(fine.sum(), bool))],
+                    ["node", "nbr", "sim", "new"],
                 )
 
     coded = nodes.mapInArrow(sides, "t int, code long, node long, vec binary")
     dealt = coded.repartitionByRange("t", "code", "node").sortWithinPartitions("t", "code", "node")
-    return dealt.select("node", "vec").mapInArrow(compare, "node long, nbr long, sim double")
+    return dealt.select("node", "vec").mapInArrow(compare, "node long, nbr long, sim double, new boolean")
 
 
 def _small(nodes: DataFrame, dtype: str) -> DataFrame:
@@ -160,43 +162,51 @@ def _unpack(column) -> np.ndarray:
 def descend(edges: DataFrame, small: DataFrame, degree: int, reverse: int, turn: int) -> DataFrame:
     """One round of NN-descent: neighbours of a node, out and in, are offered to each other.
 
-    An offer is kept if it beats the worst neighbour a node has.
+    Pairs that were both there the round before have met already and are left
+    out.  An offer is kept if it beats the worst neighbour a node has.
     """
     back = Window.partitionBy("mid").orderBy(F.xxhash64(F.lit(turn), "mid", "node"))
     into = (
-        edges.select(F.col("nbr").alias("mid"), "node")
+        edges.select(F.col("nbr").alias("mid"), "node", "new")
         .withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= reverse).drop("_r")
     )
-    meet = edges.select(F.col("node").alias("mid"), F.col("nbr").alias("node")).unionByName(into).distinct()
+    out = edges.select(F.col("node").alias("mid"), F.col("nbr").alias("node"), "new")
+    meet = out.unionByName(into).groupBy("mid", "node").agg(F.max("new").alias("new"))
     worst = edges.groupBy("node").agg(
         F.when(F.count(F.lit(1)) >= degree, F.min("sim")).otherwise(float("-inf")).alias("worst")
     )
     offered = (
         meet.join(small.join(worst, "node"), "node")
-        .repartition("mid").sortWithinPartitions("mid").select("mid", "node", "worst", "small")
+        .repartition("mid").sortWithinPartitions("mid").select("mid", "node", "worst", "new", "small")
     )
 
     def join(batches):
         for table in _runs(batches, 0):
             mid, ids, floor = (table.column(k).to_numpy() for k in range(3))
-            x = _unpack(table.column(3))
+            new, x = table.column(3).to_numpy(), _unpack(table.column(4))
             starts = np.append(np.flatnonzero(np.append(True, mid[1:] != mid[:-1])), len(mid))
             left, right, value = [], [], []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                fresh = new[a:b]
+                if not fresh.any():
+                    continue
                 sims = x[a:b] @ x[a:b].T
-                i, j = np.nonzero(sims > floor[a:b, None])
-                off = ids[a + i] != ids[a + j]
-                left.append(ids[a + i[off]])
-                right.append(ids[a + j[off]])
-                value.append(sims[i[off], j[off]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(left)), pa.array(np.concatenate(right)),
-                 pa.array(np.concatenate(value).astype(float))],
-                ["node", "nbr", "sim"],
-            )
+                better = (sims > floor[a:b, None]) & (fresh[:, None] | fresh)
+                np.fill_diagonal(better, False)
+                i, j = np.nonzero(better)
+                left.append(ids[a + i])
+                right.append(ids[a + j])
+                value.append(sims[i, j])
+            if left:
+                sims = np.concatenate(value).astype(float)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(left)), pa.array(np.concatenate(right)), pa.array(sims),
+                     pa.array(np.ones(len(sims), bool))],
+                    ["node", "nbr", "sim", "new"],
+                )
 
-    offers = offered.mapInArrow(join, "node long, nbr long, sim double")
-    return _best(edges.unionByName(offers), degree)
+    offers = offered.mapInArrow(join, "node long, nbr long, sim double, new boolean")
+    return _best(edges.withColumn("new", F.lit(False)).unionByName(offers), degree)
 
 
 def build_graph(
@@ -207,7 +217,7 @@ def build_graph(
     ``nodes`` holds (``node``, ``vec``) with distinct vectors.  A graph from
     random planes is bettered by ``rounds`` joins of neighbours of neighbours.
     """
-    edges = materialize(_best(first_graph(nodes, dtype, degree, tables, CHUNK, seed), degree), "graph")
+    edges = materialize(_best(first_graph(nodes, dtype, tables, CHUNK, seed), degree), "graph")
     small = materialize(_small(nodes, dtype), "small")
     for turn in range(rounds):
         edges = materialize(descend(edges, small, degree, REVERSE, turn), "graph")
