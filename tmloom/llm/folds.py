@@ -30,3 +30,19 @@ def bounded_sample(
             ).otherwise(share)
     chosen = df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(_BINS)) < share)
     return chosen, {c[0]: c["count"] for c in counts}
+
+
+def bounded_labels(labels: DataFrame, id_col: str, class_col: str, rows: int) -> tuple[DataFrame, dict]:
+    """At most ``rows`` ids of class 0 and of class 1, the first by a hash; and both classes' counts.
+
+    The result holds ``2 * rows`` small rows at most, so it may be broadcast.
+    """
+    known = labels.select(id_col, F.col(class_col).cast("int").alias(class_col)).where(
+        F.col(class_col).isin(0, 1)
+    )
+    counts = {c[0]: c["count"] for c in known.groupBy(class_col).count().collect()}
+    first = [
+        known.where(F.col(class_col) == k).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+        for k in (0, 1)
+    ]
+    return first[0].unionByName(first[1]), counts

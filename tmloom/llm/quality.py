@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmloom.llm.folds import bounded_sample
+from tmloom.llm.folds import bounded_labels
 from tmloom.llm.texts import map_texts
 
 SAMPLE_ROWS = 1500  # labelled documents of each class that the field is fitted on, at most
@@ -196,7 +196,7 @@ class LineField:
 
 def score_quality(
     docs: DataFrame,
-    labelled: DataFrame,
+    labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
@@ -205,14 +205,15 @@ def score_quality(
     """(``id_col``, ``score``, ``lines``, ``good_lines``) for every row of ``docs``.
 
     A linear-chain field over the lines is fitted on a bounded sample of
-    ``labelled``.  ``score`` is the mean of the lines' marginals of being good,
+    ``labels``.  ``score`` is the mean of the lines' marginals of being good,
     weighted by length in bytes plus one; ``good_lines`` counts those above a
     half.  Nulls count as the empty text, which is one empty line.  If the
     labels hold fewer than two classes, every score is the share of class 1
     (0.5 if there are none).
     """
     spark = docs.sparkSession
-    sample, counts = bounded_sample(labelled.where(F.col(label_col).isin(0, 1)), id_col, label_col, sample_rows)
+    chosen, counts = bounded_labels(labels, id_col, label_col, sample_rows)
+    sample = docs.join(F.broadcast(chosen), id_col)
 
     def read(frames):
         for frame in frames:

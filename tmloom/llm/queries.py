@@ -159,8 +159,7 @@ def op6(spark, d):
 def op5(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     labels = table(spark, d, "labels").select("doc_id", "toxic")
-    train = docs.where(fold("doc_id", 5) != 0).join(labels, "doc_id")
-    return score_toxicity(docs, train).select(
+    return score_toxicity(docs, labels.where(fold("doc_id", 5) != 0)).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
@@ -178,8 +177,7 @@ def op10(spark, d):
 def op8(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     labels = table(spark, d, "labels").select("doc_id", "quality")
-    train = docs.where(fold("doc_id", 4) != 2).join(labels, "doc_id")
-    return score_quality(docs, train).select(
+    return score_quality(docs, labels.where(fold("doc_id", 4) != 2)).select(
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
@@ -239,3 +237,10 @@ def op9(spark, d):
 def op2(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
     return nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
+@register("pipeline")
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmloom.llm.folds import bounded_sample
+from tmloom.llm.folds import bounded_labels
 from tmloom.llm.texts import map_texts
 from tmloom.operators.scale import materialize
 
@@ -199,7 +199,7 @@ def _features(sums: np.ndarray) -> np.ndarray:
 
 def score_toxicity(
     docs: DataFrame,
-    labelled: DataFrame,
+    labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -207,7 +207,7 @@ def score_toxicity(
 ) -> DataFrame:
     """(``id_col``, ``score``, ``log_ratio``, ``excess``, ``words``) for every row of ``docs``.
 
-    ``labelled`` holds (``id_col``, ``text_col``, ``label_col``).  Two spelling
+    ``labels`` holds (``id_col``, ``label_col``) of the rows to learn from.  Two spelling
     models are fitted on a bounded sample.  The length-normalised difference of
     their log-likelihoods becomes a probability by a logistic fit, on each half
     of the sample as the models of the other half see it.  Beside the mean over all words it sees the excess of single
@@ -216,7 +216,8 @@ def score_toxicity(
     without words get the fitted score of ratio 0.  With fewer than two classes every score is the share of class 1.
     """
     spark = docs.sparkSession
-    sample, _ = bounded_sample(labelled.where(F.col(label_col).isin(0, 1)), id_col, label_col, sample_rows)
+    chosen, _ = bounded_labels(labels, id_col, label_col, sample_rows)
+    sample = docs.join(F.broadcast(chosen), id_col)
     half = F.pmod(F.xxhash64(F.lit("half"), F.col(id_col)), F.lit(2))
     sample = materialize(sample.select(id_col, text_col, label_col, half.alias("_half")), "sample")
     grams = gram_counts(sample, text_col, label_col, "_half").collect()
