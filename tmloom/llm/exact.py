@@ -126,8 +126,10 @@ def exact_groups(
     Adds ``keep_id`` (largest id of the group), ``group_size``, ``kept`` (true
     for one row of each group, also where ids repeat or are null; null ids lose
     to all others) and ``text_sha256`` to the columns of ``docs`` without the
-    text.  An empty table gives an empty result.  Other columns pass through.
+    text.  An empty table gives an empty result.  Other columns pass through,
+    but for those named like a result.
     """
+    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
     rows, identities = name_documents(docs, text_col, block_chars)
     groups = materialize(rows.select(_ROW, id_col).join(identities, _ROW), "groups")
     best = materialize(
@@ -138,25 +140,27 @@ def exact_groups(
         "best",
     )
     placed = groups.select(_ROW, "_level", "_name").join(best, ["_level", "_name"])
-    return (
+    return materialize(
         rows.join(placed, _ROW)
         .withColumn("keep_id", F.col("_best.id"))
         .withColumn("kept", F.col("_best.row") == F.col(_ROW))
-        .drop(_ROW, "_level", "_name", "_best")
+        .drop(_ROW, "_level", "_name", "_best"),
+        "exact",
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts: the one with the largest id.
 
-    Rows are matched back by id and text hash; of rows equal in both, one stays.
+    Rows are found again by id and text hash.  Rows equal in both are one group,
+    of which one stays.
     """
-    stay = exact_groups(docs.select(id_col, text_col), id_col, text_col).where("kept")
+    groups = exact_groups(docs.select(id_col, text_col), id_col, text_col)
+    stay = groups.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_stay"))
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    stay = stay.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
     kept = docs.withColumn("_sha", sha).join(
-        stay.withColumnRenamed("_sha", "_stay"),
-        F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_stay")),
-        "left_semi",
+        stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_stay")), "left_semi"
     )
-    return kept.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    if not groups.groupBy(id_col, "text_sha256").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "_sha"])
+    return kept.drop("_sha")

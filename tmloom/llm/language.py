@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -225,8 +226,9 @@ def identify(
     lang_col: str = "lang",
     sample_rows: int = SAMPLE_ROWS,
     switch: float = SWITCH,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(``id_col``, ``lang_pred``, ``score``, ``spans``) for every row of ``docs``.
+    """(``id_col``, ``carry``, ``lang_pred``, ``score``, ``spans``) for every row of ``docs``.
 
     Learns from ``labelled`` rows with a language, at most about
     ``sample_rows`` of each.  ``spans`` lists the runs of words of one language
@@ -260,6 +262,6 @@ def identify(
         return work
 
     return map_texts(
-        docs, [id_col], text_col, prepare,
+        docs, [id_col, *carry], text_col, prepare,
         "lang_pred string, score double, spans array<struct<lang string, words long, letters long>>",
     )

@@ -201,3 +201,41 @@ def mix(
         F.col("_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
         "taken", "copies", "from_1", "to_1", "from_2", "to_2",
     )
+
+
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
+    """The rows of the mix, with the columns of ``docs``: each row as often as it is taken whole,
+    and the part of it that is taken once more, its words joined by spaces.
+
+    A row of which nothing is taken is left out.  Ids should be unique; where
+    they repeat, the rows of one id are told apart by their order of text.
+    """
+    rows = docs.select(
+        F.col(id_col).alias("_key"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"),
+        F.struct(*docs.columns).alias("_doc"),
+    )
+    if not rows.groupBy("_key").count().where("count > 1").isEmpty():
+        number = Window.partitionBy("_key").orderBy("_source", "_text")
+        nth = F.struct("_key", F.row_number().over(number).alias("nth"))
+        rows = materialize(rows.withColumn("_key", nth), "numbered")
+    taken = mix(rows, "_key", "_text", "_source", **options)
+    ranges = [
+        F.struct(F.col(f"from_{n}").alias("a"), F.col(f"to_{n}").alias("b")) for n in (1, 2)
+    ]
+    whole = F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b"))
+    parts = F.filter(
+        F.concat(F.array_repeat(whole, F.col("copies").cast("int")), F.array(*ranges)), lambda x: x["b"] > x["a"]
+    )
+    plan = taken.select(F.col("_key").alias("_taken"), "size", parts.alias("_parts")).where(F.size("_parts") > 0)
+    cut = rows.join(plan, F.col("_key").eqNullSafe(F.col("_taken"))).withColumn("_part", F.explode("_parts"))
+    length = F.col("_part.b") - F.col("_part.a")
+    words = F.slice(
+        F.regexp_extract_all("_text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)),
+        (F.col("_part.a") + 1).cast("int"), length.cast("int"),
+    )
+    doc = F.col("_doc").withField(text_col, F.array_join(words, " "))
+    if "n_chars" in docs.columns:
+        doc = doc.withField("n_chars", F.length(F.array_join(words, " ")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(F.when(length < F.col("size"), doc).otherwise(F.col("_doc")).alias("_doc")).select("_doc.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -210,8 +211,10 @@ def decode_ids(pieces: Pieces, ids: list[int]) -> str:
         return re.sub("[\udc80-\udcff]", "�", joined.decode(errors="surrogateescape"))
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, ``ids`` array<int>, ``decoded`` string): each whole text encoded, and decoded again.
+def encode(
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """(``id_col``, ``carry``, ``ids`` array<int>, ``decoded`` string): each whole text encoded, and decoded again.
 
     ``model`` is the path of the model file on the driver; its tables are
     broadcast (some MB, fixed by the model).  Null and empty texts have no ids.
@@ -231,4 +234,4 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
         return work
 
-    return map_texts(docs, [id_col], text_col, prepare, "ids array<int>, decoded string", SLICE_CHARS)
+    return map_texts(docs, [id_col, *carry], text_col, prepare, "ids array<int>, decoded string", SLICE_CHARS)

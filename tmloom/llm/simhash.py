@@ -243,9 +243,15 @@ def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE,
 ) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id (any one, if ids repeat)."""
-    groups = near_groups(docs, id_col, text_col, words, max_distance)
+    """``docs`` with one row of each group: the one with the smallest id.
+
+    Rows that share an id stay or go together, and one of them stays.
+    """
+    groups = materialize(near_groups(docs, id_col, text_col, words, max_distance), "near")
     stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
         F.col(id_col).alias("_id")
     ).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi").dropDuplicates([id_col])
+    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi")
+    if groups.groupBy(id_col).count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates([id_col])

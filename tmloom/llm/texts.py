@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE_CHARS = 4_000_000
 
@@ -26,8 +27,9 @@ def map_texts(
     gets texts of some ``slice_chars`` characters, a longer text alone.
     """
     keep = list(keep)
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], fields])
+    made_fields = StructType.fromDDL(fields).fields
+    schema = StructType([*[df.schema[c] for c in keep], *made_fields])
+    names = [*keep, *[f.name for f in made_fields]]
     wide = len(keep)
 
     def run(batches):
@@ -46,9 +48,4 @@ def map_texts(
                 at = end
 
     selected = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    names = [*keep, *_names(df, fields)]
     return selected.mapInArrow(run, schema)
-
-
-def _names(df: DataFrame, fields: str) -> list[str]:
-    return df.sparkSession.createDataFrame([], fields).columns

@@ -63,10 +63,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> Dat
     indexed by one of its tokens, and only those are run.  Rules without a
     token meet every address.  The highest rank wins, then the first rule by
     name.  Null urls and urls without ``://`` have an empty host and path.
+    Columns of ``pages`` named like a result give way to it.
 
     Addresses are judged once and joined back; a frequent token meets the few
     rules it indexes, and a frequent address is one row until the last join.
     """
+    pages = pages.drop("host", "path", "rule", "verdict", "rank")
     marked = pages.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
     places = marked.select("host", "path").distinct()
     words = F.regexp_extract_all(F.lower(F.concat("host", "path")), F.lit("[a-z0-9]+"), F.lit(0))
