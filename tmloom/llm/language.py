@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,10 +102,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     driver.  Rows without language are left out; None if no row is left.
     """
 
-    def run(frames):
+    def run(batches):
         words: dict[str, Counter] = defaultdict(Counter)
-        for frame in frames:
-            for text, lang in zip(frame[text_col], frame[lang_col], strict=True):
+        for batch in batches:
+            for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words[lang].update(words_of(text))
         for lang, counted in words.items():
             if not counted:
@@ -116,16 +115,17 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             sums = np.bincount(bucket, np.repeat(times, counts), BUCKETS)
             scripts = np.bincount(script, times, len(_NAMES))
             used, kinds = np.flatnonzero(sums), np.flatnonzero(scripts)
-            yield pd.DataFrame({
-                "lang": lang,
-                "slot": np.concatenate([used, -1 - kinds]),
-                "n": np.concatenate([sums[used], scripts[kinds]]),
-            })
+            slots = np.concatenate([used, -1 - kinds])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(slots), pa.string()), pa.array(slots),
+                 pa.array(np.concatenate([sums[used], scripts[kinds]]))],
+                ["lang", "slot", "n"],
+            )
 
     rows = (
         labelled.where(F.col(lang_col).isNotNull())
         .select(text_col, lang_col)
-        .mapInPandas(run, "lang string, slot long, n double")
+        .mapInArrow(run, "lang string, slot long, n double")
         .groupBy("lang", "slot")
         .agg(F.sum("n").alias("n"))
         .toPandas()

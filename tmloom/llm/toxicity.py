@@ -45,23 +45,24 @@ def gram_counts(
     """
     names = ["c0", "c1", "c2", "c3"]
 
-    def run(frames):
+    def run(batches):
         words = [Counter() for _ in names]
-        for frame in frames:
-            for text, label, half in zip(*(frame[c] for c in (text_col, class_col, half_col)), strict=True):
+        for batch in batches:
+            for text, label, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words[int(label) + 2 * int(half)].update(words_of(text))
         grams: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
         for slot, counted in enumerate(words):
             for word, n in counted.items():
                 for g in grams_of(word, order):
                     grams[g][slot] += n
-        out = pd.DataFrame(list(grams.values()), columns=names, dtype="int64")
-        out.insert(0, "gram", list(grams))
-        yield out
+        counts = np.array(list(grams.values()), np.int64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(grams), pa.string()), *[pa.array(c) for c in counts.T.copy()]], ["gram", *names]
+        )
 
     return (
         labelled.select(text_col, class_col, half_col)
-        .mapInPandas(run, "gram string, c0 long, c1 long, c2 long, c3 long")
+        .mapInArrow(run, "gram string, c0 long, c1 long, c2 long, c3 long")
         .groupBy("gram")
         .agg(*[F.sum(c).alias(c) for c in names])
     )
