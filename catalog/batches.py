@@ -56,7 +56,7 @@ def _(spark, d):
     path = fresh_path(spark, "progress")
     log = s.progress(spark, d).withColumn("src", F.replace("src", F.lit(" "), F.lit(', "q" ')))
     sinks.write_ordered(log, path, "seq")
-    back = files.read_progress(spark, path)
+    back = files.read_progress_csv(spark, path)
     return dense_rank(back.withColumn("tgt", F.coalesce("tgt", F.lit(""))), "seq")
 
 
@@ -76,16 +76,23 @@ def _(spark, d):
 
 @register(
     "append_progress",
-    sql("SELECT seq, src, tgt, (seq >= 1099511627776)::INT AS run FROM progress", "progress"),
+    sql("SELECT seq, src, tgt FROM progress", "progress"),
 )
-def _(spark, d):
+def appended(spark, d):
+    """Two runs of a log, the second one repeated, through the sink and its reader."""
     path = fresh_path(spark, "log")
     log = s.progress(spark, d)
     later = F.col("seq") >= s.LATER
     sinks.append_progress(log.where(~later), path, "run-0")
-    sinks.append_progress(log.where(later), path, "run-1")
-    run = F.substring("run_id", 5, 1).cast("int").alias("run")
-    return spark.read.parquet(path).select("seq", "src", "tgt", run)
+    for _ in range(2):
+        sinks.append_progress(log.where(later), path, "run-1")
+    return files.read_progress(spark, path)
+
+
+@register("resume_lines", sql("SELECT row_id, src FROM pending", "pending"))
+def _(spark, d):
+    """What a rerun has to send after reading its log back."""
+    return p.pending(s.lines(spark, d), appended(spark, d))
 
 
 _RESTORED = f"""SELECT row_id, src, coalesce(tgt, '{MARK}') AS tgt
@@ -105,7 +112,7 @@ def _(spark, d):
     path = fresh_path(spark, "ordered")
     log = s.progress(spark, d)
     sinks.write_ordered(p.restore_order(s.lines(spark, d), p.latest_progress(log)), path)
-    back = files.read_progress(spark, path)
+    back = files.read_progress_csv(spark, path)
     return dense_rank(back.withColumn("tgt", F.nullif("tgt", F.lit(""))), "seq")
 
 

@@ -33,15 +33,26 @@ def _(spark, d):
 
 @register(
     "append_memory",
-    sql(f"SELECT {_ENTRY} FROM memory WHERE doc_key = 'en'", "memory"),
+    sql(f"SELECT {_ENTRY} FROM memory", "memory"),
 )
 def _(spark, d):
+    return flat(appended(spark, d))
+
+
+def appended(spark, d):
+    """Two runs of a log whose positions overlap: both start at the same page numbers."""
     path = fresh_path(spark, "memory")
     log = s.memory(spark, d)
     later = F.col("seq") >= s.LATER
-    sinks.append_memory(log.where(~later), path)
-    sinks.append_memory(log.where(later), path)
-    return flat(files.read_memory(spark, path, doc_key="en"))
+    sinks.append_memory(log.where(~later), path, "run-0")
+    sinks.append_memory(log.where(later).withColumn("seq", F.col("seq") - s.LATER), path, "run-1")
+    return files.read_memory_log(spark, path)
+
+
+@register("append_memory_latest", sql(f"SELECT {_ENTRY} FROM latest_memory", "latest_memory"))
+def _(spark, d):
+    """The last entry of each hash after two appends."""
+    return flat(m.latest_memory(appended(spark, d)))
 
 
 @register("latest_memory", sql(f"SELECT first_seq, {_ENTRY} FROM latest_memory", "latest_memory"))
@@ -170,13 +181,25 @@ def _(spark, d):
     return found.drop("first_seen")
 
 
+s.add_cte(
+    "shared_terms",
+    ("terms",),
+    """SELECT source, target, sum(frequency)::BIGINT AS frequency FROM terms WHERE source <> '' GROUP BY ALL""",
+)
+
+
 @register(
     "contained_terms_large",
-    sql("SELECT doc_key, page, block_no, source, target, frequency FROM contained", "contained"),
+    sql(
+        """SELECT b.doc_key, b.page, b.block_no, t.source, t.target, t.frequency
+           FROM whole_blocks b JOIN shared_terms t ON contains(lower(b.source_text), lower(t.source))""",
+        "whole_blocks",
+        "shared_terms",
+    ),
 )
 def _(spark, d):
-    """The same containment as if the vocabulary matches were too large to broadcast."""
-    found = h.contained_terms(s.whole_blocks(spark, d), terms(spark, d), broadcast_rows=-1)
+    """One glossary for all documents."""
+    found = h.contained_terms(s.whole_blocks(spark, d), terms(spark, d), scope=())
     return found.drop("first_seen")
 
 

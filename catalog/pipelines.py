@@ -12,7 +12,7 @@ from catalog.standins import MARK, sql
 from tmloom.functions import text as t
 from tmloom.operators import progress as p
 from tmloom.operators.scale import materialize
-from tmloom.plans.parameters import DocumentParameters
+from tmloom.plans.parameters import DocumentParameters, LineParameters
 from tmloom.plans.score_pairs import score_pairs
 from tmloom.plans.translate_documents import translate_documents
 from tmloom.plans.translate_lines import translate_lines
@@ -72,6 +72,48 @@ def _(spark, d):
     return run.restored
 
 
+@register(
+    "translate_lines_waves",
+    sql(
+        f"""SELECT row_id, src, coalesce(tgt, '{MARK}') AS tgt FROM lines LEFT JOIN (
+              SELECT src, arg_max(tgt, seq) AS tgt FROM (
+                SELECT seq, src, tgt FROM progress UNION ALL SELECT * FROM new_rows) GROUP BY src)
+            USING (src)""",
+        "lines",
+        "progress",
+        "new_rows",
+    ),
+)
+def _(spark, d):
+    """The same run in three waves, each with the successes before it as history."""
+    run = translate_lines(s.lines(spark, d), s.progress(spark, d), line_answers, yes, waves=3)
+    return run.restored
+
+
+@register(
+    "judge_failed_calls",
+    sql(
+        f"""SELECT row_id, src, CASE WHEN max(batch) OVER (PARTITION BY src) % 5 < 3 THEN '{MARK}'
+                                     ELSE upper(src) END AS tgt
+            FROM (SELECT row_id, src, row_number() OVER (ORDER BY row_id) - 1 AS batch FROM lines)""",
+        "lines",
+    ),
+)
+def _(spark, d):
+    """One-row batches; error pages of status 429, 500 and 503 have just as many lines."""
+
+    def answers(requests, attempt):
+        code = F.element_at(
+            F.array(*map(F.lit, (429, 500, 503, 200, 200))), (F.col("request_id") % 5 + 1).cast("int")
+        )
+        body = F.when(code >= 400, F.lit("Internal Server Error")).otherwise(F.upper("payload"))
+        return answer(requests, attempt, body, code)
+
+    none = s.progress(spark, d).limit(0)
+    params = LineParameters(batch_size=1, max_attempts=2)
+    return translate_lines(s.lines(spark, d), none, answers, params=params).restored
+
+
 def score_answers(requests, attempt):
     """A score from each target's length; some answers miss a line, some always do."""
     lines = F.transform("targets", lambda x: (F.length(x) % 11).cast("string"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import register
@@ -145,17 +148,19 @@ def _(spark, d):
 @register(
     "replay_attempts",
     sql(
-        """SELECT request_id, attempt, body FROM attempts WHERE attempt = 2""",
+        """SELECT request_id, attempt, body FROM attempts""",
         "attempts",
     ),
 )
 def _(spark, d):
-    """The second wave of the recorded attempts."""
+    """All waves of the recorded attempts, one after the other."""
     recorded = s.attempts(spark, d).withColumns(
         {"status_code": F.lit(200), "retry_after": F.lit(None).cast("string")}
     )
     requests = recorded.select("request_id").distinct()
-    return a.replay_caller(recorded)(requests, 2).select("request_id", "attempt", "body")
+    call = a.replay_caller(recorded)
+    waves = [call(requests, n).select("request_id", "attempt", "body") for n in range(1, 8)]
+    return reduce(DataFrame.unionByName, waves)
 
 
 @register(

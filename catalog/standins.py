@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tmloom.functions import fixed_values as fv
 from tmloom.functions import text as t
-from tmloom.operators.scale import spread
 
 MARK = fv.FAILURE_MARK
 LATER = 1 << 40
@@ -31,9 +30,9 @@ _TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; text tables in too few splits are dealt to all cores."""
+    """A given table; the rows of text tables, costly ones in few splits, are dealt by key."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, *_TEXT_KEYS[name]) if name in _TEXT_KEYS else df
+    return df.repartition(*_TEXT_KEYS[name]) if name in _TEXT_KEYS else df
 
 
 # --- lines and progress ------------------------------------------------------

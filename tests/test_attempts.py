@@ -192,3 +192,39 @@ def test_line_request_options_and_prompts(spark):
     got = {x.batch: x.options for x in prompts.line_requests(batches, hints, "rule").collect()}
     assert got[0] == '{"source_lang":"zh","target_lang":"en","tm_list":[],"domains":"rule"}'
     assert got[1] == '{"source_lang":"zh","target_lang":"en","tm_list":[{"source":"x","target":"y\\""}],"domains":"rule"}'
+
+
+def answered(spark, rows):
+    return spark.createDataFrame(
+        rows,
+        "request_id long, expected_lines int, sources array<string>, body string, status_code int, error_message string",
+    )
+
+
+def test_failed_calls_are_never_accepted(spark):
+    """Error bodies whose line count fits, also in batches of one row."""
+    rows = [
+        (1, 1, ["a"], "Internal Server Error", 500, "HTTPError: 500"), (2, 1, ["a"], "busy", 503, "HTTPError: 503"),
+        (3, 1, ["a"], "slow down", 429, "HTTPError: 429"), (4, 1, ["a"], "fine", 200, None),
+        (5, 1, ["a"], "head\nfine", 200, None), (6, 1, ["a"], "error\npage", 500, "HTTPError: 500"),
+    ]
+    def verifier(asked, attempt):
+        failed = F.col("request_id") == 7
+        return asked.select(
+            "request_id", F.lit(1).alias("attempt"), F.lit("YES").alias("body"),
+            F.when(failed, "HTTPError: 500").alias("error_message"),
+        )
+    rows.append((7, 1, ["a"], "head\nfine", 200, None))  # its verification fails
+    judged = a.line_judge(verifier)(answered(spark, rows)).collect()
+    assert {x.request_id for x in judged if x.accepted} == {4, 5}
+    scored = a.score_judge(answered(spark, [(1, 1, [], "5", 503, "HTTPError: 503"), (2, 1, [], "5", 200, None)]))
+    assert {x.request_id for x in scored.collect() if x.accepted} == {2}
+
+
+def test_each_chain_waits_by_its_own_rule(spark):
+    rows = [(1, 1, [], "x\ny", 200, None), (2, 1, [], None, 500, "HTTPError: 500")]
+    judged = a.line_judge()(answered(spark, rows))
+    waits = {x.request_id: x.w for x in judged.select("request_id", a.line_delay()().alias("w")).collect()}
+    assert waits == {1: 0.0, 2: 1.0}
+    scored = a.score_judge(answered(spark, rows))
+    assert {x.w for x in scored.select(a.score_delay()().alias("w")).collect()} == {2.0}

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_memory_hints import entry, results
+from tmloom.operators import memory, progress
 from tmloom.operators import reports as r
 from tmloom.operators import segment as seg
 from tmloom.operators.progress import exit_status
@@ -69,7 +70,53 @@ def test_a_repeated_run_replaces_its_rows(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", "A")], "seq long, src string, tgt string")
     for run in ("r1", "r1", "r2"):
         sinks.append_progress(rows, path, run)
-    assert spark.read.parquet(path).count() == 2
+    assert files.read_progress(spark, path).count() == 2
+
+
+def test_appended_runs_resume(spark, tmp_path):
+    """The sequence of the README: append, read back, send only what failed."""
+    path = str(tmp_path / "log")
+    lines = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "row_id long, src string")
+    mark = "[[TRANSLATION_FAILED]]"
+    first = [(0, "a", "A"), (1, "b", mark)]
+    sinks.append_progress(spark.createDataFrame(first, "seq long, src string, tgt string"), path, "run-0001")
+    assert {x.src for x in progress.pending(lines, files.read_progress(spark, path)).collect()} == {"b", "c"}
+    later = [(2, "b", "B"), (3, "c", "C")]
+    sinks.append_progress(spark.createDataFrame(later, "seq long, src string, tgt string"), path, "run-0002")
+    log = files.read_progress(spark, path)
+    assert progress.pending(lines, log).isEmpty()
+    assert {x.src: x.tgt for x in progress.latest_progress(log).collect()} == {"a": "A", "b": "B", "c": "C"}
+
+
+def test_the_last_appended_memory_wins(spark, tmp_path):
+    def entry(word):
+        return spark.range(40).selectExpr(
+            "'d' AS doc_key", "id AS seq", "cast(id AS string) AS source_hash",
+            f"named_struct('page', 1, 'block_id', 'b', 'source_text', 's', 'translation', '{word}') AS result",
+        )
+
+    for n, word in enumerate(("old", "new", "newest")):
+        sinks.append_memory(entry(word), str(tmp_path / "m"), f"run-{n}")
+    latest = memory.latest_memory(files.read_memory_log(spark, str(tmp_path / "m")))
+    assert {x.result.translation for x in latest.collect()} == {"newest"} and latest.count() == 40
+
+
+def test_files_follow_each_other_by_number(spark, tmp_path):
+    for n in (2, 10, 99999, 100000):
+        (tmp_path / f"part-{n:05d}.csv").write_text(f"{n}\nx{n}\n", encoding="utf-8")
+    rows = files.read_lines(spark, str(tmp_path)).orderBy("row_id").collect()
+    assert [x.src for x in rows] == [t for n in (2, 10, 99999, 100000) for t in (str(n), f"x{n}")]
+
+
+def test_splits_of_a_file_keep_their_order(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("".join(f"{n}\n" for n in range(5000)), encoding="utf-8")
+    (tmp_path / "b.csv").write_text("".join(f"{n}\n" for n in range(5000, 5050)), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = files.read_lines(spark, str(tmp_path)).orderBy("row_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [x.src for x in rows] == [str(n) for n in range(5050)]
 
 
 def test_pages_choose_and_skip(spark):

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,29 +18,41 @@ def ratio(a, b):
     return SequenceMatcher(None, a, b).ratio()
 
 
-def brute_force(batches, visible, n, low, high, cap):
-    """``visible(b)`` lists the (source, target) log rows batch ``b`` may see."""
-    out = {}
-    for number, texts in batches.items():
-        log = visible(number)
-        places = defaultdict(list)
-        for at, (source, _target) in enumerate(log):
-            for token in source.split():
-                places[token].append(at)
-        found = {}
-        for text in texts:
-            for token in text.split():
-                for at in places[token][-n:]:
-                    source, target = log[at]
-                    if source not in found and ratio(text, source) > low:
-                        found[source] = (target, ratio(text, source))
-        chosen = []
-        for source, (target, _s) in sorted(found.items(), key=lambda x: -x[1][1]):
-            if len(chosen) < cap and all(ratio(source, c) <= high for c, _t in chosen):
-                chosen.append((source, target))
-        if chosen:
-            out[number] = chosen
-    return out
+def hits_of(lines, log, n, low):
+    """Every meeting of a line and a log row over a token, as
+    (batch, past source, position, past target, similarity); only passing ones."""
+    occurrences = pd.DataFrame(
+        [(t, at, place, s, g) for at, (s, g) in enumerate(log) for place, t in enumerate(s.split())],
+        columns=["token", "at", "place", "source", "target"],
+    )
+    back = occurrences.groupby("token").cumcount(ascending=False)
+    asked = pd.DataFrame(
+        [(b, pos, x, tok, t) for b, pos, x in lines for tok, t in enumerate(dict.fromkeys(x.split()))],
+        columns=["batch", "pos", "text", "tok", "token"],
+    )
+    met = asked.merge(occurrences[back < n], on="token")
+    met["sim"] = [ratio(a, b) for a, b in zip(met["text"], met["source"], strict=True)]
+    return met[met["sim"] > low].sort_values(["batch", "pos", "tok", "at", "place"])
+
+
+def holds(got, hits, high, cap):
+    """The lists of hints are what their definition says, whatever way they were found."""
+    first = hits.drop_duplicates(["batch", "source"])
+    for batch, rows in first.groupby("batch"):
+        ranked = rows.sort_values("sim", ascending=False, kind="stable")
+        order = ranked["source"].tolist()
+        target = dict(zip(ranked["source"], ranked["target"], strict=True))
+        kept = [s for s, _ in got.get(batch, [])]
+        assert 0 < len(kept) <= cap
+        assert [t for _, t in got[batch]] == [target[s] for s in kept]
+        places = [order.index(s) for s in kept]
+        assert places == sorted(places)
+        for n, s in enumerate(kept):
+            assert all(ratio(s, k) <= high for k in kept[:n])
+        end = places[-1] if len(kept) == cap else len(order)
+        for at in set(range(end)) - set(places):  # left out for a better one that is near
+            assert any(ratio(order[at], k) > high for k in kept if order.index(k) < at)
+    assert set(got) == set(first["batch"])
 
 
 @pytest.fixture(scope="module")
@@ -60,40 +73,51 @@ def collected(lists):
     return {r.batch: [(h.source, h.target) for h in r.tm_list] for r in lists.collect()}
 
 
-@pytest.mark.parametrize("n, low, high, cap", [(20, 0.1, 0.8, 50), (3, 0.4, 0.6, 4)])
-def test_snapshot_equals_brute_force(data, n, low, high, cap):
-    history, _lines, log, batched, batches = data
+SETTINGS = pytest.mark.parametrize("n, low, high, cap", [(20, 0.1, 0.8, 50), (3, 0.4, 0.6, 4)])
+
+
+@SETTINGS
+def test_snapshot_hints(data, n, low, high, cap):
+    history, lines, log, batched, _batches = data
     got = collected(f.retrieve_hints(batched, log, None, postings_per_token=n, min_similarity=low, threshold=high, cap=cap))
-    log_rows = [(s, t) for _i, s, t in history]
-    assert got == brute_force(batches, lambda b: log_rows, n, low, high, cap)
+    asked = [(i // 10, i % 10, x) for i, x in lines]
+    holds(got, hits_of(asked, [(s, t) for _i, s, t in history], n, low), high, cap)
+
+
+def causal_hits(history, lines, target, failed, n, low):
+    log, out = [(s, t) for _i, s, t in history], []
+    for b in range(1 + max(i for i, _ in lines) // 10):
+        own = [(b, i % 10, x) for i, x in lines if i // 10 == b]
+        out.append(hits_of(own, log, n, low))
+        if b not in failed:
+            log = log + [(x, target(i, x)) for i, x in lines if i // 10 == b]
+    return pd.concat(out)
 
 
-@pytest.mark.parametrize("n, low, high, cap", [(20, 0.1, 0.8, 50), (3, 0.4, 0.6, 4)])
-def test_causal_equals_a_sequential_run(data, n, low, high, cap):
-    history, lines, log, batched, batches = data
+@SETTINGS
+@pytest.mark.parametrize("chunk", [256, 2])
+def test_causal_hints_see_the_batches_before(data, monkeypatch, chunk, n, low, high, cap):
+    history, lines, log, batched, _batches = data
+    monkeypatch.setattr(f, "_CHUNK_BATCHES", chunk)
     failed = {2, 5}  # batches without any successful row
     done = batched.where(~F.col("batch").isin(*failed)).select(
         "batch", "pos", "src", F.concat(F.lit("t"), F.col("row_id").cast("string")).alias("tgt")
     )
     got = collected(f.retrieve_hints(batched, log, done, postings_per_token=n, min_similarity=low, threshold=high, cap=cap))
+    holds(got, causal_hits(history, lines, lambda i, _x: f"t{i}", failed, n, low), high, cap)
 
-    def visible(b):
-        rows = [(s, t) for _i, s, t in history]
-        return rows + [(s, f"t{i}") for i, s in lines if i // 10 < b and i // 10 not in failed]
 
-    assert got == brute_force(batches, visible, n, low, high, cap)
-
-
-def test_causal_numbers_span_chunks(data, monkeypatch):
-    history, lines, log, batched, batches = data
-    monkeypatch.setattr(f, "_CHUNK_BITS", 3)
-    done = batched.select("batch", "pos", "src", F.upper("src").alias("tgt"))
-    got = collected(f.retrieve_hints(batched, log, done, postings_per_token=5))
-
-    def visible(b):
-        return [(s, t) for _i, s, t in history] + [(s, s.upper()) for i, s in lines if i // 10 < b]
-
-    assert got == brute_force(batches, visible, 5, 0.1, 0.8, 50)
+def test_positions_beyond_any_small_batch(spark):
+    """Line numbers of one batch beyond 4,096 stay in their batch."""
+    log = spark.createDataFrame([(0, "old M20", "h")], "seq long, src string, tgt string")
+    batched = spark.createDataFrame(
+        [(0, 0, p, f"x{p} M20") for p in (0, 4999, 5000)] + [(1, 1, 0, "M20 y")],
+        "row_id long, batch long, pos int, src string",
+    )
+    done = batched.select("batch", "pos", "src", F.col("pos").cast("string").alias("tgt"))
+    wanted = spark.createDataFrame([(0, "M20"), (1, "M20")], "batch long, token string")
+    got = {(r.batch, r.tgt) for r in f.causal_postings(wanted, log, done).collect()}
+    assert got == {(0, "h"), (1, "h"), (1, "0"), (1, "4999"), (1, "5000")}
 
 
 def test_last_postings_counts_occurrences(spark):

@@ -86,9 +86,8 @@ def contained(spark, block_rows, term_rows, **options):
     return found, terms
 
 
-@pytest.mark.parametrize("rows", [h.BROADCAST_ROWS, -1])
 @pytest.mark.parametrize("scope", [("doc_key",), ()])
-def test_containment_equals_brute_force(spark, rows, scope):
+def test_containment_equals_brute_force(spark, scope):
     rng = random.Random(7)
     alphabet = ["ab", "Ba", "c", " ", "-", "ü", "电缆", "力", "+", "12", "  "]
     text = lambda n: "".join(rng.choices(alphabet, k=n))
@@ -97,7 +96,7 @@ def test_containment_equals_brute_force(spark, rows, scope):
     term_rows = [(k, s, rng.randint(1, 3)) for k, s in term_rows]
     term_rows += [("d", " ", 1), ("d", "+", 2), ("e", "b", 1), ("d", "电", 1)]
     term_rows = list({(k, s): (k, s, f) for k, s, f in term_rows}.values())
-    found, _ = contained(spark, block_rows, term_rows, scope=scope, broadcast_rows=rows)
+    found, _ = contained(spark, block_rows, term_rows, scope=scope)
     got = sorted((r.page, r.source, r.first_seen) for r in found.collect())
     expected = sorted(
         (p, s, n)

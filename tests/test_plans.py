@@ -74,15 +74,18 @@ def test_scans_read_needed_columns(spark, plan):
 
 
 def test_memory_of_one_document_prunes_folders(spark, plan, tmp_path):
-    from tmloom.sources.files import read_memory
+    from tmloom.sources.files import read_memory_log
     from tmloom.sources.sinks import append_memory
 
-    append_memory(s.memory(spark, SF), str(tmp_path / "m"))
-    text = plan(read_memory(spark, str(tmp_path / "m"), "en"))
-    assert "PartitionFilters: [isnotnull(doc_key" in text
+    append_memory(s.memory(spark, SF), str(tmp_path / "m"), "run-0", buckets=8, split=2)
+    log = read_memory_log(spark, str(tmp_path / "m"), "en", buckets=8)
+    assert "PartitionFilters: [isnotnull(bucket" in plan(log)
+    assert log.count() == s.memory(spark, SF).where("doc_key = 'en'").count()
+    files = list((tmp_path / "m").rglob("*.json"))
+    assert len(files) <= 8 * 2
 
 
-def test_skewed_lookup_keys_are_salted(spark, plan):
+def test_lookup_joins_once_by_equality(spark, plan):
     blocks = s.whole_blocks(spark, SF).withColumn("block_id", block_id("page", "block_no"))
     hits, _ = memory.lookup_exact(blocks, s.memory(spark, SF))
-    assert "_salt" in plan(hits)
+    assert "Join" not in plan(hits) and "Cartesian" not in plan(hits)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from tmloom.operators.attempts import call_model
 from tmloom.operators.progress import latest_progress
 from tmloom.plans.parameters import DocumentParameters, LineParameters
+from tmloom.plans.translate_lines import translate_lines
 from tmloom.streaming.incremental import (
     memory_log,
     progress_log,
@@ -43,6 +44,42 @@ def test_incremental_runs_skip_finished_work(spark, tmp_path):
     assert run() == {"bad": "BAD", "b": "B", "new": "NEW"} and len(sent) == 2
 
 
+def test_failures_are_sent_again_without_arriving_again(spark, tmp_path):
+    arriving, log, state = (str(tmp_path / n) for n in ("in", "log", "state"))
+    sent = []
+
+    def caller(requests, attempt):
+        sent.append(sorted(x for r in requests.collect() for x in r.payload.split("\n")))
+        down = len(sent) == 1
+        return call_model(
+            requests, lambda: lambda q: {"body": q["payload"].upper(), "status_code": 500 if down else 200},
+            attempt, partitions=1,
+        )
+
+    for rows in ([(1, "a"), (2, "b")], [(3, "c")]):
+        spark.createDataFrame(rows, "row_id long, src string").coalesce(1).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema("row_id long, src string").parquet(arriving)
+        run_incremental(stream, log, state, caller, params=LineParameters(max_attempts=1)).awaitTermination()
+    assert sent == [["a", "b"], ["a", "b", "c"]]
+    done = {r.src: r.tgt for r in latest_progress(progress_log(spark, log)).collect()}
+    assert done == {"a": "A", "b": "B", "c": "C"}
+
+
+def test_hints_grow_from_wave_to_wave(spark):
+    lines = spark.createDataFrame([(n, f"pump M{n // 25} valve {n}") for n in range(100)], "row_id long, src string")
+    none = spark.createDataFrame([], "seq long, src string, tgt string")
+
+    def caller(requests, attempt):
+        return call_model(requests, lambda: lambda q: {"body": q["payload"].upper()}, attempt, partitions=1)
+
+    one = translate_lines(lines, none, caller)
+    assert {x.n for x in one.requests.select(F.size("tm_list").alias("n")).collect()} == {0}
+    four = translate_lines(lines, none, caller, waves=4)
+    hints = {x.batch: x.n for x in four.requests.select("batch", F.size("tm_list").alias("n")).collect()}
+    assert hints[0] == 0 and all(hints[k] > 0 for k in (1, 2, 3))
+    assert four.restored.where("tgt = upper(src)").count() == 100
+
+
 def test_memory_of_a_batch_serves_the_next(spark, tmp_path):
     arriving, memory, results, state = (str(tmp_path / n) for n in ("in", "memory", "results", "state"))
     schema = "doc_key string, page int, primary_text string, fallback_text string"

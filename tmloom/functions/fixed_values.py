@@ -39,6 +39,7 @@ VERIFY_TARGET_LABEL = "【译文列表】:\n"
 SCORE_BATCH_SIZE = 10
 SCORE_MAX_ATTEMPTS = 10
 SCORE_RETRY_PAUSE_SECONDS = 2.0
+LINE_RETRY_PAUSE_SECONDS = 1.0
 FAILED_SCORE = "-1"
 SCORE_SYSTEM = "You are a helpful assistant for evaluating translation quality."
 SCORE_RUBRIC_HEAD = """

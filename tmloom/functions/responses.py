@@ -85,16 +85,18 @@ def retry_delay(
     retry_after: ColumnOrName,
     attempt: ColumnOrName,
     base: float = fv.RETRY_BASE_DELAY,
+    rate_limit_cap: float = fv.RATE_LIMIT_DELAY_CAP,
+    error_cap: float = fv.ERROR_DELAY_CAP,
 ) -> Column:
     """Seconds to wait before the next try of a request."""
     header, attempt = as_col(retry_after), as_col(attempt)
     number = rf"^[{WS}]*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[{WS}]*\z"
     asked = F.when(header.rlike(number), strip(header).try_cast("double"))
     limited = F.when(asked.isNotNull(), F.greatest(asked, F.lit(float(base)))).otherwise(
-        F.least(F.pow(F.lit(2.0), attempt - 1) * base, F.lit(fv.RATE_LIMIT_DELAY_CAP))
+        F.least(F.pow(F.lit(2.0), attempt - 1) * base, F.lit(float(rate_limit_cap)))
     )
     return F.when(as_col(status_code) == 429, limited).otherwise(
-        F.least(attempt * F.lit(float(base)), F.lit(fv.ERROR_DELAY_CAP))
+        F.least(attempt * F.lit(float(base)), F.lit(float(error_cap)))
     )
 
 

@@ -25,6 +25,7 @@ Model = Callable[[dict], dict]
 # caller(requests, attempt number) -> attempts
 Caller = Callable[[DataFrame, int], DataFrame]
 Judge = Callable[[DataFrame], DataFrame]
+Delay = Callable[[], Column]  # seconds to wait, over a judged attempt
 
 ATTEMPT_FIELDS = (
     "attempt int, status_code int, retry_after string, body string, "
@@ -32,6 +33,21 @@ ATTEMPT_FIELDS = (
 )
 
 
+def document_delay(base: float = fv.RETRY_BASE_DELAY, **caps: float) -> Delay:
+    """Rate limits back off and heed the answer's wish; other failures wait longer each time."""
+    return lambda: r.retry_delay("status_code", "retry_after", "attempt", base, **caps)
+
+
+def line_delay(pause: float = fv.LINE_RETRY_PAUSE_SECONDS) -> Delay:
+    """A failed call waits; an answer with the wrong number of lines is asked again at once."""
+    return lambda: F.when(F.col("failed_call"), F.lit(float(pause))).otherwise(0.0)
+
+
+def score_delay(pause: float = fv.SCORE_RETRY_PAUSE_SECONDS) -> Delay:
+    """The same pause after every rejected answer."""
+    return lambda: F.lit(float(pause))
+
+
 def _one_call(model: Model, request: dict) -> dict:
     started = time.monotonic()
     out = {"status_code": None, "retry_after": None, "body": None, "error_message": None}
@@ -111,28 +127,28 @@ def run_waves(
     judge: Judge,
     max_attempts: int,
     id_col: str = "request_id",
-    base_delay: float = fv.RETRY_BASE_DELAY,
+    delay: Delay = document_delay(),
+    judge_by: Sequence[str] = ("expected_lines",),
 ) -> tuple[DataFrame, DataFrame]:
     """(requests, judged attempts): every request is tried until it is accepted
     or ``max_attempts`` is reached.
 
     One wave is one attempt for all open requests; the rejected ones, held back
-    by their retry delay, form the next wave.  ``judge`` adds ``accepted``.
+    by their retry delay, form the next wave.  ``judge`` adds ``accepted``; it
+    sees the answers and the request columns ``judge_by``, so a wave's table
+    holds answers and no prompts.
     """
     requests = materialize(requests, "requests")
     still, waves = requests, []
     for attempt in range(1, max_attempts + 1):
         raw = materialize(caller(still, attempt), f"attempts{attempt}")
-        answered = requests.drop("wait_seconds").join(raw, id_col)
+        answered = requests.select(id_col, *judge_by).join(raw, id_col)
         judged = materialize(judge(answered), f"judged{attempt}")
         waves.append(judged)
         if attempt == max_attempts:
             break
         accepted = judged.where("accepted").select(id_col)
-        delays = judged.select(
-            id_col,
-            r.retry_delay("status_code", "retry_after", "attempt", base_delay).alias("wait_seconds"),
-        )
+        delays = judged.select(id_col, delay().alias("wait_seconds"))
         still = (
             still.drop("wait_seconds")
             .join(accepted, id_col, "left_anti")
@@ -145,22 +161,35 @@ def run_waves(
 
 
 def line_judge(verifier: Caller | None = None) -> Judge:
-    """Accept equal line counts; ask the verifier about longer outputs."""
+    """Accept equal line counts; ask the verifier about longer outputs.
+
+    A failed call is never accepted, whatever its body holds, and a failed
+    verification counts as a no.  The verifier needs the request's ``sources``.
+    """
 
     def judge(answered: DataFrame) -> DataFrame:
         n = F.col("expected_lines")
-        answered = answered.withColumn("verdict", F.lit(None).cast("string"))
+        answered = answered.withColumns(
+            {
+                "verdict": F.lit(None).cast("string"),
+                "failed_call": F.col("error_message").isNotNull(),
+            }
+        )
         if verifier is not None:
-            tails = answered.where(r.needs_verification("body", n)).withColumn(
+            asks = ~F.col("failed_call") & r.needs_verification("body", n)
+            tails = answered.where(asks).withColumn(
                 "candidates", r.tail_lines(r.output_lines("body"), n)
             )
             asked = verify_prompts(tails).select("request_id", F.col("user_text").alias("payload"))
             if not asked.isEmpty():
                 verdicts = materialize(verifier(asked, 1), "verdicts").select(
-                    "request_id", F.col("body").alias("verdict")
+                    "request_id",
+                    F.when(F.col("error_message").isNull(), F.col("body")).alias("verdict"),
                 )
                 answered = answered.drop("verdict").join(verdicts, "request_id", "left")
-        lines = answered.withColumn("lines", r.align_or_repair("body", n, "verdict"))
+        lines = answered.withColumn(
+            "lines", F.when(~F.col("failed_call"), r.align_or_repair("body", n, "verdict"))
+        ).drop("sources")
         return lines.withColumns(
             {
                 "accepted": F.col("lines").isNotNull(),
@@ -174,8 +203,10 @@ def line_judge(verifier: Caller | None = None) -> Judge:
 
 
 def score_judge(answered: DataFrame) -> DataFrame:
-    """Accept answers with one score per pair."""
-    scores = answered.withColumn("scores", r.parse_scores("body", "expected_lines"))
+    """Accept answers with one score per pair; a failed call never."""
+    scores = answered.withColumn(
+        "scores", F.when(F.col("error_message").isNull(), r.parse_scores("body", "expected_lines"))
+    )
     return scores.withColumns(
         {
             "accepted": F.col("scores").isNotNull(),
@@ -226,7 +257,7 @@ def resolve_attempts(
             F.min(ok_at).alias("_at"),
             F.min_by(F.struct(*outcome), ok_at).alias("_won"),
             F.max_by("error_message", "attempt").alias("_error"),
-            F.sum(F.col("elapsed_seconds").cast("decimal(18,6)")).cast("double").alias("_spent"),
+            F.sum(F.col("elapsed_seconds").cast("decimal(38,18)")).cast("double").alias("_spent"),
         )
         .select(
             id_col,

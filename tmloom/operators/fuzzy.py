@@ -18,13 +18,11 @@ from pyspark.sql import functions as F
 from tmloom.functions import fixed_values as fv
 from tmloom.functions.similarity import similarity, similarity_bound
 from tmloom.functions.text import tokens
-from tmloom.operators.scale import salted_join
 
 Segmenter = Callable[[Column], Column]
 
-_POS_BITS = 12  # lines of one batch
-_CHUNK_BITS = 20  # log positions counted by one window group
-_HISTORY_ERA = -(1 << 62)  # prior history lies before batch 0
+_CHUNK_BATCHES = 256  # batches whose postings are counted by one window group
+_LETTER_BINS = 128
 
 
 def postings(history: DataFrame, segment: Segmenter = tokens) -> DataFrame:
@@ -72,7 +70,7 @@ def snapshot_postings(wanted: DataFrame, posted: DataFrame, n: int = fv.POSTINGS
     packed = _recent(
         last_postings(posted, n).withColumn("ord", F.struct("seq", "tok_pos")), "token"
     )
-    met = salted_join(wanted, packed, ["token"], "inner", ["batch"])
+    met = wanted.join(packed, "token")
     return met.select("batch", "token", F.inline("recent"))
 
 
@@ -88,21 +86,21 @@ def causal_postings(
     Postings of a token are numbered along the log and ``upto`` counts those
     before a batch, so "the last n before b" becomes an equi-join on blocks of
     ``n`` consecutive numbers.  Numbers are built from per-chunk counts and a
-    rank inside the chunk: no task ever sees a whole token.
+    rank inside the chunk: no task ever sees a whole token.  No batch sees more
+    of the prior history than a token's last ``n`` postings, so only these
+    enter, as chunk -1.
     """
-    start = F.shiftleft(F.col("batch"), _POS_BITS)
-    posted = postings(
-        history.select((F.col("seq") + F.lit(_HISTORY_ERA)).alias("seq"), "src", "tgt"), segment
-    ).unionByName(
-        postings(done.select((start + F.col("pos")).alias("seq"), "src", "tgt"), segment)
-    )
+    at = lambda batch, pos: F.struct(batch.alias("batch"), pos.alias("pos"))
+    prior = last_postings(postings(history, segment), n)
+    made = postings(done.select(at(F.col("batch"), F.col("pos").cast("long")).alias("seq"), "src", "tgt"), segment)
+    posted = prior.withColumn("seq", at(F.lit(-1).cast("long"), F.col("seq"))).unionByName(made)
     marks = wanted.select(
-        "token", start.alias("seq"), F.lit(-1).alias("tok_pos"), "batch"
+        "token", at(F.col("batch"), F.lit(-1).cast("long")).alias("seq"), F.lit(-1).alias("tok_pos"), "batch"
     )
     events = (
         posted.withColumn("_posting", F.lit(1))
         .unionByName(marks.withColumn("_posting", F.lit(0)), allowMissingColumns=True)
-        .withColumn("_chunk", F.shiftright("seq", _CHUNK_BITS))
+        .withColumn("_chunk", F.floor(F.col("seq.batch") / _CHUNK_BATCHES))
     )
     before = Window.partitionBy("token").orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1
@@ -132,9 +130,7 @@ def causal_postings(
     )
     low = F.greatest(F.col("upto") - n, F.lit(0))
     blocks = F.sequence(F.floor(low / n), F.floor((F.col("upto") - 1) / n))
-    met = salted_join(
-        asked.withColumn("_block", F.explode(blocks)), packed, ["token", "_block"], "inner", ["batch"]
-    )
+    met = asked.withColumn("_block", F.explode(blocks)).join(packed, ["token", "_block"])
     return (
         met.select("batch", "token", "upto", F.inline("recent"))
         .where((F.col("ord") <= F.col("upto")) & (F.col("ord") > F.col("upto") - n))
@@ -201,21 +197,20 @@ def keep_distinct(sources: list[str], threshold: float, cap: int) -> list[int]:
     """Indexes kept when each source is compared with those kept before it.
 
     The ratio never exceeds what the shared letters of two texts allow.  That
-    bound is taken for all kept sources at once from letter counts; only pairs
-    above it are compared.
+    bound is taken for all kept sources at once from letter counts; letters fall
+    into a fixed number of bins, which can only raise it.  Only pairs above the
+    bound are compared.
     """
-    letters = {c: n for n, c in enumerate(sorted(set("".join(sources))))}
-    counts = np.zeros((len(sources), len(letters)), dtype=np.int32)
-    for row, source in zip(counts, sources):
-        for c in source:
-            row[letters[c]] += 1
-    lengths = counts.sum(axis=1)
+    lengths = np.array([len(source) for source in sources])
+    counts = np.zeros((cap, _LETTER_BINS), dtype=np.int32)  # of the kept ones
     kept: list[int] = []
     matchers: dict[int, SequenceMatcher] = {}  # each indexes one kept source, once
     for i, source in enumerate(sources):
         if len(kept) >= cap:
             break
-        shared = np.minimum(counts[kept], counts[i]).sum(axis=1)
+        points = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = np.bincount(points % _LETTER_BINS, minlength=_LETTER_BINS)
+        shared = np.minimum(counts[: len(kept)], own).sum(axis=1)
         bound = 2.0 * shared / np.maximum(lengths[kept] + lengths[i], 1)
         for at in np.flatnonzero((bound > threshold) | (lengths[kept] + lengths[i] == 0)):
             j = kept[at]
@@ -225,6 +220,7 @@ def keep_distinct(sources: list[str], threshold: float, cap: int) -> list[int]:
             if matchers[j].ratio() > threshold:
                 break
         else:
+            counts[len(kept)] = own
             kept.append(i)
     return kept
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tmloom.functions.text import source_hash
-from tmloom.operators.scale import previous_value, salted_join
+from tmloom.operators.scale import materialize, previous_value
 
-_NEW_ERA = 1 << 62  # new entries come after every logged one
+_BLOCK_BITS = 31  # a block number is an int, as is a page
 _RESULT_FIELDS = (
     "page", "block_id", "source_text", "translation", "term_pairs", "attempts",
     "elapsed_seconds", "status", "error_message", "cache_hit",
@@ -39,8 +39,9 @@ def lookup_exact(blocks: DataFrame, memory: DataFrame) -> tuple[DataFrame, DataF
     """(hits as results, misses as blocks).
 
     The key is the hash and the text itself, so equal hashes of different texts
-    do not mix.  Copies of one text may fill a large part of the blocks; their
-    key is dealt to several tasks.
+    do not mix.  Copies of one text may fill a large part of the blocks; the
+    join's own skew handling splits them.  The outcome is written once, since
+    hits and misses are read apart.
     """
     entries = latest_memory(memory).select(
         "doc_key",
@@ -48,12 +49,11 @@ def lookup_exact(blocks: DataFrame, memory: DataFrame) -> tuple[DataFrame, DataF
         F.col("result.source_text").alias("source_text"),
         F.struct("result.translation", "result.term_pairs").alias("_hit"),
     )
-    looked = salted_join(
-        blocks.withColumn("source_hash", source_hash("source_text")),
-        entries,
-        ["doc_key", "source_hash", "source_text"],
-        "left",
-        ["page", "block_no"],
+    looked = materialize(
+        blocks.withColumn("source_hash", source_hash("source_text")).join(
+            entries, ["doc_key", "source_hash", "source_text"], "left"
+        ),
+        "looked",
     )
     hits = looked.where(F.col("_hit").isNotNull()).select(
         "doc_key",
@@ -87,13 +87,14 @@ def upsert_memory(memory: DataFrame, results: DataFrame) -> DataFrame:
 
     Freshly translated ok results only.  A result equal in text, translation
     and terms to the entry before it, in the log or in this run, adds nothing.
-    ``seq`` follows page and block number within a document.
+    ``seq`` follows page and block number within a document; entries of the log,
+    whose order need not be of the same type, come before all of a run.
     """
     fresh = results.where((F.col("status") == "ok") & ~F.col("cache_hit")).select(
         "doc_key",
         (
-            F.shiftleft(F.col("page").cast("long"), 20).bitwiseOR(F.col("block_no").cast("long"))
-            + F.lit(_NEW_ERA)
+            F.shiftleft(F.col("page").cast("long"), _BLOCK_BITS)
+            .bitwiseOR(F.col("block_no").cast("long"))
         ).alias("seq"),
         source_hash("source_text").alias("source_hash"),
         F.struct(*_RESULT_FIELDS).alias("result"),
@@ -101,7 +102,7 @@ def upsert_memory(memory: DataFrame, results: DataFrame) -> DataFrame:
     r = F.col("result")
     print_of = _fingerprint(r["source_text"], r["translation"], r["term_pairs"])
     logged = memory.groupBy("doc_key", "source_hash").agg(
-        F.max_by(print_of, "seq").alias("_print"), F.max("seq").alias("seq")
+        F.max_by(print_of, "seq").alias("_print"), F.lit(-1).cast("long").alias("seq")
     )
     chain = logged.select(
         "doc_key", "seq", "source_hash", "_print", F.lit(None).cast(fresh.schema["result"].dataType).alias("result")

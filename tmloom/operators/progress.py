@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tmloom.functions import fixed_values as fv
 from tmloom.functions.text import strip
-from tmloom.operators.scale import salted_join
 
 
 def latest_progress(progress: DataFrame) -> DataFrame:
@@ -21,7 +20,7 @@ def pending(lines: DataFrame, progress: DataFrame, mark: str = fv.FAILURE_MARK)
     Duplicate lines are all kept.
     """
     done = latest_progress(progress).where(~F.col("tgt").eqNullSafe(mark)).select("src")
-    return salted_join(lines, done, ["src"], "left_anti", ["row_id"])
+    return lines.join(done, "src", "left_anti").select(*lines.columns)
 
 
 def valid_history(progress: DataFrame, mark: str = fv.FAILURE_MARK) -> DataFrame:
@@ -43,7 +42,7 @@ def restore_order(
 
     Rows carry ``row_id``; the ordered sink sorts once by it.
     """
-    joined = salted_join(lines, latest, ["src"], "left", ["row_id"])
+    joined = lines.join(latest, "src", "left")
     return joined.select("row_id", "src", F.coalesce("tgt", F.lit(mark)).alias("tgt"))
 
 
@@ -65,9 +64,7 @@ def count_failed(df: DataFrame, mark: str = fv.FAILURE_MARK) -> DataFrame:
 def count_pending(lines: DataFrame, progress: DataFrame, mark: str = fv.FAILURE_MARK) -> DataFrame:
     """(total, pending) at the start of a run."""
     done = latest_progress(progress).where(~F.col("tgt").eqNullSafe(mark))
-    flagged = salted_join(
-        lines, done.select("src", F.lit(True).alias("_done")), ["src"], "left", ["row_id"]
-    )
+    flagged = lines.join(done.select("src", F.lit(True).alias("_done")), "src", "left")
     return flagged.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("_done").isNull()).alias("pending")
     )

@@ -78,7 +78,9 @@ def scored_view(scored: DataFrame) -> DataFrame:
     )
 
 
-def glossary(results: DataFrame, keys: Sequence[str] = ("doc_key",)) -> DataFrame:
+def glossary(
+    results: DataFrame, keys: Sequence[str] = ("doc_key",), example_chars: int = fv.EXAMPLE_CHARS
+) -> DataFrame:
     """(keys, source, target, frequency, pages, example, first_seen).
 
     Everything is combined before the shuffle: a term found in a large part of
@@ -91,7 +93,7 @@ def glossary(results: DataFrame, keys: Sequence[str] = ("doc_key",)) -> DataFram
             *keys,
             "page",
             "block_no",
-            F.substring("source_text", 1, fv.EXAMPLE_CHARS).alias("_text"),
+            F.substring("source_text", 1, example_chars).alias("_text"),
             F.posexplode("term_pairs").alias("pos", "pair"),
         )
         .withColumns(
@@ -123,7 +125,7 @@ def run_summary(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     heavy = (F.col("translation") != "") & (
         ascii_letter_count("translation") > han_char_count("translation")
     )
-    seconds = F.sum(F.col("elapsed_seconds").cast("decimal(18,6)")).cast("double")
+    seconds = F.sum(F.col("elapsed_seconds").cast("decimal(38,18)")).cast("double")
     sums = results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("status") == "ok").alias("ok"),

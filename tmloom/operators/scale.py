@@ -9,10 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHUNK_BITS = 16  # rows ranked by one window group
-ROWS_PER_TASK = 1_000_000  # a join key above this is split over several tasks
-HOT_KEYS = 1024  # split at most this many keys: a broadcast of 16 KiB
-_SAMPLE = 64
+CHUNK_BITS = 16  # consecutive order values in one window group
+_PLACE_BITS = 33  # rows of one partition, as in monotonically_increasing_id
 _OWNED: set[str] = set()
 
 
@@ -50,70 +48,35 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a scan with fewer splits than cores to all of them.
-
-    For costly work per row on a small or badly split input.  A scan with
-    enough splits is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(2 * cores, *keys)
-
-
 def global_rank(
-    df: DataFrame,
-    id_col: str,
-    out: str = "rank",
-    ties: Sequence[str] = (),
-    chunk_bits: int = CHUNK_BITS,
+    df: DataFrame, id_col: str, out: str = "rank", ties: Sequence[str] = ()
 ) -> DataFrame:
     """Add the 0-based position of each row in ``id_col`` order, without a
-    one-partition window.
+    one-partition window over rows.
 
-    Ids are unique longs, so a chunk of ``2**chunk_bits`` consecutive ids holds
-    at most that many rows and is one small window group.  Chunk counts are
-    combined before the shuffle; their running totals are taken in two levels,
-    so that only the totals of the upper level (one row per ``4**chunk_bits``
-    ids) pass through a single task.
+    Rows are range-partitioned, sorted and written once with their place in
+    their partition; only the number of rows of each partition, one row per
+    partition, passes through a single task.  So sparse ids, hashes say, cost no
+    more than dense ones.
     """
-    chunk = F.shiftright(F.col(id_col).cast("long"), chunk_bits)
-    upper = F.shiftright(F.col("_chunk"), chunk_bits)
-    counts = (
-        df.select(chunk.alias("_chunk")).groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    ).withColumn("_upper", upper)
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    uppers = (
-        counts.groupBy("_upper")
-        .agg(F.sum("_n").alias("_un"))
-        .select(
-            "_upper",
-            F.coalesce(F.sum("_un").over(before.orderBy("_upper")), F.lit(0)).alias("_base"),
-        )
-    )
+    order = [id_col, *ties]
+    placed = materialize(
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "ranked",
+    ).withColumn("_part", F.shiftright("_place", _PLACE_BITS))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        counts.withColumn(
-            "_inner",
-            F.coalesce(
-                F.sum("_n").over(
-                    Window.partitionBy("_upper").orderBy("_chunk").rowsBetween(
-                        Window.unboundedPreceding, -1
-                    )
-                ),
-                F.lit(0),
-            ),
-        )
-        .join(uppers, "_upper")
-        .select("_chunk", (F.col("_base") + F.col("_inner")).alias("_offset"))
+        placed.groupBy("_part")
+        .count()
+        .select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = F.row_number().over(Window.partitionBy("_chunk").orderBy(id_col, *ties))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     return (
-        df.withColumn("_chunk", chunk)
-        .withColumn("_inside", inside)
-        .join(offsets, "_chunk")
-        .withColumn(out, F.col("_offset") + F.col("_inside") - 1)
-        .drop("_chunk", "_inside", "_offset")
+        placed.join(offsets, "_part")
+        .withColumn(out, F.col("_offset") + inside)
+        .drop("_part", "_place", "_offset")
     )
 
 
@@ -148,60 +111,3 @@ def previous_value(
         .withColumn(out, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag")))
         .drop("_chunk", "_value", "_first", "_lag", "_carried")
     )
-
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str,
-    spread: Sequence[str],
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Equi-join in which a hot key of the left side is dealt to several tasks.
-
-    ``how`` is inner, left, left_anti or left_semi; ``spread`` names left
-    columns that tell the rows of one key apart.  Keys with more than
-    ``rows_per_task`` rows are estimated from a hash-chosen part of the left
-    keys.  The estimate steers placement only: every left row meets every
-    matching right row exactly once, whatever it says.  The right side is
-    copied for hot keys alone, and at most ``HOT_KEYS`` of them (two longs
-    each) are broadcast.  The left side must be repeatable, that is a table or
-    a plan that always yields the same rows.
-    """
-    on = list(on)
-    key_hash = F.xxhash64(*on)
-    row_hash = F.xxhash64(*spread)
-    hot = F.broadcast(
-        left.where(F.pmod(row_hash, F.lit(_SAMPLE)) == 0)
-        .select(key_hash.alias("_key"))
-        .groupBy("_key")
-        .agg((F.count(F.lit(1)) * _SAMPLE).alias("_rows"))
-        .where(F.col("_rows") > rows_per_task)
-        .orderBy(F.desc("_rows"), "_key")
-        .limit(HOT_KEYS)
-        .select("_key", F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_copies"))
-    )
-    copies = F.coalesce("_copies", F.lit(1))
-    dealt = (
-        left.withColumn("_key", key_hash)
-        .join(hot, "_key", "left")
-        .withColumn("_salt", F.pmod(row_hash, copies).cast("int"))
-        .drop("_key", "_copies")
-    )
-    copied = (
-        right.withColumn("_key", key_hash)
-        .join(hot, "_key", "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
-        .drop("_key", "_copies")
-    )
-    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
-
-
-def fits_in_memory(df: DataFrame, max_rows: int, max_bytes: int, *text_cols: str) -> bool:
-    """Measure a side before it is broadcast: its rows and the bytes of its texts."""
-    size = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(f"b_{c}") for c in text_cols],
-    ).first()
-    return size["rows"] <= max_rows and sum(size[f"b_{c}"] for c in text_cols) <= max_bytes

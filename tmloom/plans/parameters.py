@@ -20,6 +20,7 @@ class LineParameters:
     source_lang: str = fv.SOURCE_LANG
     target_lang: str = fv.TARGET_LANG
     failure_mark: str = fv.FAILURE_MARK
+    retry_pause: float = fv.LINE_RETRY_PAUSE_SECONDS
     dedupe: bool = False  # send each distinct line once
 
 
@@ -29,6 +30,8 @@ class DocumentParameters:
     max_attempts: int = fv.BLOCK_MAX_ATTEMPTS
     hints_per_block: int = fv.HINTS_PER_BLOCK
     retry_base_delay: float = fv.RETRY_BASE_DELAY
+    rate_limit_cap: float = fv.RATE_LIMIT_DELAY_CAP
+    error_cap: float = fv.ERROR_DELAY_CAP
     limit_blocks: int = 0
     system: str = fv.BLOCK_SYSTEM
 

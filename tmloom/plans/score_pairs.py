@@ -47,6 +47,7 @@ def score_pairs(
     size: int = fv.SCORE_BATCH_SIZE,
     max_attempts: int = fv.SCORE_MAX_ATTEMPTS,
     already_scored: DataFrame | None = None,
+    retry_pause: float = fv.SCORE_RETRY_PAUSE_SECONDS,
 ) -> ScoreRun:
     """Score all pairs; with ``already_scored`` (row_id) only the missing ones."""
     if already_scored is not None:
@@ -56,7 +57,7 @@ def score_pairs(
         caller,
         a.score_judge,
         max_attempts,
-        base_delay=fv.SCORE_RETRY_PAUSE_SECONDS,
+        delay=a.score_delay(retry_pause),
     )
     resolved = a.resolve_attempts(tried, max_attempts, ["scores"])
     return ScoreRun(requests, tried, attach_scores(a.fill_failed_scores(requests, resolved)))

@@ -60,7 +60,12 @@ def translate_documents(
         caller,
         a.block_judge,
         params.max_attempts,
-        base_delay=params.retry_base_delay,
+        delay=a.document_delay(
+            params.retry_base_delay,
+            rate_limit_cap=params.rate_limit_cap,
+            error_cap=params.error_cap,
+        ),
+        judge_by=(),
     )
     resolved = a.resolve_attempts(tried, params.max_attempts, ["translation", "term_pairs"])
     fresh = a.fill_failed_blocks(requests, resolved, params.max_attempts)

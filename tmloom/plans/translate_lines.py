@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,20 +27,15 @@ class LineRun:
 
 
 def plan_requests(
-    lines: DataFrame,
-    progress: DataFrame,
+    batched: DataFrame,
+    history: DataFrame,
     params: LineParameters = LineParameters(),
     segment: fuzzy.Segmenter = tokens,
 ) -> DataFrame:
-    """Requests for all pending lines, with hints from the history at run start."""
-    todo = p.pending(lines, progress, params.failure_mark)
-    if params.dedupe:
-        todo = todo.groupBy("src").agg(F.min("row_id").alias("row_id"))
-    # ranked once: retrieval and packing read it several times
-    batched = materialize(b.assign_batches(todo, params.batch_size), "batched")
+    """Requests for batched lines (row_id, src, batch, pos), with hints from ``history``."""
     hints = fuzzy.retrieve_hints(
         batched,
-        p.valid_history(progress, params.failure_mark),
+        history,
         segment=segment,
         postings_per_token=params.postings_per_token,
         min_similarity=params.min_similarity,
@@ -61,25 +57,49 @@ def translate_lines(
     verifier: a.Caller | None = None,
     params: LineParameters = LineParameters(),
     segment: fuzzy.Segmenter = tokens,
+    waves: int = 1,
 ) -> LineRun:
     """Translate what is pending and restore the input order.
 
     ``caller`` sees ``request_id``, ``payload`` (the lines) and ``options``.
     A second run over the returned rows sends only what failed.
+
+    The batches are sent in ``waves`` of consecutive ones.  Each wave finds its
+    hints in the log and in the successes of the waves before it, so hints grow
+    inside a run as in a sequential one, in steps of a wave instead of a batch.
     """
-    requests, tried = a.run_waves(
-        plan_requests(lines, progress, params, segment),
-        caller,
-        a.line_judge(verifier),
-        params.max_attempts,
-    )
-    resolved = a.resolve_attempts(tried, params.max_attempts, ["lines"])
-    filled = a.fill_failed_lines(requests, resolved, params.failure_mark)
+    todo = p.pending(lines, progress, params.failure_mark)
+    if params.dedupe:
+        todo = todo.groupBy("src").agg(F.min("row_id").alias("row_id"))
+    # ranked once: retrieval and packing read it several times
+    batched = materialize(b.assign_batches(todo, params.batch_size), "batched")
+    ends = batched.agg(F.max("batch")).first()[0]
+    total = 0 if ends is None else ends + 1
     last = progress.agg(F.max("seq")).first()[0]
     first_seq = 0 if last is None else last + 1
-    new_rows = b.align_lines(filled).select(
-        (F.col("batch") * params.batch_size + F.col("pos") + first_seq).alias("seq"), "src", "tgt"
-    )
-    log = progress.select("seq", "src", "tgt").unionByName(new_rows)
+    log = progress.select("seq", "src", "tgt")
+    waves = max(1, min(waves, total))
+    done = []
+    for wave in range(waves):
+        low, high = total * wave // waves, total * (wave + 1) // waves
+        part = batched.where((F.col("batch") >= low) & (F.col("batch") < high))
+        requests, tried = a.run_waves(
+            plan_requests(part, p.valid_history(log, params.failure_mark), params, segment),
+            caller,
+            a.line_judge(verifier),
+            params.max_attempts,
+            delay=a.line_delay(params.retry_pause),
+            judge_by=("expected_lines", "sources") if verifier is not None else ("expected_lines",),
+        )
+        resolved = a.resolve_attempts(tried, params.max_attempts, ["lines"])
+        filled = a.fill_failed_lines(requests, resolved, params.failure_mark)
+        new_rows = b.align_lines(filled).select(
+            (F.col("batch") * params.batch_size + F.col("pos") + first_seq).alias("seq"), "src", "tgt"
+        )
+        if waves > 1:
+            new_rows = materialize(new_rows, "new_rows")
+        log = log.unionByName(new_rows)
+        done.append((requests, tried, new_rows))
+    requests, tried, new_rows = (reduce(DataFrame.unionByName, x) for x in zip(*done))
     restored = p.restore_order(lines, p.latest_progress(log), params.failure_mark)
     return LineRun(requests, tried, new_rows, restored)

@@ -6,8 +6,10 @@ the data model and a DataFrame has none.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TERM_PAIRS = "array<struct<source:string,target:string>>"
@@ -17,38 +19,44 @@ RESULT_SCHEMA = (
     "error_message:string,cache_hit:boolean>"
 )
 MEMORY_SCHEMA = f"source_hash string, result {RESULT_SCHEMA}"
+MEMORY_BUCKETS = 64  # folders of one run of a memory log
+
+_FILE_BITS = 40  # bytes and rows of one file
+
 
-_POSITION_BITS = 33  # rows of one task, as in monotonically_increasing_id
+def natural_rank(paths: list[str]) -> dict[str, int]:
+    """Place of each path when runs of digits in it compare as numbers."""
+
+    def parts(path: str) -> list:
+        return [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.split(r"(\d+)", path)]
+
+    return {path: n for n, path in enumerate(sorted(paths, key=parts))}
 
 
 def with_file_order(df: DataFrame, out: str) -> DataFrame:
-    """Add ``out``: a unique long that follows (file name, position in file).
+    """Add ``out``: a unique long that follows (file, position in file).
 
-    A scan may hand file splits to tasks in any order, so the task number alone
-    is not the file order.  The list of splits, a few bytes per split and read
-    without data columns, gives each split its rank; rows inside a split are
-    numbered by the task that reads them.
+    Files rank by the listing that planning made, part 10 after part 9; no
+    second scan.  Inside a file, a row's place is the byte at which its split
+    starts plus its number in the task.  That number counts the rows before it,
+    each at least a byte long, so it stays below the start of the next split;
+    a task with several splits holds last or whole files only.
     """
-    split = ["_path", "_start"]
+    ranks = natural_rank(df.inputFiles())
+    spark = df.sparkSession
+    plain = lambda path: F.regexp_replace(path, "^file:/+", "file:/")  # noqa: E731  written either way
+    ranked = spark.createDataFrame(list(ranks.items()), "_path string, _rank long").withColumn(
+        "_path", plain(F.col("_path"))
+    )
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     tagged = df.withColumns(
         {
-            "_path": F.col("_metadata.file_path"),
-            "_start": F.col("_metadata.file_block_start"),
-            "_pos": F.monotonically_increasing_id(),
+            "_path": plain(F.col("_metadata.file_path")),
+            "_place": F.col("_metadata.file_block_start") + in_task,
         }
     )
-    splits = (
-        df.select(
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_block_start").alias("_start"),
-        )
-        .distinct()
-        .withColumn("_split", F.row_number().over(Window.orderBy(*split)) - 1)
-    )
-    in_task = F.col("_pos").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    return tagged.join(splits, split).select(
-        F.shiftleft(F.col("_split").cast("long"), _POSITION_BITS).bitwiseOR(in_task).alias(out),
-        *df.columns,
+    return tagged.join(ranked, "_path").select(
+        F.shiftleft("_rank", _FILE_BITS).bitwiseOR(F.col("_place")).alias(out), *df.columns
     )
 
 
@@ -69,15 +77,28 @@ def read_lines(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     return with_file_order(raw, "row_id")
 
 
-def read_progress(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Append log as (seq, src, tgt); a log that does not exist yet is empty."""
-    schema = "src string, tgt string"
+def _or_empty(spark: SparkSession, schema: str, read) -> DataFrame:
+    """A log that does not exist yet is empty."""
     try:
-        return with_file_order(_csv(spark, path, schema, multi_line), "seq")
+        return read()
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], f"seq long, {schema}")
+        return spark.createDataFrame([], schema)
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The log of ``append_progress`` as (seq, src, tgt), with the order it was written in."""
+    schema = "seq long, src string, tgt string"
+    return _or_empty(spark, schema, lambda: spark.read.schema(f"{schema}, run_id string").parquet(path).drop("run_id"))
+
+
+def read_progress_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A headerless two-column file as (seq, src, tgt), in file order."""
+    schema = "src string, tgt string"
+    return _or_empty(
+        spark, f"seq long, {schema}", lambda: with_file_order(_csv(spark, path, schema, multi_line), "seq")
+    )
 
 
 def read_pairs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -122,19 +143,32 @@ def memory_defaults(df: DataFrame) -> DataFrame:
     )
 
 
-def read_memory(spark: SparkSession, path: str, doc_key: str | None = None) -> DataFrame:
-    """JSON-lines memory log as (seq, doc_key, source_hash, result); bad JSON fails.
+def read_memory(spark: SparkSession, path: str) -> DataFrame:
+    """JSON-lines memory as (seq, doc_key, source_hash, result), in file order; bad JSON fails."""
+    schema = f"doc_key string, {MEMORY_SCHEMA}"
+    return _or_empty(
+        spark, f"seq long, {schema}",
+        lambda: memory_defaults(
+            with_file_order(spark.read.schema(schema).option("mode", "FAILFAST").json(path), "seq")
+        ),
+    )
+
 
-    A log written by ``append_memory`` is partitioned by document, so asking
-    for one ``doc_key`` reads that document's files only.
+def read_memory_log(spark: SparkSession, path: str, doc_key: str | None = None, buckets: int = MEMORY_BUCKETS) -> DataFrame:
+    """The log of ``append_memory`` as (seq, doc_key, source_hash, result).
+
+    ``seq`` is (run, position), so entries of later runs come later.  Asking for
+    one ``doc_key`` reads that document's bucket only.
     """
-    schema = f"doc_key string, {MEMORY_SCHEMA}"
-    try:
-        raw = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], f"seq long, {schema}")
-    if doc_key is not None:
-        raw = raw.where(F.col("doc_key") == doc_key)
-    return memory_defaults(with_file_order(raw, "seq"))
+    schema = f"seq long, doc_key string, {MEMORY_SCHEMA}, run_id string, bucket int"
+
+    def read() -> DataFrame:
+        log = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        if doc_key is not None:
+            bucket = F.pmod(F.xxhash64(F.lit(doc_key)), F.lit(buckets)).cast("int")
+            log = log.where((F.col("bucket") == bucket) & (F.col("doc_key") == doc_key))
+        order = F.struct(F.col("run_id").alias("run"), F.col("seq").alias("position"))
+        return memory_defaults(log.select(order.alias("seq"), "doc_key", "source_hash", "result"))
+
+    empty = f"seq struct<run:string,position:long>, doc_key string, {MEMORY_SCHEMA}"
+    return _or_empty(spark, empty, read)

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tmloom.sources.files import MEMORY_BUCKETS
+
 _QUOTED = {"escape": '"', "emptyValue": ""}
 
 
-def append_progress(df: DataFrame, path: str, run_id: str, fmt: str = "parquet") -> None:
+def append_progress(df: DataFrame, path: str, run_id: str) -> None:
     """Append finished rows (failed ones too) so that a rerun can resume.
 
-    Each run writes its own ``run_id`` folder, so a run that is repeated after
-    a failure replaces its rows instead of doubling them.
+    ``read_progress`` reads them back with their ``seq``.  Each run writes its
+    own ``run_id`` folder, so a run that is repeated after a failure replaces
+    its rows instead of doubling them.
     """
-    rows = df.select("seq", "src", "tgt")
-    rows.write.mode("overwrite").format(fmt).save(f"{path}/run_id={run_id}")
+    df.select("seq", "src", "tgt").write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
 
 
 def write_ordered(df: DataFrame, path: str, order_by: str = "row_id") -> None:
@@ -24,10 +26,13 @@ def write_ordered(df: DataFrame, path: str, order_by: str = "row_id") -> None:
     rows.write.mode("errorifexists").options(header=False, **_QUOTED).csv(path)
 
 
-def write_scored(df: DataFrame, path: str) -> None:
-    """Append ``Source,Target,Score`` rows with a header, in row order."""
+def write_scored(df: DataFrame, path: str, run_id: str) -> None:
+    """``Source,Target,Score`` rows of one run with a header, in row order.
+
+    Run folders follow each other by name; a repeated run replaces its own.
+    """
     rows = df.orderBy("row_id").select("Source", "Target", "Score")
-    rows.write.mode("append").options(header=True, **_QUOTED).csv(path)
+    rows.write.mode("overwrite").options(header=True, **_QUOTED).csv(f"{path}/run_id={run_id}")
 
 
 def write_tables(extracted: DataFrame, bilingual: DataFrame, glossary: DataFrame, path: str) -> dict:
@@ -44,20 +49,25 @@ def write_results_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
-def append_memory(df: DataFrame, path: str) -> None:
-    """Append {source_hash, result} JSON lines, foldered by document.
+def append_memory(
+    df: DataFrame, path: str, run_id: str, buckets: int = MEMORY_BUCKETS, split: int = 4
+) -> None:
+    """Append {seq, doc_key, source_hash, result} JSON lines under the run's folder.
 
-    Spread by (document, hash) so that one large document is written by many
-    tasks; sorted in each task so that a task keeps one file open at a time.
+    Run ids must sort in the order of the runs; a repeated run replaces its
+    rows.  Documents are hashed to ``buckets`` folders of at most ``split``
+    files each, whatever their number, and lie together inside a file; one large
+    document is written by ``split`` tasks.
     """
-    rows = df.select("doc_key", "seq", "source_hash", "result")
+    rows = df.select("doc_key", "seq", "source_hash", "result").withColumn(
+        "bucket", F.pmod(F.xxhash64("doc_key"), F.lit(buckets)).cast("int")
+    )
     (
-        rows.repartition("doc_key", "source_hash")
-        .sortWithinPartitions("doc_key", "seq")
-        .drop("seq")
-        .write.mode("append")
-        .partitionBy("doc_key")
-        .json(path)
+        rows.repartition(buckets * split, "bucket", F.pmod(F.xxhash64("source_hash"), F.lit(split)))
+        .sortWithinPartitions("bucket", "doc_key", "seq")
+        .write.mode("overwrite")
+        .partitionBy("bucket")
+        .json(f"{path}/run_id={run_id}")
     )
 
 

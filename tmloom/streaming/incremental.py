@@ -26,9 +26,9 @@ def _run_id(batch_id: int) -> str:
     return f"batch-{batch_id:012d}"
 
 
-def _read_log(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+def _read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(schema).format(fmt).load(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -41,8 +41,15 @@ def progress_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def memory_log(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, doc_key, source_hash, result, run_id) of all runs so far."""
-    return memory_defaults(_read_log(spark, path, _MEMORY_LOG, "json"))
+    """(seq, doc_key, source_hash, result, run_id) of all runs so far; ``seq`` is (run, position)."""
+    order = F.struct(F.col("run_id").alias("run"), F.col("seq").alias("position"))
+    return memory_defaults(_read_log(spark, path, _MEMORY_LOG).withColumn("seq", order))
+
+
+def open_failures(log: DataFrame, mark: str) -> DataFrame:
+    """Sources whose last log row is the mark, as lines that come before all others."""
+    last = log.groupBy("src").agg(F.max_by("tgt", "seq").alias("tgt"), F.max("seq").alias("seq"))
+    return last.where(F.col("tgt") == mark).select((-1 - F.col("seq")).alias("row_id"), "src")
 
 
 def run_incremental(
@@ -55,14 +62,18 @@ def run_incremental(
 ) -> StreamingQuery:
     """Translate the new lines of a stream (row_id, src) and append the outcome.
 
-    A line whose source is already in the log is skipped; sources whose last
-    row is the failure mark are sent again when they arrive again.
+    A line whose source is already in the log is skipped.  Sources whose last
+    row is the failure mark are sent again with every micro-batch, whether or
+    not they arrive again.
     """
 
     def step(arrived: DataFrame, batch_id: int) -> None:
         log = progress_log(arrived.sparkSession, progress_path)
         seen = log.where(F.col("run_id") != _run_id(batch_id))
-        run = translate_lines(arrived, seen, caller, verifier, params)
+        fresh = arrived.select("row_id", "src")
+        again = open_failures(seen, params.failure_mark).join(fresh, "src", "left_anti")
+        todo = fresh.unionByName(again.select("row_id", "src"))
+        run = translate_lines(todo, seen, caller, verifier, params)
         append_progress(run.new_rows, progress_path, _run_id(batch_id))
 
     return (
@@ -91,10 +102,7 @@ def refresh_memory_per_batch(
         # results are written first: they are a stored table, and the new
         # memory entries follow from them and from the memory of earlier runs
         run.results.write.mode("overwrite").parquet(f"{results_path}/run_id={run_id}")
-        last = seen.agg(F.max("seq")).first()[0]
-        base = 0 if last is None else last + 1
-        entries = run.new_memory.withColumn("seq", F.pmod("seq", F.lit(1 << 61)) + base)
-        entries.write.mode("overwrite").json(f"{memory_path}/run_id={run_id}")
+        run.new_memory.write.mode("overwrite").parquet(f"{memory_path}/run_id={run_id}")
 
     return (
         pages.writeStream.foreachBatch(step)
