@@ -70,7 +70,7 @@ def _(spark, d):
 def _(spark, d):
     terms = m.term_frequencies(s.memory(spark, d))
     seen = F.col("first_seen")
-    return terms.withColumn("first_seen", seen["first_seq"] * 1000 + seen["pos"])
+    return terms.withColumn("first_seen", seen["first_seq"] * 1000000 + seen["pos"])
 
 
 s.add_cte(

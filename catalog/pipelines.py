@@ -144,11 +144,11 @@ def _(spark, d):
 
 
 def block_answers(requests, attempt):
-    """Fenced JSON with one term; every fifth block of a page never answers."""
-    word = F.coalesce(F.get(s.long_words(F.col("source_text")), F.lit(0)), F.lit(""))
+    """Fenced JSON with every word as a term; every fifth block of a page never answers."""
+    terms = F.rtrim(s.json_terms(s.long_words(F.col("source_text"))), F.lit(","))
     body = F.concat(
         F.lit('```json\n{"translation":"new '), s.json_text(F.col("source_text")),
-        F.lit('","terms":[{"source":"'), word, F.lit('","target":"'), F.upper(word), F.lit('"}]}\n```'),
+        F.lit('","terms":['), terms, F.lit(']}\n```'),
     )
     down = F.col("block_no") % 5 == 0
     return answer(requests, attempt, F.when(~down, body), F.when(down, 500).otherwise(200))
@@ -156,12 +156,14 @@ def block_answers(requests, attempt):
 
 def earlier_memory(spark, d):
     """The blocks of even pages as translated by an earlier run."""
-    word = F.coalesce(F.get(s.long_words(F.col("source_text")), F.lit(0)), F.lit(""))
+    words = s.long_words(F.col("source_text"))
     even = blocks(spark, d).where(F.col("page") % 2 == 0)
     result = F.struct(
         "page", "block_id", "source_text",
         F.concat(F.lit("old "), "source_text").alias("translation"),
-        F.array(F.struct(word.alias("source"), F.upper(word).alias("target"))).alias("term_pairs"),
+        F.transform(
+            words, lambda w: F.struct(w.alias("source"), F.upper(w).alias("target"))
+        ).alias("term_pairs"),
         F.lit(1).alias("attempts"), F.lit(0.5).alias("elapsed_seconds"), F.lit("ok").alias("status"),
         F.lit("").alias("error_message"), F.lit(False).alias("cache_hit"),
     )

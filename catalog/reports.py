@@ -118,7 +118,7 @@ def _(spark, d):
 _GLOSSARY = r"""SELECT doc_key, source, target, count(*) AS frequency,
     array_to_string(list_sort(list_distinct(list(page))), ', ') AS pages,
     arg_min(left(source_text, 180), ord) AS example
-    FROM (SELECT doc_key, page, source_text, page * 1000 + pos AS ord, trim(term.target) AS target,
+    FROM (SELECT doc_key, page, source_text, page * 1000000 + pos AS ord, trim(term.target) AS target,
                  regexp_replace(trim(term.source), '\s+', ' ', 'g') AS source
           FROM (SELECT doc_key, page, source_text, unnest(term_pairs) AS term,
                        unnest(range(len(term_pairs))) AS pos FROM results))

@@ -111,12 +111,13 @@ def _pair(source: Column, target: Column) -> Column:
 
 
 def term_pairs(words: Column, lang: Column) -> Column:
-    """Pairs with a repeat, a whitespace variant and a symbol-only term."""
+    """A pair for every word, a repeat, a whitespace variant and a symbol-only term."""
     w = [F.coalesce(F.get(words, F.lit(i)), F.lit("")) for i in range(3)]
-    base = F.array(
-        _pair(w[0], F.upper(w[0])),
-        _pair(F.concat(w[1], F.lit("  "), w[2]), F.upper(w[1])),
-        _pair(F.lit("--"), F.lit("x")),
+    base = F.concat(
+        F.transform(words, lambda x: _pair(x, F.upper(x))),
+        F.array(
+            _pair(F.concat(w[1], F.lit("  "), w[2]), F.upper(w[1])), _pair(F.lit("--"), F.lit("x"))
+        ),
     )
     return F.when(lang == "fr", F.concat(base, F.array(_pair(w[0], F.upper(w[0]))))).otherwise(base)
 
@@ -218,19 +219,27 @@ def json_text(c: Column) -> Column:
     return c
 
 
+def json_terms(words: Column, space: str = "") -> Column:
+    """Terms of a JSON list, each followed by a comma: every word and its upper case."""
+    term = lambda w: F.concat(
+        F.lit(f'{{"source":"{space}'), w, F.lit(f'{space}","target":"'), F.upper(w), F.lit('"},')
+    )
+    return F.array_join(F.transform(words, term), "")
+
+
 def bodies(spark: SparkSession, d: str) -> DataFrame:
     """Model answers: plain, fenced, wrapped in prose or cut off, by language."""
-    text, word = F.col("escaped"), F.col("word")
+    text = F.col("escaped")
     inner = F.concat(
-        F.lit('{"translation":" '), text, F.lit(' ","terms":[{"source":" '), word,
-        F.lit(' ","target":"'), F.upper(word), F.lit('"},7,{"source":"","target":"x"},{"source":"y"}]}'),
+        F.lit('{"translation":" '), text, F.lit(' ","terms":['), json_terms(F.col("words"), " "),
+        F.lit('7,{"source":"","target":"x"},{"source":"y"}]}'),
     )
     lang = F.col("lang")
     prepared = table(spark, d, "documents").select(
         "doc_id",
         "lang",
         json_text(F.col("text")).alias("escaped"),
-        F.coalesce(F.get(long_words(F.col("text")), F.lit(0)), F.lit("")).alias("word"),
+        long_words(F.col("text")).alias("words"),
     )
     return prepared.select(
         "doc_id",
@@ -301,11 +310,11 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                   coalesce(l.quality <> 0, true) AS good,
                   CASE WHEN NOT coalesce(l.quality <> 0, true) THEN ''
                        WHEN d.lang = 'en' THEN d.text ELSE repeat('译', n_chars) END AS translation,
-                  list_concat([
-                      {'source': coalesce(w.words[1], ''), 'target': upper(coalesce(w.words[1], ''))},
+                  list_concat(list_concat(
+                    list_transform(w.words, lambda x: {'source': x, 'target': upper(x)}), [
                       {'source': coalesce(w.words[2], '') || '  ' || coalesce(w.words[3], ''),
                        'target': upper(coalesce(w.words[2], ''))},
-                      {'source': '--', 'target': 'x'}],
+                      {'source': '--', 'target': 'x'}]),
                     CASE WHEN d.lang = 'fr' THEN
                       [{'source': coalesce(w.words[1], ''), 'target': upper(coalesce(w.words[1], ''))}]
                     ELSE [] END) AS term_pairs,
@@ -351,7 +360,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "terms": (
         ("latest_memory",),
         """SELECT doc_key, source, target, count(*) AS frequency,
-                  min(first_seq * 1000 + pos) AS first_seen
+                  min(first_seq * 1000000 + pos) AS first_seen
            FROM (SELECT doc_key, first_seq, unnest(term_pairs).source AS source,
                         unnest(term_pairs).target AS target,
                         unnest(range(len(term_pairs))) AS pos FROM latest_memory)
@@ -370,10 +379,11 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                      WHEN 'fr' THEN '```json' || chr(10) || body || chr(10) || '```' || chr(10)
                      WHEN 'de' THEN 'Antwort: ' || body || ' Ende'
                      ELSE '{"translation": "' || esc END AS body
-            FROM (SELECT *, '{"translation":" ' || esc || ' ","terms":[{"source":" ' || word
-                         || ' ","target":"' || upper(word)
-                         || '"},7,{"source":"","target":"x"},{"source":"y"}]}' AS body
-                  FROM (SELECT doc_id, lang, coalesce(words[1], '') AS word,
+            FROM (SELECT *, '{"translation":" ' || esc || ' ","terms":[' || list
+                         || '7,{"source":"","target":"x"},{"source":"y"}]}' AS body
+                  FROM (SELECT doc_id, lang, coalesce(array_to_string(list_transform(words,
+                                 lambda w: '{"source":" ' || w || ' ","target":"' || upper(w) || '"},'), ''),
+                               '') AS list,
                                replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'),
                                  chr(10), '\n'), chr(13), '\r'), chr(9), '\t') AS esc
                         FROM documents JOIN doc_words USING (doc_id)))""",
