@@ -117,7 +117,7 @@ def _(spark, d):
 
 _GLOSSARY = r"""SELECT doc_key, source, target, count(*) AS frequency,
     array_to_string(list_sort(list_distinct(list(page))), ', ') AS pages,
-    arg_min(left(source_text, 180), ord) AS example
+    arg_min(left(source_text, 180), ord) AS example, min(ord) AS first_seen
     FROM (SELECT doc_key, page, source_text, page * 1000000 + pos AS ord, trim(term.target) AS target,
                  regexp_replace(trim(term.source), '\s+', ' ', 'g') AS source
           FROM (SELECT doc_key, page, source_text, unnest(term_pairs) AS term,
@@ -127,7 +127,7 @@ _GLOSSARY = r"""SELECT doc_key, source, target, count(*) AS frequency,
 s.add_cte("glossary", ("results",), _GLOSSARY)
 
 
-@register("glossary", sql("SELECT * FROM glossary", "glossary"))
+@register("glossary", sql("SELECT * EXCLUDE (first_seen) FROM glossary", "glossary"))
 def glossary(spark, d):
     return r.glossary(s.results(spark, d)).drop("first_seen")
 
@@ -135,13 +135,18 @@ def glossary(spark, d):
 @register(
     "glossary_view",
     sql(
-        """SELECT doc_key, source AS english_term, target AS chinese_term, frequency, pages, example
+        """SELECT doc_key, source AS english_term, target AS chinese_term, frequency, pages, example,
+                  row_number() OVER (ORDER BY doc_key, frequency DESC, first_seen) - 1 AS n
            FROM glossary""",
         "glossary",
     ),
 )
 def _(spark, d):
-    return snake(r.glossary_view(r.glossary(s.results(spark, d))))
+    """The view with the place of each row in it."""
+    from catalog.batches import dense_rank
+
+    view = snake(r.glossary_view(r.glossary(s.results(spark, d))))
+    return dense_rank(view.withColumn("row_id", F.monotonically_increasing_id()))
 
 
 _SUMMARY = f"""SELECT <keys> count(*) AS total, count(*) FILTER (status = 'ok') AS ok,
