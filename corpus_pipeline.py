@@ -14,11 +14,11 @@ from tmloom.llm.queries import table, tokenizer_path
 from tmloom.llm.simhash import drop_near_copies
 from tmloom.operators.scale import materialize
 
-MIN_SHARE = 0.5  # of a document's letters in its language
+MIN_SHARE = 0.35  # of a document's letters in its language; mixed documents stay
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, most of them in one language."""
+    """Documents with letters, but for those that no language has a third of."""
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
     learn = docs.select("doc_id", "text", "lang").where(fold("doc_id", 3) != 1)
     named = identify(rows, learn, carry=["_doc"])

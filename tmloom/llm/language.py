@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmloom.llm.folds import bounded_sample
-from tmloom.llm.texts import map_texts
+from tmloom.llm.texts import Shared, map_texts
 
 SAMPLE_ROWS = 2000  # labelled rows of each language, at most
 BUCKETS = 1 << 17
@@ -240,7 +240,7 @@ def identify(
     known = labelled.where(F.col(lang_col).isNotNull())
     sample, _ = bounded_sample(known, id_col, lang_col, sample_rows)
     model = fit(sample, text_col, lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def prepare():
         model, cache, table = shared.value, {}, []

@@ -11,7 +11,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tmloom.llm.texts import map_texts
+from tmloom.llm.texts import Shared, map_texts
 
 SPACE = "▁"
 CACHE_UNITS = 200_000
@@ -220,7 +220,7 @@ def encode(
     broadcast (some MB, fixed by the model).  Null and empty texts have no ids.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Pieces.load(model))
+    shared = Shared(spark, Pieces.load(model))
 
     def prepare():
         pieces, cache = shared.value, {}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmloom.llm.folds import bounded_labels
-from tmloom.llm.texts import map_texts
+from tmloom.llm.texts import Shared, map_texts
 
 SAMPLE_ROWS = 1500  # labelled documents of each class that the field is fitted on, at most
 SAMPLE_LINES = 64  # lines of a training document used at most, evenly spread; scoring uses all
@@ -232,7 +232,7 @@ def score_quality(
             np.concatenate(blocks).astype(float), np.array(list(map(len, blocks))), labels,
             np.where(labels > 0, counts[1] / (labels > 0).sum(), counts[0] / (labels < 1).sum()),
         )
-    shared = spark.sparkContext.broadcast((field, share))
+    shared = Shared(spark, (field, share))
 
     def prepare():
         field, share = shared.value

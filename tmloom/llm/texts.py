@@ -5,13 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SLICE_CHARS = 4_000_000
 
 
+class Shared:
+    """A value broadcast to the executors; its classes travel with it, so they need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return cloudpickle.loads(self._packed.value)
+
+
 def map_texts(
     df: DataFrame,
     keep: Sequence[str],

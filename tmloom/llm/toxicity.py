@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmloom.llm.folds import bounded_labels
-from tmloom.llm.texts import map_texts
+from tmloom.llm.texts import Shared, map_texts
 from tmloom.operators.scale import materialize
 
 ORDER = 6
@@ -224,12 +224,10 @@ def score_toxicity(
     grams = gram_counts(sample, text_col, label_col, "_half").collect()
     of = lambda c: [(g, *n) for g, *x in grams if sum(n := c(*x))]
     by_half = [
-        spark.sparkContext.broadcast(SpellingModels.fit(of(c)))
+        Shared(spark, SpellingModels.fit(of(c)))
         for c in (lambda a, b, c, d: (c, d), lambda a, b, c, d: (a, b))
     ]
-    shared = spark.sparkContext.broadcast(
-        SpellingModels.fit(of(lambda a, b, c, d: (a + c, b + d)))
-    )
+    shared = Shared(spark, SpellingModels.fit(of(lambda a, b, c, d: (a + c, b + d))))
     held = pd.concat(
         [
             _scored(sample.where(F.col("_half") == k), by_half[k], id_col, text_col, [label_col], None)
