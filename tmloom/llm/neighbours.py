@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from tmloom.operators.scale import materialize
 
 DEGREE = 40
-REVERSE = 40  # links into a node that join a round, by a new hash order each round
-TABLES = 8
-CHUNK = 500
+REVERSE = 100  # links into a node that join a round, by a hash order
+TABLES = 12
+CHUNK = 2000
 FIRST = 16  # neighbours of a node taken from one comparison of a run
-ROUNDS = 3
+ROUNDS = 8  # at most
+SETTLED = 0.02  # share of new links after a round, below which the graph is done
 BEAM = 48
-WIDTH = 4
-SEARCH_ROUNDS = 2
+WIDTH = 16
+SEARCH_ROUNDS = 3
 PLANES = 24
 _ROWS = 1 << 16
 
@@ -159,13 +160,13 @@ def _unpack(column) -> np.ndarray:
     return np.ascontiguousarray(raw[:, 4:]).view(np.int8) * np.ascontiguousarray(raw[:, :4]).view("<f4")
 
 
-def descend(edges: DataFrame, small: DataFrame, degree: int, reverse: int, turn: int) -> DataFrame:
+def descend(edges: DataFrame, small: DataFrame, degree: int, reverse: int) -> DataFrame:
     """One round of NN-descent: neighbours of a node, out and in, are offered to each other.
 
     Pairs that were both there the round before have met already and are left
     out.  An offer is kept if it beats the worst neighbour a node has.
     """
-    back = Window.partitionBy("mid").orderBy(F.xxhash64(F.lit(turn), "mid", "node"))
+    back = Window.partitionBy("mid").orderBy(F.xxhash64("mid", "node"))
     into = (
         edges.select(F.col("nbr").alias("mid"), "node", "new")
         .withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= reverse).drop("_r")
@@ -215,12 +216,17 @@ def build_graph(
     """(``node``, ``nbr``, ``sim``): about the ``degree`` nearest of every node, by inner product.
 
     ``nodes`` holds (``node``, ``vec``) with distinct vectors.  A graph from
-    random planes is bettered by ``rounds`` joins of neighbours of neighbours.
+    random planes is bettered by joins of neighbours of neighbours, until few
+    links of a round are new, or ``rounds`` are done.  Larger tables need more
+    rounds.
     """
     edges = materialize(_best(first_graph(nodes, dtype, tables, CHUNK, seed), degree), "graph")
     small = materialize(_small(nodes, dtype), "small")
-    for turn in range(rounds):
-        edges = materialize(descend(edges, small, degree, REVERSE, turn), "graph")
+    for _ in range(rounds):
+        edges = materialize(descend(edges, small, degree, REVERSE), "graph")
+        fresh = edges.agg(F.avg(F.col("new").cast("int"))).first()[0]
+        if fresh is None or fresh < SETTLED:
+            break
     return edges
 
 
