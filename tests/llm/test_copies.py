@@ -145,6 +145,21 @@ def test_near_groups(spark):
     assert sorted(r.doc_id for r in twice.collect()) == sorted(set(root.values()))
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    rng = random.Random(15)
+    base = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(300)) for _ in range(6)]
+    copy = next(
+        c for i in range(300)
+        if (fingerprint(c := " ".join([*base[2].split()[:i], "other", *base[2].split()[i + 1 :]])) ^ fingerprint(base[2])).bit_count() <= 4
+    )
+    rows = [(7, base[0]), (2, base[2]), (7, copy), (None, base[3]), (None, base[4]), (None, copy), (8, base[5]), (8, base[1]),
+            (None, base[4]), (9, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(7, base[0]), (2, base[2]), (None, base[3]), (None, base[4]), (8, base[5]), (8, base[1]), (9, None)]
+    for frame in (df, df.repartition(3), df.orderBy(F.desc("text"))):
+        assert sorted(map(repr, map(tuple, drop_near_copies(frame).collect()))) == sorted(map(repr, want))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (200, 150)]
     edges = spark.createDataFrame(chain, "a long, b long")

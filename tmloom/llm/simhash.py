@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -52,9 +52,10 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
 
 
 def fingerprints(
-    docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE_WORDS, seed: int = SEED
+    docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE_WORDS, seed: int = SEED,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(``id_col``, ``fp``): the fingerprint's bits as a long.  Null texts have fingerprint 0."""
+    """(``id_col``, ``carry``, ``fp``): the fingerprint's bits as a long.  Null texts have fingerprint 0."""
 
     def prepare():
         def work(texts):
@@ -63,7 +64,7 @@ def fingerprints(
 
         return work
 
-    return map_texts(docs, [id_col], text_col, prepare, "fp long")
+    return map_texts(docs, [id_col, *carry], text_col, prepare, "fp long")
 
 
 def blocks(max_distance: int) -> list[int]:
@@ -214,6 +215,14 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     )
 
 
+def _rooted(nodes: DataFrame, max_distance: int) -> DataFrame:
+    """``nodes`` (``fp``, ``_least``) with ``_root``, the fingerprint that names their component."""
+    roots = materialize(components(links(nodes.select("fp"), max_distance)), "roots")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "_least", F.coalesce("root", "fp").alias("_root")
+    )
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -230,10 +239,7 @@ def near_groups(
     """
     marked = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("_least")), "nodes")
-    roots = materialize(components(links(nodes.select("fp"), max_distance)), "roots")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "_least", F.coalesce("root", "fp").alias("_root")
-    )
+    rooted = _rooted(nodes, max_distance)
     named = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     placed = rooted.select("fp", "_root").join(named, "_root").select("fp", "component_id")
     return marked.join(placed, "fp").select(id_col, "fp", "component_id")
@@ -243,15 +249,22 @@ def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE,
 ) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id.
+    """``docs`` with one row of each group: the one with the smallest id, null ids last.
 
-    Rows that share an id stay or go together, and one of them stays.
+    A row is known by its id and its text's hash, so rows that share an id, or
+    have none, stay or go by their own texts.  Rows equal in both are one group,
+    of which one stays.
     """
-    groups = materialize(near_groups(docs, id_col, text_col, words, max_distance), "near")
-    stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-        F.col(id_col).alias("_id")
-    ).distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi")
-    if groups.groupBy(id_col).count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col])
+    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    rows = docs.select(id_col, text_col, sha.alias("_sha"))
+    marked = materialize(fingerprints(rows, id_col, text_col, words, carry=["_sha"]), "fingerprints")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_sha").alias("sha")))
+    nodes = materialize(marked.groupBy("fp").agg(first.alias("_least")), "nodes")
+    best = _rooted(nodes, max_distance).groupBy("_root").agg(F.min("_least").alias("_best"))
+    stay = materialize(best.select(F.col("_best.id").alias("_id"), F.col("_best.sha").alias("_stay")), "stay")
+    kept = docs.withColumn("_sha", sha).join(
+        stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_stay")), "left_semi"
+    )
+    if not marked.groupBy(id_col, "_sha").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "_sha"])
+    return kept.drop("_sha")
