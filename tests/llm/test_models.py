@@ -5,13 +5,14 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from tmloom.llm import language, quality, toxicity
 from tmloom.llm.html import main_text, page_blocks
-from tmloom.llm.neighbours import nearest
+from tmloom.llm.neighbours import greedy_search, nearest
 from tmloom.llm.pieces import Pieces, decode_ids, encode, encode_texts
 from tmloom.llm.queries import tokenizer_path
 from tmloom.llm.urls import filter_urls, rules_table, site_rule, word_rule
@@ -222,3 +223,31 @@ def test_nearest(spark):
     few = df.where("vec_id < 3")
     assert sorted((r.query_id, r.vec_id) for r in nearest(few, few.where("vec_id = 0")).collect()) == [(0, 1), (0, 2)]
     assert nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_search_goes_on_until_the_beam_is_settled(spark):
+    n = 10
+    angle = np.linspace(0, 3, n)
+    x = np.column_stack([np.cos(angle), np.sin(angle)])
+    nodes = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "node long, vec binary")
+    edges = spark.createDataFrame([(k, k + 1) for k in range(n - 1)], "node long, nbr long")
+    asked = spark.createDataFrame([(0, bytearray(x[-1].tobytes())), (1, bytearray(x[3].tobytes()))], "query long, vec binary")
+    entries = spark.createDataFrame([(0, 0), (1, 0)], "query long, node long")
+    got = greedy_search(asked, nodes, edges, "<f8", entries, beam=3, width=4).collect()
+    by = {q: sorted(r.node for r in got if r.query == q) for q in (0, 1)}
+    assert by == {0: [7, 8, 9], 1: [2, 3, 4]}
+
+
+def test_recall_on_a_large_table(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(50_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    df = spark.createDataFrame(table)
+    asked = np.arange(0, len(x), 500)
+    sims = x[asked] @ x.T
+    sims[np.arange(len(asked)), asked] = -np.inf
+    want = np.argpartition(-sims, 19, axis=1)[:, :20]
+    got = nearest(df, df.where("vec_id % 500 = 0")).toPandas().groupby("query_id")["vec_id"].agg(set)
+    hits = sum(len(got[q] & set(w.tolist())) for q, w in zip(asked.tolist(), want, strict=True))
+    assert hits >= 0.9 * 20 * len(asked)

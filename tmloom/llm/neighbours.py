@@ -20,7 +20,6 @@ ROUNDS = 8  # at most
 SETTLED = 0.02  # share of new links after a round, below which the graph is done
 BEAM = 48
 WIDTH = 16
-SEARCH_ROUNDS = 3
 PLANES = 24
 _ROWS = 1 << 16
 
@@ -232,14 +231,16 @@ def build_graph(
 
 def greedy_search(
     queries: DataFrame, nodes: DataFrame, edges: DataFrame, dtype: str, entries: DataFrame,
-    beam: int = BEAM, width: int = WIDTH, rounds: int = SEARCH_ROUNDS,
+    beam: int = BEAM, width: int = WIDTH,
 ) -> DataFrame:
     """(``query``, ``node``, ``score``): the ``beam`` nearest nodes found for each query.
 
     ``queries`` holds (``query``, ``vec``), ``entries`` (``query``, ``node``)
-    where each starts.  Every round opens the ``width`` nearest nodes not yet
-    opened and meets all their neighbours, out and in.  Scores are inner
-    products in double precision.
+    where each starts.  Every round opens the ``width`` nearest nodes of a beam
+    not yet opened and meets all their neighbours, out and in, until no beam
+    holds an unopened node.  Queries whose beam is settled take no part in
+    further rounds.  A beam only gets nearer, so a node that left it never comes
+    back and the rounds end.  Scores are inner products in double precision.
     """
     links = edges.select("node", "nbr").unionByName(
         edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))
@@ -262,8 +263,20 @@ def greedy_search(
         )
 
     near = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    state = materialize(score(entries.distinct()), "beam")
-    for turn in range(rounds + 1):
+    whole = Window.partitionBy("query")
+
+    def beams(rows: DataFrame) -> DataFrame:
+        """The best rows of each query, and whether any of them is to be opened."""
+        best = rows.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= beam).drop("_r")
+        return materialize(best.withColumn("open", F.max(~F.col("opened")).over(whole)), "beam")
+
+    state, turn = beams(score(entries.distinct())), 0
+    settled = []
+    while True:
+        settled.append(state.where("not open").select("query", "node", "score"))
+        state = state.where("open").drop("open")
+        if state.isEmpty():
+            break
         chosen = state.where("not opened").withColumn("_r", F.row_number().over(near))
         chosen = chosen.where(F.col("_r") <= (1 if turn == 0 else width)).select("query", "node")
         met = chosen.join(links, "node").select("query", F.col("nbr").alias("node")).distinct()
@@ -271,12 +284,11 @@ def greedy_search(
         opened = state.join(chosen.withColumn("_now", F.lit(True)), ["query", "node"], "left").select(
             "query", "node", "score", (F.col("opened") | F.coalesce("_now", F.lit(False))).alias("opened")
         )
-        state = materialize(
-            opened.unionByName(fresh).withColumn("_r", F.row_number().over(near))
-            .where(F.col("_r") <= beam).drop("_r"),
-            "beam",
-        )
-    return state.select("query", "node", "score")
+        state, turn = beams(opened.unionByName(fresh)), turn + 1
+    found = settled[0]
+    for part in settled[1:]:
+        found = found.unionByName(part)
+    return found
 
 
 def nearest(
