@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tmloom.llm import language, quality, toxicity
 from tmloom.llm.html import main_text, page_blocks
-from tmloom.llm.neighbours import greedy_search, nearest
+from tmloom.llm.neighbours import _small, descend, greedy_search, nearest
 from tmloom.llm.pieces import Pieces, decode_ids, encode, encode_texts
 from tmloom.llm.queries import tokenizer_path
 from tmloom.llm.urls import filter_urls, rules_table, site_rule, word_rule
@@ -251,3 +251,19 @@ def test_recall_on_a_large_table(spark):
     got = nearest(df, df.where("vec_id % 500 = 0")).toPandas().groupby("query_id")["vec_id"].agg(set)
     hits = sum(len(got[q] & set(w.tolist())) for q, w in zip(asked.tolist(), want, strict=True))
     assert hits >= 0.9 * 20 * len(asked)
+
+
+def test_every_link_into_a_hub_takes_part(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    nodes = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "node long, vec binary")
+    rows = [(k, 0, float(x[k] @ x[0]), True) for k in range(2, 60)] + [(0, 1, float(x[0] @ x[1]), True), (1, 0, float(x[0] @ x[1]), True)]
+    edges = spark.createDataFrame(rows, "node long, nbr long, sim double, new boolean")
+    small = _small(nodes, "<f4")
+    pairs = {(r.node, r.nbr) for r in descend(edges, small, 60, 5).collect()}
+    assert {(k, 1) for k in range(2, 60)} <= pairs  # each is offered the hub's neighbour
+    met = []
+    for turn in (0, 1):
+        old = descend(edges.withColumn("new", F.lit(False)), small, 60, 5, turn)
+        met.append({(r.node, r.nbr) for r in old.collect()} - {(a, b) for a, b, *_ in rows})
+    assert all(len(m) > 58 for m in met) and met[0] != met[1]  # others of the hub's links each round

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tmloom.operators.scale import materialize
 
 DEGREE = 40
-REVERSE = 100  # links into a node that join a round, by a hash order
+REVERSE = 100  # links into a node that meet in one group; a node with more has several groups
 TABLES = 12
 CHUNK = 2000
 FIRST = 16  # neighbours of a node taken from one comparison of a run
@@ -66,8 +66,8 @@ def _heaps(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _runs(batches, key: int) -> Iterator[pa.Table]:
-    """Batches of rows sorted by a column, cut so that no value is in two of them."""
+def _runs(batches, *keys: int) -> Iterator[pa.Table]:
+    """Batches of rows sorted by some columns, cut so that no values of them are in two tables."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -76,8 +76,9 @@ def _runs(batches, key: int) -> Iterator[pa.Table]:
         if sum(b.num_rows for b in held) < _ROWS:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        keys = table.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))
+        columns = [table.column(key).to_numpy() for key in keys]
+        other = np.flatnonzero(np.any([c != c[-1] for c in columns], axis=0))
+        cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
             yield table.slice(0, cut)
         held = table.slice(cut).to_batches()
@@ -159,39 +160,63 @@ def _unpack(column) -> np.ndarray:
     return np.ascontiguousarray(raw[:, 4:]).view(np.int8) * np.ascontiguousarray(raw[:, :4]).view("<f4")
 
 
-def descend(edges: DataFrame, small: DataFrame, degree: int, reverse: int) -> DataFrame:
+def descend(edges: DataFrame, small: DataFrame, degree: int, reverse: int, turn: int = 0) -> DataFrame:
     """One round of NN-descent: neighbours of a node, out and in, are offered to each other.
 
     Pairs that were both there the round before have met already and are left
     out.  An offer is kept if it beats the worst neighbour a node has.
+
+    A node with more than ``reverse`` links into it deals them to groups of
+    about that many, by a hash that differs from ``turn`` to ``turn``.  Each
+    group meets all of the node's links out, so every link takes part in every
+    round.  Links of one group meet whether new or not, as they may have been in
+    different groups until now.
     """
-    back = Window.partitionBy("mid").orderBy(F.xxhash64("mid", "node"))
+    hubs = (
+        edges.groupBy(F.col("nbr").alias("mid")).count().where(F.col("count") > reverse)
+        .select("mid", F.ceil(F.col("count") / reverse).cast("int").alias("groups"))
+    )
+    hubs = materialize(hubs, "hubs")
+    dealt = F.pmod(F.xxhash64("mid", "node", F.lit(turn)), F.col("groups")).cast("int")
     into = (
-        edges.select(F.col("nbr").alias("mid"), "node", "new")
-        .withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= reverse).drop("_r")
+        edges.select(F.col("nbr").alias("mid"), "node", "new").join(hubs, "mid", "left")
+        .select("mid", F.coalesce(dealt, F.lit(0)).alias("part"), "node", "new",
+                F.lit(False).alias("out"), F.col("groups").isNotNull().alias("hub"))
+    )
+    out = (
+        edges.select(F.col("node").alias("mid"), F.col("nbr").alias("node"), "new").join(hubs, "mid", "left")
+        .select("mid", F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)).alias("part"), "node", "new",
+                F.lit(True).alias("out"), F.col("groups").isNotNull().alias("hub"))
+    )
+    meet = out.unionByName(into).groupBy("mid", "part", "node").agg(
+        F.max("new").alias("new"), F.max("out").alias("out"), F.max("hub").alias("hub")
     )
-    out = edges.select(F.col("node").alias("mid"), F.col("nbr").alias("node"), "new")
-    meet = out.unionByName(into).groupBy("mid", "node").agg(F.max("new").alias("new"))
     worst = edges.groupBy("node").agg(
         F.when(F.count(F.lit(1)) >= degree, F.min("sim")).otherwise(float("-inf")).alias("worst")
     )
     offered = (
         meet.join(small.join(worst, "node"), "node")
-        .repartition("mid").sortWithinPartitions("mid").select("mid", "node", "worst", "new", "small")
+        .repartition("mid", "part").sortWithinPartitions("mid", "part")
+        .select("mid", "part", "node", "worst", "new", "out", "hub", "small")
     )
 
     def join(batches):
-        for table in _runs(batches, 0):
-            mid, ids, floor = (table.column(k).to_numpy() for k in range(3))
-            new, x = table.column(3).to_numpy(), _unpack(table.column(4))
-            starts = np.append(np.flatnonzero(np.append(True, mid[1:] != mid[:-1])), len(mid))
+        for table in _runs(batches, 0, 1):
+            mid, group, ids, floor, new, out, hub = (table.column(k).to_numpy() for k in range(7))
+            x = _unpack(table.column(7))
+            change = (mid[1:] != mid[:-1]) | (group[1:] != group[:-1])
+            starts = np.append(np.flatnonzero(np.append(True, change)), len(mid))
             left, right, value = [], [], []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 fresh = new[a:b]
-                if not fresh.any():
+                if not hub[a] and not fresh.any():
                     continue
+                meets = fresh[:, None] | fresh
+                if hub[a]:
+                    ins = ~out[a:b]
+                    meets |= ins[:, None] & ins
                 sims = x[a:b] @ x[a:b].T
-                better = (sims > floor[a:b, None]) & (fresh[:, None] | fresh)
+                better = (sims > floor[a:b, None]) & meets
                 np.fill_diagonal(better, False)
                 i, j = np.nonzero(better)
                 left.append(ids[a + i])
@@ -221,8 +246,8 @@ def build_graph(
     """
     edges = materialize(_best(first_graph(nodes, dtype, tables, CHUNK, seed), degree), "graph")
     small = materialize(_small(nodes, dtype), "small")
-    for _ in range(rounds):
-        edges = materialize(descend(edges, small, degree, REVERSE), "graph")
+    for turn in range(rounds):
+        edges = materialize(descend(edges, small, degree, REVERSE, turn), "graph")
         fresh = edges.agg(F.avg(F.col("new").cast("int"))).first()[0]
         if fresh is None or fresh < SETTLED:
             break
