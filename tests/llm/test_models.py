@@ -192,6 +192,19 @@ def test_pages(spark):
     assert main_text(df.limit(0)).count() == 0
 
 
+def test_noise_words_never_empty_a_page(spark):
+    sources = [
+        '<body class="has-sidebar"><p>text</p>', '<body class="sidebar"><p>text</p>',
+        '<div class="layout no-comments"><p>text</p></div>', '<main class="with-nav"><p>text</p></main>',
+        '<div id="share-wrapper"><article><p>text</p></article></div>',
+        '<div id="share"><article class="related"><p>text</p><div class="ad">no</div></article></div><div class="ad">no</div>',
+        '<article><p>text</p></article><div id="comments"><article>no</article></div>',
+        '<aside><article>no</article></aside><main><p>text</p></main>',
+    ]
+    df = spark.createDataFrame([(k, f"http://h{k}.com/", s) for k, s in enumerate(sources)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in main_text(df).collect()} == dict.fromkeys(range(len(sources)), "text")
+
+
 def test_blocks_of_plain_markup():
     rng = random.Random(9)
     parts = [html.escape(sentence(rng, SYLLABLES["xx"], 5)) for _ in range(200)]
