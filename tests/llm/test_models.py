@@ -205,6 +205,24 @@ def test_noise_words_never_empty_a_page(spark):
     assert {r.page_id: r.text for r in main_text(df).collect()} == dict.fromkeys(range(len(sources)), "text")
 
 
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    rng = random.Random(13)
+    words = lambda n: sentence(rng, SYLLABLES["xx"], n)
+    page = '<div class="content"><p>{}</p><p>{}</p></div><div class="low"><p>{}</p></div>'
+    a, b, c, notice = words(60), words(70), words(50), words(8)
+    rows = [(k, f"http://same.com/?t={k}", page.format(a, b, notice)) for k in range(6)]
+    rows += [(10 + k, f"http://near.com/?t={k}", page.format(a, b, f"seen {k}")) for k in range(6)]
+    rows += [(100 + k, f"http://most.com/?t={k}", page.format(a, c, notice)) for k in range(60)]
+    own = {200 + k: (words(40), words(40)) for k in range(6)}
+    rows += [(k, f"http://most.com/{k}", page.format(*x, notice)) for k, x in own.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert all(got[k] == f"{a}\n\n{b}\n\n{notice}" for k in range(6))
+    assert all(got[10 + k] == f"{a}\n\n{b}\n\nseen {k}" for k in range(6))
+    assert all(got[100 + k] == f"{a}\n\n{c}" for k in range(60))
+    assert all(got[k] == "\n\n".join(x) for k, x in own.items())
+
+
 def test_blocks_of_plain_markup():
     rng = random.Random(9)
     parts = [html.escape(sentence(rng, SYLLABLES["xx"], 5)) for _ in range(200)]
