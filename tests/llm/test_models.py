@@ -153,6 +153,20 @@ def test_quality(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def test_quality_trains_on_all_lines(spark, monkeypatch):
+    seen, fit = [], quality.LineField.fit
+    monkeypatch.setattr(quality.LineField, "fit", lambda features, counts, *rest: (seen.append((features, counts)), fit(features, counts, *rest))[1])
+    texts = ["\n".join(f"{'AB#' if k % 3 else 'a word.'} {k}" for k in range(n)) for n in (200, 3, 130, 1)]
+    rows = [(k, t, k % 2) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    quality.score_quality(df.drop("quality"), df.select("doc_id", "quality")).count()
+    features, counts = seen[0]
+    assert sorted(counts.tolist()) == [1, 3, 130, 200]
+    at = counts.tolist().index(200)
+    start = int(counts[:at].sum())
+    assert np.allclose(features[start : start + 200], quality.line_features(texts[:1])[0], atol=1e-5)
+
+
 def test_urls(spark):
     rules = [site_rule("org", "/", "allow"), site_rule("example.org", "/en/1", "block"), word_rule("spam"),
              ("any", ".*zzz.*", [], "block", 1)]

@@ -14,7 +14,6 @@ from tmloom.llm.folds import bounded_labels
 from tmloom.llm.texts import Shared, map_texts
 
 SAMPLE_ROWS = 1500  # labelled documents of each class that the field is fitted on, at most
-SAMPLE_LINES = 64  # lines of a training document used at most, evenly spread; scoring uses all
 ROUNDS = 250
 RIDGE = 1e-3
 
@@ -204,8 +203,8 @@ def score_quality(
 ) -> DataFrame:
     """(``id_col``, ``score``, ``lines``, ``good_lines``) for every row of ``docs``.
 
-    A linear-chain field over the lines is fitted on a bounded sample of
-    ``labels``.  ``score`` is the mean of the lines' marginals of being good,
+    A linear-chain field over the lines is fitted on all lines of a bounded
+    sample of ``labels``.  ``score`` is the mean of the lines' marginals of being good,
     weighted by length in bytes plus one; ``good_lines`` counts those above a
     half.  Nulls count as the empty text, which is one empty line.  If the
     labels hold fewer than two classes, every score is the share of class 1
@@ -218,9 +217,8 @@ def score_quality(
     def read(frames):
         for frame in frames:
             features, _, counts = line_features(frame[text_col].tolist())
-            first = np.cumsum(counts) - counts
-            kept = [features[f + np.unique(np.linspace(0, c - 1, min(c, SAMPLE_LINES)).astype(int))].astype("<f4").tobytes()
-                    for f, c in zip(first.tolist(), counts.tolist(), strict=True)]
+            ends = np.cumsum(counts)
+            kept = [features[e - c : e].astype("<f4").tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
             yield pd.DataFrame({"label": frame[label_col].astype(float), "features": kept})
 
     rows = sample.select(text_col, label_col).mapInPandas(read, "label double, features binary").toPandas()
