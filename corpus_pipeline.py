@@ -14,16 +14,13 @@ from tmloom.llm.queries import table, tokenizer_path
 from tmloom.llm.simhash import drop_near_copies
 from tmloom.operators.scale import materialize
 
-MIN_SHARE = 0.35  # of a document's letters in its language; mixed documents stay
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, but for those that no language has a third of."""
+    """Documents with letters, of however many languages; undetermined ones go."""
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
     learn = docs.select("doc_id", "text", "lang").where(fold("doc_id", 3) != 1)
     named = identify(rows, learn, carry=["_doc"])
-    fine = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SHARE)
-    return named.where(fine).select("_doc.*")
+    return named.where(F.col("lang_pred") != UNDETERMINED).select("_doc.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,6 +79,18 @@ def test_stages(spark, tmp_path):
         before = after
 
 
+def test_language_keeps_a_document_of_three_languages(spark, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setitem(SYLLABLES, "zz", ["да", "но", "ли", "пу"])
+    monkeypatch.setitem(SYLLABLES, "ww", ["θα", "λο", "μι", "ψε"])
+    rows = [(k, text(rng, lang, 60), lang) for k, lang in enumerate(["xx", "zz", "ww"] * 30)]
+    even = lambda lang: " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(3)) for _ in range(60))
+    rows += [(1000, " ".join(map(even, ["ww", "zz", "xx"])).replace("fen", "fe"), None), (1001, "12 34", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ids = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert 1000 in ids and 1001 not in ids
+
+
 def test_run_and_empty_table(spark, tmp_path):
     made(spark, tmp_path)
     out = corpus_pipeline.run(spark, str(tmp_path))
