@@ -38,6 +38,52 @@ def test_tokens_as_the_library(spark):
     assert encode(df.limit(0), tokenizer_path()).count() == 0
 
 
+def differing(pieces, library, texts):
+    got = encode_texts(pieces, texts, {})
+    return [t for t, g, w in zip(texts, got, library.encode(texts), strict=True) if np.frombuffer(g, "<i4").tolist() != w]
+
+
+def test_runs_of_every_length_of_repeated_pieces():
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    pieces = Pieces.load(tokenizer_path())
+    names = [library.id_to_piece(i).replace("▁", " ") for i in range(library.vocab_size())]
+    repeated = sorted({p[0] for p in names if len(p) > 1 and set(p) == {p[0]}})
+    repeated += sorted({p[: len(p) // 2] for p in names if len(p) > 3 and p[: len(p) // 2] * 2 == p})
+    assert " " in repeated
+    for unit in repeated:
+        runs = [unit * n for n in range(1, 301)]
+        assert not differing(pieces, library, runs)
+        assert not differing(pieces, library, ["def f():\n" + r + "return 1" for r in runs])
+
+
+def test_a_large_fuzz_over_indentation():
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    pieces = Pieces.load(tokenizer_path())
+    rng = random.Random(11)
+    words = ["return", "x", "if", "==", "--", "the", "er", "aaa", "\t", "é", "____", "1000", "....", "▁"]
+
+    def line():
+        body = (rng.choice(words) + rng.choice(["", " ", " " * rng.randint(1, 40)]) for _ in range(rng.randint(0, 4)))
+        return " " * rng.randint(0, 70) + "".join(body)
+
+    texts = ["\n".join(line() for _ in range(rng.randint(1, 3))) for _ in range(50_000)]
+    assert not differing(pieces, library, texts)
+
+
+def test_models_of_other_rules_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(tokenizer_path(), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    proto.pieces[700].type = proto.pieces[700].USER_DEFINED
+    path = tmp_path / "other.model"
+    path.write_bytes(proto.SerializeToString())
+    with pytest.raises(ValueError, match="spaces are removed, user-defined"):
+        Pieces.load(str(path))
+
+
 def test_cache_never_changes_ids(monkeypatch):
     import tmloom.llm.pieces as p
 

@@ -35,8 +35,12 @@ class Pieces:
 
     @classmethod
     def load(cls, path: str) -> Pieces:
-        """Read a BPE model with byte fallback, identity normalisation and a dummy prefix."""
+        """Read a BPE model with byte fallback, identity normalisation and a dummy prefix.
+
+        Any other model raises: its ids could differ from the library's.
+        """
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        _require_supported(model, path)
         n = model.vocab_size()
         names = [model.id_to_piece(i) for i in range(n)]
         plain = {
@@ -76,6 +80,27 @@ class Pieces:
         return np.where(ok, self.ranks[at], _NONE), self.merged[at]
 
 
+def _require_supported(model, path: str) -> None:
+    """Raise unless the model's file says what ``Pieces`` assumes."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(model.serialized_model_proto())
+    trainer, normalizer, denormalizer = proto.trainer_spec, proto.normalizer_spec, proto.denormalizer_spec
+    faults = {
+        "not BPE": trainer.model_type != trainer.BPE,
+        "text is normalised": bool(normalizer.precompiled_charsmap or denormalizer.precompiled_charsmap),
+        "spaces are removed": normalizer.remove_extra_whitespaces,
+        "no dummy prefix": not normalizer.add_dummy_prefix or trainer.treat_whitespace_as_suffix,
+        "spaces are not marked": not normalizer.escape_whitespaces,
+        "user-defined or unused pieces": any(
+            p.type in (p.USER_DEFINED, p.UNUSED) for p in proto.pieces
+        ),
+    }
+    if any(faults.values()):
+        raise ValueError(f"{path}: {', '.join(k for k, v in faults.items() if v)}")
+
+
 def merge_rounds(pieces: Pieces, units: list[str]) -> list[bytes]:
     """The ids of each unit, as little-endian 32-bit numbers.
 
@@ -146,10 +171,11 @@ def merge_rounds(pieces: Pieces, units: list[str]) -> list[bytes]:
 
 
 def _unhurried(pieces, chosen, symbol, unit, rank, merged) -> np.ndarray:
-    """Of a unit's merges in one round, those up to the first that opens a pair of lower rank.
+    """Of a unit's merges in one round, those up to the first that opens a pair of the same or a lower rank.
 
     One at a time, such a pair would be merged before the same pair's next
-    occurrence, and could take a symbol from it.
+    occurrence (of one rank the leftmost goes first), and could take a symbol
+    from it.
     """
     several = np.append(unit[chosen[1:]] == unit[chosen[:-1]], False)
     several[1:] |= several[:-1].copy()
@@ -160,9 +186,9 @@ def _unhurried(pieces, chosen, symbol, unit, rank, merged) -> np.ndarray:
     twin = np.append(False, (np.diff(at) == 2) & (unit[at[1:]] == unit[at[:-1]]))
     before = np.where(twin, merged[np.append(at[:1], at[:-1])], symbol[left])
     limit = rank[at]
-    opens = (pieces.rank(before, merged[at])[0] < limit) & ((unit[left] == unit[at]) & (left < at))
-    opens |= twin & (pieces.rank(symbol[left], merged[at])[0] < limit)
-    opens |= (pieces.rank(merged[at], symbol[right])[0] < limit) & (unit[right] == unit[at]) & (right > at + 1)
+    opens = (pieces.rank(before, merged[at])[0] <= limit) & ((unit[left] == unit[at]) & (left < at))
+    opens |= twin & (pieces.rank(symbol[left], merged[at])[0] <= limit)
+    opens |= (pieces.rank(merged[at], symbol[right])[0] <= limit) & (unit[right] == unit[at]) & (right > at + 1)
     if not opens.any():
         return chosen
     seen = np.cumsum(opens)
