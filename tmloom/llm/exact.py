@@ -129,22 +129,26 @@ def exact_groups(
     text.  An empty table gives an empty result.  Other columns pass through,
     but for those named like a result.
     """
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
-    rows, identities = name_documents(docs, text_col, block_chars)
-    groups = materialize(rows.select(_ROW, id_col).join(identities, _ROW), "groups")
+    made = {"keep_id", "group_size", "kept", "text_sha256", text_col.lower()}
+    rest = [c for c in docs.columns if c.lower() not in made]
+    packed = docs.select(
+        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*rest).alias("_doc")
+    )
+    rows, identities = name_documents(packed, "_text", block_chars)
+    groups = materialize(rows.select(_ROW, "_id").join(identities, _ROW), "groups")
     best = materialize(
         groups.groupBy("_level", "_name").agg(
             F.count(F.lit(1)).alias("group_size"),
-            F.max(F.struct(F.col(id_col).alias("id"), F.col(_ROW).alias("row"))).alias("_best"),
+            F.max(F.struct(F.col("_id").alias("id"), F.col(_ROW).alias("row"))).alias("_best"),
         ),
         "best",
     )
     placed = groups.select(_ROW, "_level", "_name").join(best, ["_level", "_name"])
     return materialize(
-        rows.join(placed, _ROW)
-        .withColumn("keep_id", F.col("_best.id"))
-        .withColumn("kept", F.col("_best.row") == F.col(_ROW))
-        .drop(_ROW, "_level", "_name", "_best"),
+        rows.join(placed, _ROW).select(
+            "_doc.*", "text_sha256", "group_size", F.col("_best.id").alias("keep_id"),
+            (F.col("_best.row") == F.col(_ROW)).alias("kept"),
+        ),
         "exact",
     )
 
@@ -158,9 +162,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups = exact_groups(docs.select(id_col, text_col), id_col, text_col)
     stay = groups.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_stay"))
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    kept = docs.withColumn("_sha", sha).join(
-        stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_stay")), "left_semi"
-    )
+    rows = docs.select(F.col(id_col).alias("_key"), sha.alias("_sha"), F.struct(*docs.columns).alias("_doc"))
+    kept = rows.join(stay, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_stay")), "left_semi")
     if not groups.groupBy(id_col, "text_sha256").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_sha"])
-    return kept.drop("_sha")
+        kept = kept.dropDuplicates(["_key", "_sha"])
+    return kept.select("_doc.*")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmloom.llm.folds import bounded_sample
-from tmloom.llm.texts import Shared, map_texts
+from tmloom.llm.texts import Shared, map_texts, words_of
 
 SAMPLE_ROWS = 2000  # labelled rows of each language, at most
 BUCKETS = 1 << 17
@@ -23,7 +22,6 @@ SWITCH = 8.0
 SCRIPT_SHARE = 0.01  # of a language's letters, for a script to make it a candidate
 CACHE_WORDS = 300_000
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
 # First code points of ranges, and the script from there on.
 SCRIPTS = [
     (0x0000, "Latin"), (0x0250, "other"), (0x0370, "Greek"), (0x0400, "Cyrillic"),
@@ -40,10 +38,6 @@ _NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT_OF = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
-
-
 def script_of(letters: np.ndarray) -> np.ndarray:
     """Number of the script of each code point."""
     return _SCRIPT_OF[np.searchsorted(_FROM, letters, side="right") - 1]
@@ -233,7 +227,7 @@ def identify(
     Learns from ``labelled`` rows with a language, at most about
     ``sample_rows`` of each.  ``spans`` lists the runs of words of one language
     in order; ``lang_pred`` is the language with most letters (ties: the first
-    by name), ``score`` its share of all letters.  Texts that are null, empty
+    by name), ``score`` its share of all letters and marks.  Texts that are null, empty
     or without letters, and all texts if nothing was learned, are ``und`` with
     score 0.
     """

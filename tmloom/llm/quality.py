@@ -212,6 +212,7 @@ def score_quality(
     """
     spark = docs.sparkSession
     chosen, counts = bounded_labels(labels, id_col, label_col, sample_rows)
+    docs = docs.select(id_col, text_col)
     sample = docs.join(F.broadcast(chosen), id_col)
 
     def read(frames):

@@ -256,15 +256,14 @@ def drop_near_copies(
     of which one stays.
     """
     sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
-    rows = docs.select(id_col, text_col, sha.alias("_sha"))
-    marked = materialize(fingerprints(rows, id_col, text_col, words, carry=["_sha"]), "fingerprints")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_sha").alias("sha")))
+    rows = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"), sha.alias("_sha"))
+    marked = materialize(fingerprints(rows, "_key", "_text", words, carry=["_sha"]), "fingerprints")
+    first = F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("id"), F.col("_sha").alias("sha")))
     nodes = materialize(marked.groupBy("fp").agg(first.alias("_least")), "nodes")
     best = _rooted(nodes, max_distance).groupBy("_root").agg(F.min("_least").alias("_best"))
     stay = materialize(best.select(F.col("_best.id").alias("_id"), F.col("_best.sha").alias("_stay")), "stay")
-    kept = docs.withColumn("_sha", sha).join(
-        stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_stay")), "left_semi"
-    )
-    if not marked.groupBy(id_col, "_sha").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_sha"])
-    return kept.drop("_sha")
+    rows = docs.select(F.col(id_col).alias("_key"), sha.alias("_sha"), F.struct(*docs.columns).alias("_doc"))
+    kept = rows.join(stay, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_stay")), "left_semi")
+    if not marked.groupBy("_key", "_sha").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_key", "_sha"])
+    return kept.select("_doc.*")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmloom.llm.folds import bounded_labels
-from tmloom.llm.texts import Shared, map_texts
+from tmloom.llm.texts import Shared, map_texts, words_of
 from tmloom.operators.scale import materialize
 
 ORDER = 6
@@ -21,14 +20,9 @@ SAMPLE_ROWS = 6000  # labelled rows of each class that the models are fitted on,
 DISCOUNT = 0.75
 MARGIN = 4.0  # nats by which a word must favour class 1 to stand out
 CACHE_WORDS = 300_000
-_WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
-
-
 def grams_of(word: str, order: int = ORDER) -> list[str]:
     """For each letter and the end mark, the letter with up to ``order`` - 1 before it."""
     marked = f"^{word}$"
@@ -218,6 +212,7 @@ def score_toxicity(
     """
     spark = docs.sparkSession
     chosen, _ = bounded_labels(labels, id_col, label_col, sample_rows)
+    docs = docs.select(id_col, text_col)
     sample = docs.join(F.broadcast(chosen), id_col)
     half = F.pmod(F.xxhash64(F.lit("half"), F.col(id_col)), F.lit(2))
     sample = materialize(sample.select(id_col, text_col, label_col, half.alias("_half")), "sample")
