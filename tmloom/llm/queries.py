@@ -15,6 +15,7 @@ from tmloom.llm.mix import mix
 from tmloom.llm.neighbours import nearest
 from tmloom.llm.pieces import encode
 from tmloom.llm.quality import score_quality
+from tmloom.llm.runs import periodic_runs
 from tmloom.llm.simhash import near_groups
 from tmloom.llm.toxicity import score_toxicity
 from tmloom.llm.urls import (
@@ -239,6 +240,36 @@ def op2(spark, d):
     return nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
 
 
+def with_loops(docs: DataFrame) -> DataFrame:
+    """Documents whose id hashes to a multiple of ten repeat a stretch of their words to the end; null ids do not."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    cut = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"))
+    placed = cut.select("*", F.size("words").alias("n"), F.pmod("g", F.greatest(F.size("words"), F.lit(1))).alias("a"))
+    loop = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    looped = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", place(i).cast("int")))
+    return placed.withColumn("p", loop).select(
+        "doc_id", F.when(F.col("n") > 0, F.array_join(looped, " ")).otherwise(F.col("text")).alias("text")
+    )
+
+
+@register("op13_periodic_runs")
+def op13(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = periodic_runs(with_loops(docs), digest=True)
+    line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    order = lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))
+    best = F.array_max(F.transform("runs", order))
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), "best.length",
+        (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"),
+    )
+
+
 @register("pipeline")
 def pipeline(spark, d):
     import corpus_pipeline
