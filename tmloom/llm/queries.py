@@ -15,6 +15,7 @@ from tmloom.llm.mix import mix
 from tmloom.llm.neighbours import nearest
 from tmloom.llm.pieces import encode
 from tmloom.llm.quality import score_quality
+from tmloom.llm.repair import repair
 from tmloom.llm.runs import periodic_runs
 from tmloom.llm.simhash import near_groups
 from tmloom.llm.toxicity import score_toxicity
@@ -240,6 +241,108 @@ def op2(spark, d):
     return nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations as ``op11`` damages them; a null is one space."""
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(some("conv_id"), F.lit(":"), some("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(some("text"), "[.!?]", "")).otherwise(some("text"))
+    copies = F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return conversations.where(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(some("role")).alias("role"), text.alias("text"),
+        copies.alias("copy"),
+    )
+
+
+@register(
+    "op11_repair",
+    r"""
+WITH RECURSIVE
+table_ AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+           lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+               string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+               lambda c: ascii(c)::BIGINT)),
+             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS kind
+  FROM conversations, table_),
+rows_ AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM given WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id
+              ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i,
+         regexp_extract(text, '(?s)([^ 	-])[ 	-]*$', 1) AS mark
+  FROM rows_),
+faults AS (
+  SELECT *, left(role, 1) AS x,
+         CASE WHEN mark = '' THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN mark NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+         left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS pair
+  FROM placed),
+sums AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate,
+         count_if(fault = 'truncated') AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id),
+-- v[s + 1]: cheapest cost c and least letters l from place i to the end in state s (begin, after s, u, a)
+suffix AS (
+  SELECT conv_id, n AS i, [{'c': 0, 'l': ''}, {'c': 4, 'l': 'II'}, {'c': 2, 'l': 'I'}, {'c': 0, 'l': ''}] AS v FROM sums
+  UNION ALL
+  SELECT conv_id, i, list_transform([0, 1, 2, 3], lambda s: least(e[s + 1],
+           {'c': 2 + e[CASE s WHEN 2 THEN 4 ELSE 3 END].c, 'l': 'I' || e[CASE s WHEN 2 THEN 4 ELSE 3 END].l},
+           {'c': 4 + e[CASE s WHEN 2 THEN 3 ELSE 4 END].c, 'l': 'II' || e[CASE s WHEN 2 THEN 3 ELSE 4 END].l}))
+  FROM (
+    SELECT f.conv_id, f.i - 1 AS i, list_transform([0, 1, 2, 3], lambda s: least(
+             {'c': 3 + v[s + 1].c, 'l': 'D' || v[s + 1].l},
+             CASE WHEN fault IN ('blank', 'duplicate') THEN {'c': 1000000000, 'l': ''}
+                  ELSE {'c': 2 + (fault = 'truncated')::INT + v[CASE s WHEN 2 THEN 4 ELSE 3 END].c,
+                        'l': 'R' || v[CASE s WHEN 2 THEN 4 ELSE 3 END].l} END,
+             CASE WHEN fault IN ('blank', 'duplicate') THEN {'c': 1000000000, 'l': ''}
+                  WHEN (x = 's' AND s = 0) OR (x = 'u' AND s <> 2) OR (x = 'a' AND s = 2)
+                  THEN {'c': (fault = 'truncated')::INT + v[CASE x WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].c,
+                        'l': 'K' || v[CASE x WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].l}
+                  ELSE {'c': 1000000000, 'l': ''} END)) AS e
+    FROM suffix JOIN faults f ON f.conv_id IS NOT DISTINCT FROM suffix.conv_id AND f.i = suffix.i)),
+best AS (SELECT conv_id, v[1].c AS cost, v[1].l AS audit FROM suffix WHERE i = 0),
+letters AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS y, unnest(range(1, length(audit) + 1)) AS k FROM best WHERE audit <> ''),
+walked AS (
+  SELECT *, count_if(y <> 'I') OVER w AS i, count_if(y <> 'D') OVER w AS nth FROM letters
+  WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+told AS (
+  SELECT w.conv_id, k, y, nth, f.role, f.text, coalesce(max(CASE WHEN nth = 1 AND y = 'K' AND x = 's' THEN 1 END)
+           OVER (PARTITION BY w.conv_id), 0) AS lead_
+  FROM walked w LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i WHERE y <> 'D'),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN y = 'K' THEN role WHEN (nth - lead_) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                             || ':' || CASE WHEN y = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS said
+  FROM told GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id""",
+)
+def op11(spark, d):
+    given = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair(damaged(given)).withColumnRenamed("conv_id", "_conv")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    every = given.select("conv_id").distinct()
+    return every.join(found, every["conv_id"].eqNullSafe(found["_conv"]), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def with_loops(docs: DataFrame) -> DataFrame:
     """Documents whose id hashes to a multiple of ten repeat a stretch of their words to the end; null ids do not."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
