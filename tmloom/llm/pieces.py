@@ -114,39 +114,43 @@ def merge_rounds(pieces: Pieces, units: list[str]) -> list[bytes]:
         return out
     text = "".join(units)
     lengths = np.fromiter(map(len, units), np.int64, len(units))
-    unit = np.repeat(np.arange(len(units)), lengths)
+    unit = np.repeat(np.arange(len(units), dtype=np.int32), lengths)
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    known, index = np.unique(points, return_inverse=True)
-    ids = np.array([pieces.chars.get(chr(p), -1 - int(p)) for p in known], np.int64)
-    symbol = ids[index]
+    ids = np.zeros(int(points.max()) + 1, np.int32)
+    for c in set(text):
+        ids[ord(c)] = pieces.chars.get(c, -1 - ord(c))
+    symbol = ids[points]
     rank, merged = np.full(len(symbol), _NONE), np.zeros(len(symbol), np.int32)
     inner = np.flatnonzero(unit[1:] == unit[:-1])
     rank[inner], merged[inner] = pieces.rank(symbol[inner], symbol[inner + 1])
+    starts = np.cumsum(lengths) - lengths
     done_symbol, done_unit = [], []
     while len(symbol):
-        starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
         least = np.minimum.reduceat(rank, starts)
         sizes = np.diff(np.append(starts, len(symbol)))
-        over = np.repeat(least == _NONE, sizes)
+        over = least == _NONE
+        keep = np.ones(len(symbol), bool)
         if over.any():
-            done_symbol.append(symbol[over])
-            done_unit.append(unit[over])
-            symbol, unit, rank, merged = (x[~over] for x in (symbol, unit, rank, merged))
-            sizes, least = sizes[least != _NONE], least[least != _NONE]
-            if not len(symbol):
-                break
+            keep = ~np.repeat(over, sizes)
+            done_symbol.append(symbol[~keep])
+            done_unit.append(unit[~keep])
+            least[over] = -1
         chosen = np.flatnonzero(rank == np.repeat(least, sizes))
-        run = np.append(True, np.diff(chosen) != 1)
-        first = np.maximum.accumulate(np.where(run, np.arange(len(chosen)), 0))
-        chosen = chosen[(np.arange(len(chosen)) - first) % 2 == 0]
-        chosen = _unhurried(pieces, chosen, symbol, unit, rank, merged)
-        symbol[chosen] = merged[chosen]
-        keep = np.ones(len(symbol), bool)
-        keep[chosen + 1] = False
+        if len(chosen):
+            run = np.append(True, np.diff(chosen) != 1)
+            first = np.maximum.accumulate(np.where(run, np.arange(len(chosen)), 0))
+            chosen = chosen[(np.arange(len(chosen)) - first) % 2 == 0]
+            chosen = _unhurried(pieces, chosen, symbol, unit, rank, merged)
+            symbol[chosen] = merged[chosen]
+            keep[chosen + 1] = False
         place = np.cumsum(keep) - 1
+        starts = place[starts[~over]]
         symbol, unit, rank, merged = (x[keep] for x in (symbol, unit, rank, merged))
         here = place[chosen]
-        touched = np.unique(np.concatenate([here, here[here > 0] - 1]))
+        changed = np.zeros(len(symbol), bool)
+        changed[here] = True
+        changed[here[here > 0] - 1] = True
+        touched = np.flatnonzero(changed)
         rank[touched] = _NONE
         touched = touched[touched + 1 < len(symbol)]
         touched = touched[unit[touched] == unit[touched + 1]]

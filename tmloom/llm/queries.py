@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tmloom.llm.exact import exact_groups
+from tmloom.llm.flat_graph import near_vectors
 from tmloom.llm.folds import fold
 from tmloom.llm.html import main_text
 from tmloom.llm.language import identify
@@ -275,7 +276,9 @@ rows_ AS (
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id
               ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i,
-         regexp_extract(text, '(?s)([^ 	-])[ 	-]*$', 1) AS mark
+         regexp_extract(text, '(?s)([^ 	-
+])[ 	-
+]*$', 1) AS mark
   FROM rows_),
 faults AS (
   SELECT *, left(role, 1) AS x,
@@ -373,6 +376,36 @@ def op13(spark, d):
     )
 
 
+@register(
+    "op12_near_vectors",
+    """
+WITH RECURSIVE
+valid AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM valid a JOIN valid b
+  ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT r AS a, r AS b FROM valid
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT reach.a AS r, min(vec_id) AS component_id FROM reach JOIN valid ON valid.r = reach.b GROUP BY 1),
+judged AS (
+  SELECT vec_id, component_id, (SELECT count(*) FROM links WHERE links.a = valid.r) AS n_links
+  FROM valid JOIN least USING (r))
+SELECT vec_id, n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM judged
+UNION ALL
+SELECT vec_id, 0, vec_id, true FROM embeddings
+WHERE NOT coalesce(label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false)""",
+)
+def op12(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    return near_vectors(rows).select("vec_id", "n_links", "component_id", "kept")
+
+
 @register("pipeline")
 def pipeline(spark, d):
     import corpus_pipeline
