@@ -25,6 +25,31 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# What is contained, by the words of the texts: a term of one word lies inside a word.
+s.add_cte(
+    "hinted_by_word",
+    ("whole_blocks", "terms"),
+    """SELECT doc_key, page, block_no, source, target, row_number() OVER (PARTITION BY doc_key, page, block_no
+             ORDER BY frequency DESC, length(source) DESC, first_seen, source, target) AS rank
+       FROM (
+         WITH words AS (
+           SELECT DISTINCT doc_key, page, block_no, unnest(regexp_extract_all(lower(source_text), '[a-z]+')) AS word
+           FROM whole_blocks),
+         inside AS (
+           SELECT w.doc_key, word, source FROM (SELECT DISTINCT doc_key, word FROM words) w
+           JOIN (SELECT DISTINCT doc_key, source FROM terms WHERE regexp_full_match(source, '[a-z]+')) t
+             ON w.doc_key = t.doc_key AND contains(word, source))
+         SELECT b.*, t.target, t.frequency, t.first_seen
+         FROM (SELECT DISTINCT doc_key, page, block_no, source FROM words JOIN inside USING (doc_key, word)) b
+         JOIN terms t USING (doc_key, source)
+         UNION ALL
+         SELECT b.doc_key, b.page, b.block_no, t.source, t.target, t.frequency, t.first_seen
+         FROM whole_blocks b JOIN terms t ON b.doc_key = t.doc_key AND t.source <> ''
+           AND NOT regexp_full_match(t.source, '[a-z]+') AND contains(lower(b.source_text), lower(t.source)))
+       QUALIFY rank <= 8""",
+)
+
+
 @register(
     "block_prompts",
     sql(
@@ -35,8 +60,8 @@ def q(text: str) -> str:
             FROM whole_blocks LEFT JOIN (
               SELECT doc_key, page, block_no,
                      string_agg('- ' || source || ' => ' || target, chr(10) ORDER BY rank) AS hints
-              FROM hinted GROUP BY ALL) USING (doc_key, page, block_no)""",
-        "hinted",
+              FROM hinted_by_word GROUP BY ALL) USING (doc_key, page, block_no)""",
+        "hinted_by_word",
     ),
 )
 def _(spark, d):

@@ -110,6 +110,22 @@ def test_containment_equals_brute_force(spark, scope):
     assert got == expected
 
 
+@pytest.mark.parametrize("scope", [("doc_key",), ()])
+def test_best_terms_are_the_top_of_all_contained(spark, scope):
+    rng = random.Random(17)
+    alphabet = ["ab", "Ba", "c", " ", "-", "ü", "电缆", "力", "+", "12", "  "]
+    text = lambda n: "".join(rng.choices(alphabet, k=n))
+    block_rows = [(rng.choice("de"), p, 1, f"P{p}", text(rng.randint(0, 60))) for p in range(50)]
+    pairs = {(rng.choice("de"), text(rng.randint(1, 5))) for _ in range(150)} | {("d", " "), ("e", "+"), ("d", "B"), ("d", "b")}
+    found, terms = contained(spark, block_rows, [(k, s, rng.randint(1, 3)) for k, s in sorted(pairs)], scope=scope)
+    for k in (1, 4):
+        want = sorted(map(tuple, h.top_hints(found, k).select(*h.BLOCK_KEY, "source", "target", "rank").collect()))
+        got = sorted(map(tuple, h.best_terms(blocks(spark, block_rows), terms, k, scope).collect()))
+        assert got == want and len(got) > 40
+    assert h.best_terms(blocks(spark, block_rows).limit(0), terms, 3, scope).count() == 0
+    assert h.best_terms(blocks(spark, block_rows), terms.limit(0), 3, scope).count() == 0
+
+
 def test_top_hints_order(spark):
     words = [f"w{i:02d}" for i in range(10)]
     term_rows = [("d", w, 1) for w in words] + [("d", "w0", 1), ("d", "w", 5)]
