@@ -85,8 +85,8 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    """The same run in three waves, each with the successes before it as history."""
-    run = translate_lines(s.lines(spark, d), s.progress(spark, d), line_answers, yes, waves=3)
+    """The same run in twenty waves, each with the successes before it as history."""
+    run = translate_lines(s.lines(spark, d), s.progress(spark, d), line_answers, yes, waves=20)
     return run.restored
 
 
@@ -212,6 +212,38 @@ def _(spark, d):
     return p.restore_order(lines, p.latest_progress(progress_log(spark, log)))
 
 
+@register(
+    "run_incremental_failing",
+    sql(
+        f"""SELECT row_id, src, CASE WHEN src LIKE '%ring%' THEN '{MARK}' ELSE upper(src) END AS tgt,
+                   CASE WHEN src LIKE '%ring%' THEN 2 ELSE 1 END AS micro_batches
+            FROM lines""",
+        "lines",
+    ),
+)
+def _(spark, d):
+    """Lines arriving in four files; those with a ring fail in two micro-batches and are given up."""
+    lines = s.lines(spark, d)
+    arriving, log, state = (fresh_path(spark, n) for n in ("arriving", "log", "state"))
+    # the last file brings sources of the first again, so that a failure has a micro-batch after its own
+    home = F.least(F.pmod(F.xxhash64("src"), F.lit(3)), F.lit(2))
+    for n in range(3):
+        lines.where(home == n).coalesce(1).write.mode("append").parquet(arriving)
+    lines.where(home == 0).coalesce(1).write.mode("append").parquet(arriving)
+    stream = (
+        spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    )
+
+    def answers(requests, attempt):
+        return answer(requests, attempt, F.when(~F.col("payload").contains("ring"), F.upper("payload")))
+
+    params = LineParameters(batch_size=1, max_attempts=1)
+    run_incremental(stream, log, state, answers, params=params, max_batches=2).awaitTermination()
+    rows = progress_log(spark, log)
+    sent = rows.groupBy("src").agg(F.countDistinct("run_id").cast("int").alias("micro_batches"))
+    return p.restore_order(lines, p.latest_progress(rows)).join(sent, "src")
+
+
 @register(
     "refresh_memory_per_batch",
     sql(
@@ -220,12 +252,12 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    """Pages arriving in two files; the second batch sees the first one's memory."""
+    """Pages arriving in six files; each batch sees the memory of those before it, which is merged on the way."""
     pages = raw_pages(spark, d)
     arriving, memory, results, state = (
         fresh_path(spark, n) for n in ("arriving", "memory", "results", "state")
     )
-    pages.repartition(2, "doc_key", "page").write.parquet(arriving)
+    pages.repartition(6, "doc_key", "page").write.parquet(arriving)
     stream = (
         spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
     )

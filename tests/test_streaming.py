@@ -6,6 +6,7 @@ from tmloom.plans.parameters import DocumentParameters, LineParameters
 from tmloom.plans.translate_lines import translate_lines
 from tmloom.streaming.incremental import (
     memory_log,
+    postings_table,
     progress_log,
     refresh_memory_per_batch,
     run_incremental,
@@ -102,3 +103,48 @@ def test_memory_of_a_batch_serves_the_next(spark, tmp_path):
     log = memory_log(spark, memory)
     assert sorted(r.result.page for r in log.collect()) == [1, 3]
     assert log.select(F.countDistinct("seq")).first()[0] == 2
+
+
+def test_lines_that_keep_failing_are_given_up(spark, tmp_path):
+    arriving, log, state = (str(tmp_path / n) for n in ("in", "log", "state"))
+    sent = []
+
+    def caller(requests, attempt):
+        sent.append([x for r in requests.collect() for x in r.payload.split("\n")])
+        answer = lambda q: {"body": q["payload"].upper(), "status_code": 500 if "bad" in q["payload"] else 200}
+        return call_model(requests, lambda: answer, attempt, partitions=1)
+
+    append = spark.createDataFrame([(1, "bad log", MARK), (2, "done", "DONE"), (3, "bad log", MARK)], "seq long, src string, tgt string")
+    append.write.parquet(f"{log}/run_id=before")
+    for n, rows in enumerate([["bad new", "a"], ["b", "done"], ["bad new", "c"], ["d"]]):
+        df = spark.createDataFrame([(10 * n + k, x) for k, x in enumerate(rows)], "row_id long, src string")
+        df.coalesce(1).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema("row_id long, src string").parquet(arriving)
+        params = LineParameters(max_attempts=1, batch_size=1)
+        run_incremental(stream, log, state, caller, params=params, max_batches=3).awaitTermination()
+    assert [sorted(x) for x in sent] == [
+        ["a", "bad log", "bad new"], ["b", "bad new"], ["bad new", "c"], ["d"],
+    ]
+    done = {r.src: r.tgt for r in latest_progress(progress_log(spark, log)).collect()}
+    assert done == {"bad log": MARK, "bad new": MARK, "done": "DONE", "a": "A", "b": "B", "c": "C", "d": "D"}
+
+
+def test_each_batch_gets_hints_of_those_before_it(spark, tmp_path):
+    arriving, log, state = (str(tmp_path / n) for n in ("in", "log", "state"))
+    hints = []
+
+    def caller(requests, attempt):
+        hints.append({h.source for r in requests.collect() for h in r.tm_list})
+        return call_model(requests, lambda: lambda q: {"body": q["payload"].upper()}, attempt, partitions=1)
+
+    spark.createDataFrame([(1, "pump old", "PUMP OLD")], "seq long, src string, tgt string").write.parquet(f"{log}/run_id=before")
+    for n in range(7):  # enough for the postings to be merged
+        df = spark.createDataFrame([(n, f"pump {n:02d}")], "row_id long, src string")
+        df.coalesce(1).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema("row_id long, src string").parquet(arriving)
+        run_incremental(stream, log, state, caller).awaitTermination()
+    all_sources = ["pump old", *[f"pump {n:02d}" for n in range(7)]]
+    for n, found in enumerate(hints):  # near duplicates of better hints are suppressed, so not all need be there
+        assert found and found <= set(all_sources[: n + 1])
+    runs = [r.name for r in postings_table(spark, f"{log}/_postings", 20).live()]
+    assert any(r.startswith("L1-") for r in runs) and len(runs) <= 5

@@ -8,7 +8,9 @@ before *b*, which is what a strictly sequential run sees.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from tmloom.functions import fixed_values as fv
 from tmloom.functions.similarity import similarity, similarity_bound
 from tmloom.functions.text import tokens
+from tmloom.operators.scale import materialize
 
 Segmenter = Callable[[Column], Column]
 
@@ -47,6 +50,46 @@ def last_postings(posted: DataFrame, n: int = fv.POSTINGS_PER_TOKEN) -> DataFram
     )
 
 
+_BROADCAST_TOKENS = 500_000  # rows of tokens that may be sent to all tasks
+
+
+@dataclass(frozen=True)
+class PostingsIndex:
+    """The last ``n`` postings of every token, in parts that are merged as they are asked for.
+
+    A part holds the last postings of a stretch of the log, of a history or of
+    the rows one wave added.  What a wave adds is a new part; only small parts
+    are merged with each other, never the large first one.  Asking for tokens
+    sends the tokens to the parts where they are few, so nothing of the history
+    is shuffled.
+    """
+
+    parts: tuple[DataFrame, ...]
+    n: int = fv.POSTINGS_PER_TOKEN
+    segment: Segmenter = tokens
+    fan: int = 8
+
+    @classmethod
+    def of(cls, history: DataFrame, n: int = fv.POSTINGS_PER_TOKEN, segment: Segmenter = tokens) -> PostingsIndex:
+        return cls((materialize(last_postings(postings(history, segment), n), "postings"),), n, segment)
+
+    def extended(self, rows: DataFrame) -> PostingsIndex:
+        """With the postings of successful ``rows`` (seq, src, tgt), which come after all others."""
+        added = materialize(last_postings(postings(rows, self.segment), self.n), "postings")
+        first, *later = [*self.parts, added]
+        if len(later) >= self.fan:
+            merged = last_postings(reduce(DataFrame.unionByName, later), self.n)
+            later = [materialize(merged, "postings")]
+        return replace(self, parts=(first, *later))
+
+    def of_tokens(self, wanted: DataFrame) -> DataFrame:
+        """The postings of the tokens in ``wanted``, at most ``n`` of each from each part."""
+        asked = materialize(wanted.select("token").distinct(), "tokens")
+        if asked.count() <= _BROADCAST_TOKENS:
+            asked = F.broadcast(asked)
+        return reduce(DataFrame.unionByName, (p.join(asked, "token", "left_semi") for p in self.parts))
+
+
 def line_tokens(batched: DataFrame, segment: Segmenter = tokens) -> DataFrame:
     """(batch, line_pos, tok_pos, token, text), first occurrence of a token per line."""
     distinct = F.array_distinct(segment(F.col("src")))
@@ -264,7 +307,7 @@ def tm_lists(kept: DataFrame) -> DataFrame:
 
 def retrieve_hints(
     batched: DataFrame,
-    history: DataFrame,
+    history: DataFrame | PostingsIndex,
     done: DataFrame | None = None,
     segment: Segmenter = tokens,
     postings_per_token: int = fv.POSTINGS_PER_TOKEN,
@@ -272,10 +315,15 @@ def retrieve_hints(
     threshold: float = fv.DUPLICATE_SIMILARITY,
     cap: int = fv.MAX_HINTS_PER_BATCH,
 ) -> DataFrame:
-    """(batch, tm_list).  With ``done`` (batch, pos, src, tgt) the causal mode."""
+    """(batch, tm_list).  With ``done`` (batch, pos, src, tgt) the causal mode.
+
+    ``history`` may be an index, made by the same segmenter.
+    """
     lines = line_tokens(batched, segment)
     wanted = lines.select("batch", "token").distinct()
-    if done is None:
+    if isinstance(history, PostingsIndex):
+        recent = snapshot_postings(wanted, history.of_tokens(wanted), postings_per_token)
+    elif done is None:
         recent = snapshot_postings(wanted, postings(history, segment), postings_per_token)
     else:
         recent = causal_postings(wanted, history, done, postings_per_token, segment)

@@ -15,13 +15,25 @@ _RESULT_FIELDS = (
 )
 
 
+def _first_seen(memory: DataFrame) -> Column:
+    """A merged log tells when a hash was first seen; in a plain one that is its first entry."""
+    return F.min("first_seq" if "first_seq" in memory.columns else "seq")
+
+
 def latest_memory(memory: DataFrame) -> DataFrame:
     """(doc_key, source_hash, result, first_seq): the last log entry per hash wins."""
     return memory.groupBy("doc_key", "source_hash").agg(
-        F.max_by("result", "seq").alias("result"), F.min("seq").alias("first_seq")
+        F.max_by("result", "seq").alias("result"), _first_seen(memory).alias("first_seq")
     )
 
 
+def merged_memory(memory: DataFrame) -> DataFrame:
+    """A shorter log that reads the same: the last entry per hash, and when the hash was first seen."""
+    return memory.groupBy("doc_key", "source_hash").agg(
+        F.max_by("result", "seq").alias("result"), _first_seen(memory).alias("first_seq"), F.max("seq").alias("seq")
+    ).select("seq", "first_seq", "doc_key", "source_hash", "result")
+
+
 def term_frequencies(memory: DataFrame) -> DataFrame:
     """(doc_key, source, target, frequency, first_seen) over the latest entries."""
     return (

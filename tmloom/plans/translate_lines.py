@@ -18,6 +18,9 @@ from tmloom.operators.scale import materialize
 from tmloom.plans.parameters import LineParameters
 
 
+GROWTH = 8  # of one wave to the next, where their number is left open
+
+
 @dataclass(frozen=True)
 class LineRun:
     requests: DataFrame  # one row per batch, as sent
@@ -28,7 +31,7 @@ class LineRun:
 
 def plan_requests(
     batched: DataFrame,
-    history: DataFrame,
+    history: DataFrame | fuzzy.PostingsIndex,
     params: LineParameters = LineParameters(),
     segment: fuzzy.Segmenter = tokens,
 ) -> DataFrame:
@@ -50,41 +53,46 @@ def plan_requests(
     )
 
 
-def translate_lines(
-    lines: DataFrame,
-    progress: DataFrame,
+def wave_ends(total: int, waves: int) -> list[int]:
+    """Ends of the waves of ``total`` batches: ``waves`` of one size, or growing ones for 0.
+
+    Growing waves hold 1, GROWTH, GROWTH^2 ... batches: hints grow early on as
+    in a sequential run, and their number grows with the logarithm of the run.
+    """
+    if waves > 0:
+        waves = max(1, min(waves, total))
+        return [total * (w + 1) // waves for w in range(waves)]
+    ends, size = [], 1
+    while not ends or ends[-1] < total:
+        ends.append(min(total, (ends[-1] if ends else 0) + size))
+        size *= GROWTH
+    return ends
+
+
+def send_lines(
+    todo: DataFrame,
+    index: fuzzy.PostingsIndex,
+    first_seq: int,
     caller: a.Caller,
     verifier: a.Caller | None = None,
     params: LineParameters = LineParameters(),
-    segment: fuzzy.Segmenter = tokens,
     waves: int = 1,
-) -> LineRun:
-    """Translate what is pending and restore the input order.
+) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(requests, attempts, new rows, the next seq) of ``todo`` lines (row_id, src), sent in waves.
 
-    ``caller`` sees ``request_id``, ``payload`` (the lines) and ``options``.
-    A second run over the returned rows sends only what failed.
-
-    The batches are sent in ``waves`` of consecutive ones.  Each wave finds its
-    hints in the log and in the successes of the waves before it, so hints grow
-    inside a run as in a sequential one, in steps of a wave instead of a batch.
+    Hints come from ``index`` and, wave by wave, from the successes before.
     """
-    todo = p.pending(lines, progress, params.failure_mark)
     if params.dedupe:
         todo = todo.groupBy("src").agg(F.min("row_id").alias("row_id"))
     # ranked once: retrieval and packing read it several times
     batched = materialize(b.assign_batches(todo, params.batch_size), "batched")
-    ends = batched.agg(F.max("batch")).first()[0]
-    total = 0 if ends is None else ends + 1
-    last = progress.agg(F.max("seq")).first()[0]
-    first_seq = 0 if last is None else last + 1
-    log = progress.select("seq", "src", "tgt")
-    waves = max(1, min(waves, total))
+    last = batched.agg(F.max("batch")).first()[0]
+    ends = wave_ends(0 if last is None else last + 1, waves)
     done = []
-    for wave in range(waves):
-        low, high = total * wave // waves, total * (wave + 1) // waves
+    for low, high in zip([0, *ends], ends):
         part = batched.where((F.col("batch") >= low) & (F.col("batch") < high))
         requests, tried = a.run_waves(
-            plan_requests(part, p.valid_history(log, params.failure_mark), params, segment),
+            plan_requests(part, index, params, index.segment),
             caller,
             a.line_judge(verifier),
             params.max_attempts,
@@ -96,10 +104,42 @@ def translate_lines(
         new_rows = b.align_lines(filled).select(
             (F.col("batch") * params.batch_size + F.col("pos") + first_seq).alias("seq"), "src", "tgt"
         )
-        if waves > 1:
+        if high < ends[-1]:
             new_rows = materialize(new_rows, "new_rows")
-        log = log.unionByName(new_rows)
+            index = index.extended(p.valid_history(new_rows, params.failure_mark))
         done.append((requests, tried, new_rows))
     requests, tried, new_rows = (reduce(DataFrame.unionByName, x) for x in zip(*done))
-    restored = p.restore_order(lines, p.latest_progress(log), params.failure_mark)
+    return requests, tried, new_rows, first_seq + ends[-1] * params.batch_size
+
+
+def translate_lines(
+    lines: DataFrame,
+    progress: DataFrame,
+    caller: a.Caller,
+    verifier: a.Caller | None = None,
+    params: LineParameters = LineParameters(),
+    segment: fuzzy.Segmenter = tokens,
+    waves: int = 1,
+) -> LineRun:
+    """Translate what is pending and restore the input order.
+
+    ``caller`` sees ``request_id``, ``payload`` (the lines) and ``options``.
+    A second run over the returned rows sends only what failed.
+
+    The batches are sent in ``waves`` of consecutive ones.  Each wave finds its
+    hints in the log and in the successes of the waves before it, so hints grow
+    inside a run as in a sequential one, in steps of a wave instead of a batch;
+    ``waves=0`` takes growing waves, the choice for a first run.  The log is
+    indexed once; a wave reads the index and adds its own rows to it.
+    """
+    todo = p.pending(lines, progress, params.failure_mark)
+    log = progress.select("seq", "src", "tgt")
+    last = log.agg(F.max("seq")).first()[0]
+    index = fuzzy.PostingsIndex.of(p.valid_history(log, params.failure_mark), params.postings_per_token, segment)
+    requests, tried, new_rows, _ = send_lines(
+        todo, index, 0 if last is None else last + 1, caller, verifier, params, waves
+    )
+    restored = p.restore_order(
+        lines, p.latest_progress(log.unionByName(new_rows)), params.failure_mark
+    )
     return LineRun(requests, tried, new_rows, restored)
