@@ -7,16 +7,21 @@ retry and resolution stay ordinary DataFrame work on the written attempts.
 
 from __future__ import annotations
 
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tmloom.functions import fixed_values as fv
 from tmloom.functions import responses as r
+from tmloom.operators.journal import Journal, answered, request_key
 from tmloom.operators.prompts import verify_prompts
 from tmloom.operators.scale import materialize
 
@@ -62,6 +67,24 @@ def _one_call(model: Model, request: dict) -> dict:
     return out
 
 
+class _Slots:
+    """The shared rate budget of a task's calls: each takes the next slot."""
+
+    def __init__(self, interval: float):
+        self._interval, self._lock, self._next = interval, threading.Lock(), 0.0
+        self._started = time.monotonic()
+
+    def wait(self, seconds: float) -> None:
+        """Until ``seconds`` after the start, and until a slot is free."""
+        held = self._started + seconds - time.monotonic()
+        if held > 0:
+            time.sleep(held)
+        with self._lock:
+            due = max(self._next, time.monotonic())
+            self._next = due + self._interval
+        time.sleep(max(0.0, due - time.monotonic()))
+
+
 def call_model(
     requests: DataFrame,
     model_factory: Callable[[], Model],
@@ -70,40 +93,73 @@ def call_model(
     rpm: int = 0,
     payload: Sequence[str] = ("payload",),
     id_col: str = "request_id",
+    in_flight: int = 1,
+    journal: str | None = None,
 ) -> DataFrame:
     """One attempt per request.
 
-    ``model_factory`` builds a client once per partition.  ``partitions`` is the
-    number of requests in flight; each partition keeps its share of the
-    requests-per-minute limit.  A ``wait_seconds`` column holds a request back
-    that long from the start of its partition.
+    There are ``partitions`` times ``in_flight`` calls in flight; each thread of
+    a task builds its own client by ``model_factory``.  The calls of a task
+    share its part of the requests-per-minute limit.  A ``wait_seconds`` column
+    holds a request back that long from the start of its task; those without a
+    wait go first.
+
+    With ``journal``, a folder that all executors reach, every answer is written
+    there as it comes.  A task or job that runs again takes the answers from
+    there and sends the rest.
     """
     interval = 60.0 * partitions / rpm if rpm > 0 else 0.0
     fields = list(payload)
     id_type = requests.schema[id_col].dataType.simpleString()
+    names = [f.split()[0] for f in ATTEMPT_FIELDS.split(", ")]
     if "wait_seconds" not in requests.columns:
         requests = requests.withColumn("wait_seconds", F.lit(0.0))
+    asked = requests.select(id_col, *fields, "wait_seconds", request_key(id_col, fields).alias("_key"))
+    known = answered(requests.sparkSession, journal, attempt) if journal else None
+    if known is not None:
+        # read once: the journal grows while the others are sent
+        known = materialize(asked.select(id_col, "_key").join(known, "_key"), "answered")
+        asked = asked.join(known.select("_key"), "_key", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, started, next_slot = model_factory(), time.monotonic(), 0.0
-        for pdf in batches:
-            rows = []
-            for row in pdf.to_dict("records"):
-                due = max(started + row["wait_seconds"], next_slot)
-                time.sleep(max(0.0, due - time.monotonic()))
-                next_slot = time.monotonic() + interval
-                answer = _one_call(model, {name: row[name] for name in fields})
-                rows.append({id_col: row[id_col], "attempt": attempt, **answer})
-            columns = [id_col, *[f.split()[0] for f in ATTEMPT_FIELDS.split(", ")]]
-            yield pd.DataFrame(rows, columns=columns).astype(
+        book = Journal(journal, attempt, TaskContext.get().partitionId()) if journal else None
+        slots, own = _Slots(interval), threading.local()
+
+        def call(row: dict) -> dict:
+            if book is not None and row["_key"] in book.known:
+                return book.known[row["_key"]]
+            if not hasattr(own, "model"):
+                own.model = model_factory()
+            slots.wait(row["wait_seconds"])
+            answer = _one_call(own.model, {name: row[name] for name in fields})
+            if book is not None:
+                book.record(row["_key"], answer)
+            return answer
+
+        def frame(rows: list[tuple[dict, Future]]) -> pd.DataFrame:
+            made = [{id_col: row[id_col], "attempt": attempt, **sent.result()} for row, sent in rows]
+            return pd.DataFrame(made, columns=[id_col, *names]).astype(
                 {"status_code": "Int32", "attempt": "int32"}
             )
 
-    return (
-        requests.select(id_col, *fields, "wait_seconds")
-        .repartition(partitions, id_col)
-        .mapInPandas(run, f"{id_col} {id_type}, {ATTEMPT_FIELDS}")
-    )
+        try:
+            with ThreadPoolExecutor(in_flight) as pool:
+                sent: deque[tuple[dict, Future]] = deque()
+                for pdf in batches:
+                    for row in sorted(pdf.to_dict("records"), key=lambda r: r["wait_seconds"]):
+                        sent.append((row, pool.submit(call, row)))
+                        if len(sent) >= 2 * in_flight:  # answers leave in small frames, as they come
+                            yield frame([sent.popleft() for _ in range(in_flight)])
+                while sent:
+                    yield frame([sent.popleft() for _ in range(min(in_flight, len(sent)))])
+        finally:
+            if book is not None:
+                book.close()
+
+    called = asked.repartition(partitions, id_col).mapInPandas(run, f"{id_col} {id_type}, {ATTEMPT_FIELDS}")
+    if known is None:
+        return called
+    return called.unionByName(known.withColumn("attempt", F.lit(attempt)).select(*called.columns))
 
 
 def live_caller(model_factory: Callable[[], Model], **options) -> Caller:
