@@ -198,8 +198,8 @@ def _(spark, d):
     """Written documents read back whole; a volume here is fifty pages."""
     path = fresh_path(spark, "document")
     sinks.write_document(r.assemble_document(s.results(spark, d)), path)
-    back = files.with_file_order(spark.read.schema("value string, doc_key string").text(path), "n")
-    rows = F.array_sort(F.collect_list(F.struct("n", "value")))
+    back = files.read_texts(spark, path)
+    rows = F.array_sort(F.collect_list(F.struct("place", "value")))
     return back.groupBy("doc_key").agg(F.array_join(rows["value"], "\n").alias("text"))
 
 

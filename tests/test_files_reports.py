@@ -209,3 +209,37 @@ def test_empty_results_keep_their_schema(spark, translated):
     assert r.glossary_view(r.glossary(none)).columns[1] == "English Term"
     assert r.bilingual_view(none).isEmpty()
     assert r.run_summary(none).first().blocks_per_second == 0.0
+
+
+def test_texts_lie_in_few_files_and_are_found_by_their_index(spark, tmp_path):
+    parts = spark.range(3000).select(
+        F.concat(F.lit("doc"), F.col("id") % 500).alias("doc_key"), (F.col("id") / 500).cast("int").alias("page"),
+        F.lit(2).alias("part"), F.lit(1).alias("block_no"), F.concat(F.lit("line one\n"), "id").alias("text"),
+    )
+    parts = parts.unionByName(spark.range(4000).selectExpr(  # one text that fills several files
+        "'huge' as doc_key", "cast(id as int) as page", "2 as part", "1 as block_no", "cast(id as string) as text"
+    ))
+    path = str(tmp_path / "d")
+    sinks.write_document(parts, path, files=5)
+    assert len(list((tmp_path / "d" / "rows").glob("*.parquet"))) <= 5
+    back = files.read_texts(spark, path, ["doc7"])
+    rows = back.orderBy("place").collect()
+    assert [x.value for x in rows] == [f"line one\n{7 + 500 * k}" for k in range(6)]
+    assert len(back.inputFiles()) <= 2
+    huge = files.read_texts(spark, path, ["huge"]).orderBy("place").collect()
+    assert [x.value for x in huge] == [str(k) for k in range(4000)]
+    assert files.read_texts(spark, path).count() == 7000
+    assert files.read_texts(spark, path, ["none"]).count() == 0
+    index = spark.read.parquet(f"{path}/index")
+    assert index.agg(F.sum("rows")).first()[0] == 7000 and index.select("doc_key").distinct().count() == 501
+
+
+def test_ids_that_would_overflow_raise(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("x\n" * 40, encoding="utf-8")
+    (tmp_path / "b.csv").write_text("y\n", encoding="utf-8")
+    monkeypatch.setattr(files, "_MOST_FILES", 1)
+    with pytest.raises(ValueError, match="read them in parts"):
+        files.read_lines(spark, str(tmp_path))
+    monkeypatch.setattr(files, "_FILE_BITS", 4)
+    with pytest.raises(Exception, match="too large a file"):
+        files.read_lines(spark, str(tmp_path / "a.csv")).collect()

@@ -7,6 +7,7 @@ the data model and a DataFrame has none.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ MEMORY_SCHEMA = f"source_hash string, result {RESULT_SCHEMA}"
 MEMORY_BUCKETS = 64  # folders of one run of a memory log
 
 _FILE_BITS = 40  # bytes and rows of one file
+_MOST_FILES = 1 << (63 - _FILE_BITS)
 
 
 def natural_rank(paths: list[str]) -> dict[str, int]:
@@ -40,9 +42,12 @@ def with_file_order(df: DataFrame, out: str) -> DataFrame:
     second scan.  Inside a file, a row's place is the byte at which its split
     starts plus its number in the task.  That number counts the rows before it,
     each at least a byte long, so it stays below the start of the next split;
-    a task with several splits holds last or whole files only.
+    a task with several splits holds last or whole files only.  Reading more
+    files, or larger ones, than the id has room for raises.
     """
     ranks = natural_rank(df.inputFiles())
+    if len(ranks) > _MOST_FILES:
+        raise ValueError(f"{len(ranks)} files are more than {_MOST_FILES}; read them in parts")
     spark = df.sparkSession
     plain = lambda path: F.regexp_replace(path, "^file:/+", "file:/")  # noqa: E731  written either way
     ranked = spark.createDataFrame(list(ranks.items()), "_path string, _rank long").withColumn(
@@ -55,8 +60,11 @@ def with_file_order(df: DataFrame, out: str) -> DataFrame:
             "_place": F.col("_metadata.file_block_start") + in_task,
         }
     )
+    place = F.when(F.col("_place") < (1 << _FILE_BITS), F.col("_place")).otherwise(
+        F.raise_error(F.concat(F.lit("too large a file for row ids: "), "_path"))
+    )
     return tagged.join(ranked, "_path").select(
-        F.shiftleft("_rank", _FILE_BITS).bitwiseOR(F.col("_place")).alias(out), *df.columns
+        F.shiftleft("_rank", _FILE_BITS).bitwiseOR(place).alias(out), *df.columns
     )
 
 
@@ -123,6 +131,23 @@ def read_scored(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_texts(spark: SparkSession, path: str, doc_keys: Sequence[str] | None = None) -> DataFrame:
+    """(doc_key, place, value) of what ``write_document`` or ``write_review`` left; ``place`` orders a text's rows.
+
+    With ``doc_keys`` the index tells the files that hold them, and only these
+    are read.
+    """
+    rows = spark.read.parquet(f"{path}/rows")
+    if doc_keys is not None:
+        index = spark.read.parquet(f"{path}/index").where(F.col("doc_key").isin(list(doc_keys)))
+        names = sorted(r[0] for r in index.select("file").distinct().collect())
+        if names:
+            rows = spark.read.parquet(*[f"{path}/rows/{n}" for n in names])
+        rows = rows.where(F.col("doc_key").isin(list(doc_keys)))
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.select("doc_key", place.alias("place"), "value")
+
+
 def memory_defaults(df: DataFrame) -> DataFrame:
     """Fill the optional fields of a memory entry."""
     r = F.col("result")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tmloom.sources.files import MEMORY_BUCKETS
 
+TEXT_FILES = 64  # of one run's documents, and of its reviews
 _QUOTED = {"escape": '"', "emptyValue": ""}
 
 
@@ -71,26 +72,34 @@ def append_memory(
     )
 
 
-def write_document(parts: DataFrame, path: str) -> None:
-    """Assembled documents as text, one folder per document, paragraphs in order."""
+def _write_texts(rows: DataFrame, order: list[str], path: str, files: int) -> None:
+    """Rows (``order``, ``value``) of many texts in at most ``files`` files, and an index of where each text lies.
+
+    The files hold ranges of the order, so a short text lies in one file and a
+    huge one in several that follow each other.  The index has a row for each
+    text and file: ``doc_key``, ``file``, ``first_row`` and ``rows``.
+    """
+    placed = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    placed.write.mode("errorifexists").parquet(f"{path}/rows")
+    written = rows.sparkSession.read.schema(placed.schema).parquet(f"{path}/rows")
     (
-        parts.orderBy("doc_key", "page", "part", "block_no")
-        .select("doc_key", F.col("text").alias("value"))
-        .write.mode("errorifexists")
-        .partitionBy("doc_key")
-        .text(path)
+        written.groupBy("doc_key", F.col("_metadata.file_name").alias("file"))
+        .agg(F.min("_metadata.row_index").alias("first_row"), F.count(F.lit(1)).alias("rows"))
+        .repartitionByRange(max(1, files // 16), "doc_key").sortWithinPartitions("doc_key", "file")
+        .write.mode("errorifexists").parquet(f"{path}/index")
     )
 
 
-def write_review(lines: DataFrame, path: str) -> None:
-    """Review reports as Markdown text, one folder per document, lines in order."""
-    (
-        lines.orderBy("doc_key", "section", "page", "block_no")
-        .select("doc_key", F.col("line").alias("value"))
-        .write.mode("errorifexists")
-        .partitionBy("doc_key")
-        .text(path)
-    )
+def write_document(parts: DataFrame, path: str, files: int = TEXT_FILES) -> None:
+    """Assembled documents, paragraphs in order, in ``files`` files whatever their number."""
+    order = ["doc_key", "page", "part", "block_no"]
+    _write_texts(parts.select(*order, F.col("text").alias("value")), order, path, files)
+
+
+def write_review(lines: DataFrame, path: str, files: int = TEXT_FILES) -> None:
+    """Review reports as Markdown lines, in order, in ``files`` files whatever their number."""
+    order = ["doc_key", "section", "page", "block_no"]
+    _write_texts(lines.select(*order, F.col("line").alias("value")), order, path, files)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
