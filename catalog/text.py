@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog import register
 from catalog.standins import RE_WS, sql, strip_sql, table
+from tmloom.functions import segmenter as seg
 from tmloom.functions import similarity as sim
 from tmloom.functions import text as t
 
@@ -287,6 +288,89 @@ def _(spark, d):
     )
 
 
+# Latin letters as Han characters, so that the given texts are running Han text.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_HAN = "".join(chr(0x4E00 + 7 * k) for k in range(26))
+# A dictionary of syllables and their costs.
+_SYLLABLES = {
+    "th": 2100, "er": 2200, "on": 2300, "an": 2400, "re": 2500, "he": 2600, "in": 2700, "ed": 2800, "nd": 2900,
+    "ha": 3000, "at": 3100, "en": 3200, "es": 3300, "of": 3400, "or": 3500, "ti": 3600, "to": 3700, "ing": 2000,
+    "tion": 1500, "the": 1800, "and": 1900, "ly": 3800, "st": 3900, "ion": 2900, "ght": 2000, "e": 4000, "t": 4100,
+}
+
+
+def running_han(c):
+    return F.translate(F.lower(c), _LETTERS, _HAN)
+
+
+_WORDS_SQL = rf"""
+grams AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT unnest(flatten(list_transform(range(1, least(length(run), 4) + 1),
+             lambda k: list_transform(range(1, length(run) - k + 2), lambda i: substr(run, i, k))))) AS word
+    FROM (SELECT unnest(regexp_extract_all(translate(lower(text), '{_LETTERS}', '{_HAN}'), '[\x{{4e00}}-\x{{9fff}}]+')) AS run
+          FROM documents))
+  GROUP BY word),
+total AS (SELECT sum(n)::HUGEINT AS total FROM grams WHERE length(word) = 1),
+cuts AS (
+  SELECT word, n, substr(word, 1, k) AS l, substr(word, k + 1) AS r
+  FROM (SELECT word, n, unnest(range(1, length(word))) AS k FROM grams WHERE length(word) > 1 AND n >= 5)),
+held AS (
+  SELECT word, any_value(c.n) AS n FROM cuts c JOIN grams a ON a.word = l JOIN grams b ON b.word = r, total
+  GROUP BY word HAVING bool_and(c.n::HUGEINT * total >= 20 * a.n::HUGEINT * b.n))"""
+
+
+@register(
+    "learned_words",
+    f"""WITH {_WORDS_SQL}
+    SELECT word, n, round(1000 * ln(total::DOUBLE / n))::INT AS cost
+    FROM (SELECT word, n FROM grams WHERE length(word) = 1 UNION ALL SELECT * FROM held), total""",
+)
+def _(spark, d):
+    """A dictionary from the given texts, written in Han characters."""
+    texts = table(spark, d, "documents").select(running_han(F.col("text")).alias("text"))
+    return seg.learn_words(texts)
+
+
+@register(
+    "dictionary_tokens",
+    rf"""WITH RECURSIVE dictionary AS (
+      SELECT translate(w, '{_LETTERS}', '{_HAN}') AS word, c AS cost
+      FROM (VALUES {', '.join(f"('{w}', {c})" for w, c in _SYLLABLES.items())}) v(w, c)),
+    runs AS (
+      SELECT DISTINCT unnest(regexp_extract_all(translate(lower(text), '{_LETTERS}', '{_HAN}'), '[\x{{4e00}}-\x{{9fff}}]+')) AS run
+      FROM conversations),
+    -- best[k]: cost and words of the cheapest cut of the last k - 1 characters
+    paths AS (
+      SELECT run, length(run) AS i, [{{'c': 0, 'z': 0, 'w': []::VARCHAR[]}}] AS best FROM runs
+      UNION ALL
+      SELECT run, i - 1, list_append(best, list_min(list_filter(list_transform([1, 2, 3, 4], lambda z:
+               CASE WHEN z > len(best) THEN NULL
+                    WHEN costs[substr(run, i, z)] IS NOT NULL
+                      THEN {{'c': best[len(best) + 1 - z].c + costs[substr(run, i, z)], 'z': -z,
+                             'w': list_prepend(substr(run, i, z), best[len(best) + 1 - z].w)}}
+                    WHEN z = 1 THEN {{'c': best[len(best)].c + unknown, 'z': -1,
+                                      'w': list_prepend(substr(run, i, 1), best[len(best)].w)}} END),
+             lambda x: x IS NOT NULL)))
+      FROM paths, (SELECT map_from_entries(list((word, cost))) AS costs, max(cost) + 1000 AS unknown FROM dictionary)
+      WHERE i > 0),
+    cut AS (SELECT run, list_filter(best[len(best)].w, lambda w: length(w) > 1) AS words FROM paths WHERE i = 0),
+    pieces AS (
+      SELECT conv_id, turn, unnest(p) AS piece, unnest(range(len(p))) AS nth FROM (
+        SELECT conv_id, turn, regexp_extract_all(translate(lower(text), '{_LETTERS}', '{_HAN}'),
+                                                 '[\x{{4e00}}-\x{{9fff}}]+|[A-Za-z0-9]{{2,}}') AS p FROM conversations)),
+    told AS (
+      SELECT conv_id, turn, nth, unnest(words) AS token, unnest(range(len(words))) AS k FROM (
+        SELECT conv_id, turn, nth, coalesce(words, [piece]) AS words FROM pieces LEFT JOIN cut ON run = piece))
+    SELECT conv_id, turn, token, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY nth, k) - 1)::INT AS pos FROM told""",
+)
+def _(spark, d):
+    costs = {w.translate(str.maketrans(_LETTERS, _HAN)): c for w, c in _SYLLABLES.items()}
+    segment = seg.DictionarySegmenter(costs)
+    turns = table(spark, d, "conversations").withColumn("words", segment(running_han(F.col("text"))))
+    return turns.select("conv_id", "turn", F.posexplode("words").alias("pos", "token"))
+
+
 @register("similarity")
 def _(spark, d):
     line = F.concat_ws(" ", "p_name", "p_brand", "p_type")

@@ -1,11 +1,14 @@
+import itertools
 import random
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from tmloom.functions import segmenter
 from tmloom.functions import text as t
 from tmloom.functions.similarity import similarity, similarity_bound
+from tmloom.operators import fuzzy
 
 
 @pytest.fixture
@@ -160,3 +163,44 @@ def test_similarity_matches_the_standard_library(spark):
     for row in rows.collect():
         assert row.s == SequenceMatcher(None, row.a, row.b).ratio()
         assert row.bound >= row.s
+
+
+def test_best_path_is_the_cheapest_of_all_cuts():
+    rng = random.Random(5)
+    letters = "力电缆铜"
+    for _ in range(300):
+        words = {"".join(rng.choices(letters, k=rng.randint(1, 4))): rng.randint(1, 6) for _ in range(12)}
+        run = "".join(rng.choices(letters + "无", k=rng.randint(1, 9)))
+        unknown = max(words.values()) + 2
+        cuts = []
+        for marks in itertools.product([0, 1], repeat=len(run) - 1):
+            ends = [0, *[i + 1 for i, m in enumerate(marks) if m], len(run)]
+            cut = [run[a:b] for a, b in itertools.pairwise(ends)]
+            costs = [words.get(w, unknown if len(w) == 1 else None) for w in cut]
+            if None not in costs:
+                cuts.append((sum(costs), [-len(w) for w in cut], cut))
+        assert segmenter.best_path(run, words, 4, unknown) == min(cuts)[2]
+
+
+def test_a_learned_dictionary_finds_its_words(spark):
+    rng = random.Random(6)
+    vocabulary = ["电力", "电缆", "铜芯线", "变压器", "开关", "泵", "不锈钢管"]
+    texts = ["".join(rng.choices(vocabulary, k=30)) + f" M{n} x" for n in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = segmenter.learn_words(df, least=20, cohesion=3)
+    learned = {r.word for r in words.collect()}
+    assert set(vocabulary) <= learned
+    segment = segmenter.DictionarySegmenter.from_words(words)
+    asked = spark.createDataFrame([("铜芯线电缆 YJV 泵变压器 a 电",), (None,), ("",), ("unbekannt 魑魅",)], "text string")
+    got = [r.words for r in asked.select(segment(F.col("text")).alias("words")).collect()]
+    assert got == [["铜芯线", "电缆", "YJV", "变压器"], None, [], ["unbekannt"]]
+    with pytest.raises(ValueError, match="words are more than"):
+        segmenter.DictionarySegmenter(dict.fromkeys(map(str, range(segmenter.MOST_WORDS + 1)), 1))
+    assert segmenter.learn_words(df.limit(0)).count() == 0
+
+
+def test_operators_take_the_dictionary_as_segmenter(spark):
+    segment = segmenter.DictionarySegmenter({"电力": 1, "电缆": 1})
+    history = spark.createDataFrame([(1, "电力电缆", "power cable")], "seq long, src string, tgt string")
+    posted = fuzzy.postings(history, segment)
+    assert sorted((r.token, r.tok_pos) for r in posted.collect()) == [("电力", 0), ("电缆", 1)]
