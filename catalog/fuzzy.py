@@ -105,7 +105,65 @@ def _(spark, d):
     return snapshot_pairs(spark, d).drop("at")
 
 
-@register("fuzzy_candidates")
+s.add_cte(
+    "met_pairs",
+    ("line_tokens", "recent"),
+    """SELECT batch, text, src AS hist_source, arg_min(tgt, row(line_pos, t.tok_pos, r.seq, r.tok_pos)) AS hist_target,
+              min(row(line_pos, t.tok_pos, r.seq, r.tok_pos)) AS first
+       FROM line_tokens t JOIN recent r USING (batch, token) GROUP BY ALL""",
+)
+s.add_ratios("pair_ratios", ("met_pairs",), "SELECT text AS a, hist_source AS b FROM met_pairs")
+s.add_cte(
+    "passing",
+    ("met_pairs", "pair_ratios"),
+    """SELECT m.*, sim FROM met_pairs m JOIN pair_ratios r ON r.a = m.text AND r.b = m.hist_source WHERE sim > 0.1""",
+)
+s.add_cte(
+    "first_hits",
+    ("passing",),
+    """SELECT batch, hist_source, arg_min(hist_target, first) AS hist_target, arg_min(sim, first) AS sim, min(first) AS first
+       FROM passing GROUP BY batch, hist_source""",
+)
+s.add_cte(
+    "ranked_hits",
+    ("first_hits",),
+    "SELECT *, row_number() OVER (PARTITION BY batch ORDER BY sim DESC, first)::INT AS rank FROM first_hits",
+)
+s.add_ratios(
+    "hit_ratios",
+    ("ranked_hits",),
+    """SELECT y.hist_source AS a, x.hist_source AS b FROM ranked_hits x JOIN ranked_hits y USING (batch)
+       WHERE x.rank < y.rank""",
+)
+s.add_cte(
+    "near_ones",
+    ("hit_ratios",),
+    "SELECT a AS hist_source, list(b) AS near FROM hit_ratios WHERE sim > 0.8 GROUP BY a",
+)
+s.add_cte(
+    "walk",
+    ("ranked_hits", "near_ones"),
+    """SELECT batch, 0 AS rank, []::VARCHAR[] AS kept FROM (SELECT DISTINCT batch FROM ranked_hits)
+       UNION ALL
+       SELECT w.batch, w.rank + 1, CASE WHEN len(kept) < 50 AND NOT list_has_any(kept, coalesce(near, []))
+                                        THEN list_append(kept, c.hist_source) ELSE kept END
+       FROM walk w JOIN ranked_hits c ON c.batch = w.batch AND c.rank = w.rank + 1
+       LEFT JOIN near_ones n ON n.hist_source = c.hist_source""",
+    recursive=True,
+)
+s.add_cte(
+    "kept_hits",
+    ("walk",),
+    """SELECT h.batch, h.rank, h.hist_source, h.hist_target FROM ranked_hits h
+       JOIN (SELECT batch, arg_max(kept, rank) AS kept FROM walk GROUP BY batch) w
+         ON w.batch = h.batch AND list_contains(w.kept, h.hist_source)""",
+)
+
+
+@register(
+    "fuzzy_candidates",
+    sql("SELECT batch, text, hist_source, hist_target, sim FROM passing", "passing"),
+)
 def _(spark, d):
     return f.fuzzy_candidates(snapshot_pairs(spark, d)).drop("at")
 
@@ -114,22 +172,36 @@ def first_hits(spark, d):
     return f.first_passing_hit(f.fuzzy_candidates(snapshot_pairs(spark, d)))
 
 
-@register("first_passing_hit")
+@register(
+    "first_passing_hit", sql("SELECT batch, hist_source, hist_target, sim FROM first_hits", "first_hits")
+)
 def _(spark, d):
     return first_hits(spark, d).drop("at")
 
 
-@register("rank_candidates")
+@register(
+    "rank_candidates", sql("SELECT batch, hist_source, hist_target, sim, rank FROM ranked_hits", "ranked_hits")
+)
 def _(spark, d):
     return f.rank_candidates(first_hits(spark, d)).drop("at")
 
 
-@register("suppress_near_duplicates")
+@register(
+    "suppress_near_duplicates", sql("SELECT batch, rank, hist_source, hist_target FROM kept_hits", "kept_hits")
+)
 def kept(spark, d):
     return f.suppress_near_duplicates(f.rank_candidates(first_hits(spark, d)))
 
 
-@register("tm_lists")
+@register(
+    "tm_lists",
+    sql(
+        """SELECT batch, '[' || string_agg('{"source":"' || hist_source || '","target":"' || hist_target || '"}', ','
+                                           ORDER BY rank) || ']' AS tm_list
+           FROM kept_hits GROUP BY batch""",
+        "kept_hits",
+    ),
+)
 def _(spark, d):
     return f.tm_lists(kept(spark, d)).withColumn("tm_list", F.to_json("tm_list"))
 

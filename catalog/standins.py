@@ -391,8 +391,59 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def add_cte(name: str, needs: tuple[str, ...], body: str) -> None:
+_RECURSIVE: set[str] = set()
+
+
+def add_cte(name: str, needs: tuple[str, ...], body: str, recursive: bool = False) -> None:
     _CTES[name] = (needs, body)
+    if recursive:
+        _RECURSIVE.add(name)
+
+
+def add_ratios(name: str, needs: tuple[str, ...], pairs: str) -> None:
+    """``name`` (a, b, sim): the matching-block ratio of the distinct ``pairs`` (a, b) of texts below 200 characters.
+
+    The longest common block of two ranges, of equal ones the first in a and
+    then in b, splits them into ranges to its left and right, and so on; twice
+    the letters in blocks, by all letters, is the ratio.
+    """
+    add_cte(
+        f"{name}_asked", needs, f"SELECT a, b, row_number() OVER () AS p FROM (SELECT DISTINCT a, b FROM ({pairs}))"
+    )
+    add_cte(
+        f"{name}_cells",
+        (f"{name}_asked",),
+        f"""SELECT p, i, j, max(i) OVER (PARTITION BY p, i - j, g) - i + 1 AS n FROM (
+              SELECT p, i, j, i - row_number() OVER (PARTITION BY p, i - j ORDER BY i) AS g
+              FROM (SELECT p, unnest(string_split(a, '')) AS c, unnest(range(1, length(a) + 1)) AS i FROM {name}_asked)
+              JOIN (SELECT p, unnest(string_split(b, '')) AS c, unnest(range(1, length(b) + 1)) AS j FROM {name}_asked)
+              USING (p, c))""",
+    )
+    add_cte(
+        f"{name}_blocks",
+        (f"{name}_cells",),
+        f"""SELECT p, 1::BIGINT AS alo, length(a) + 1 AS ahi, 1::BIGINT AS blo, length(b) + 1 AS bhi, 0::BIGINT AS n
+            FROM {name}_asked
+            UNION ALL
+            SELECT p, x.alo, x.ahi, x.blo, x.bhi, x.n FROM (
+              SELECT p, unnest([
+                {{'alo': alo, 'ahi': m.i, 'blo': blo, 'bhi': m.j, 'n': 0::BIGINT}},
+                {{'alo': m.i - m.n, 'ahi': ahi, 'blo': m.j - m.n, 'bhi': bhi, 'n': 0::BIGINT}},
+                {{'alo': 0::BIGINT, 'ahi': 0::BIGINT, 'blo': 0::BIGINT, 'bhi': 0::BIGINT, 'n': -m.n}}]) AS x
+              FROM (SELECT p, alo, ahi, blo, bhi, min({{'n': -least(c.n, ahi - i, bhi - j), 'i': i, 'j': j}}) AS m
+                    FROM {name}_blocks r JOIN {name}_cells c USING (p)
+                    WHERE r.n = 0 AND i >= alo AND i < ahi AND j >= blo AND j < bhi
+                    GROUP BY p, alo, ahi, blo, bhi))
+            WHERE x.n > 0 OR (x.alo < x.ahi AND x.blo < x.bhi)""",
+        recursive=True,
+    )
+    add_cte(
+        name,
+        (f"{name}_blocks",),
+        f"""SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE
+                   ELSE 2.0::DOUBLE * m / (length(a) + length(b)) END AS sim
+            FROM {name}_asked JOIN (SELECT p, sum(n)::BIGINT AS m FROM {name}_blocks GROUP BY p) USING (p)""",
+    )
 
 
 def sql(body: str, *needs: str) -> str:
@@ -409,4 +460,5 @@ def sql(body: str, *needs: str) -> str:
         visit(name)
     if not ordered:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({_CTES[n][1]})" for n in ordered) + "\n" + body
+    first = "WITH RECURSIVE " if _RECURSIVE.intersection(ordered) else "WITH "
+    return first + ",\n".join(f"{n} AS ({_CTES[n][1]})" for n in ordered) + "\n" + body

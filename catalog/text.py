@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from catalog import register
-from catalog.standins import RE_WS, sql, strip_sql, table
+from catalog.standins import RE_WS, add_ratios, sql, strip_sql, table
 from tmloom.functions import segmenter as seg
 from tmloom.functions import similarity as sim
 from tmloom.functions import text as t
@@ -371,7 +371,21 @@ def _(spark, d):
     return turns.select("conv_id", "turn", F.posexplode("words").alias("pos", "token"))
 
 
-@register("similarity")
+add_ratios(
+    "line_ratios",
+    (),
+    """SELECT p_name || ' ' || p_brand || ' ' || p_type AS a, p_type || ' ' || p_name || ' ' || p_brand AS b FROM part""",
+)
+
+
+@register(
+    "similarity",
+    sql(
+        """SELECT p_partkey, sim, 1.0::DOUBLE AS bound FROM part JOIN line_ratios
+           ON a = p_name || ' ' || p_brand || ' ' || p_type AND b = p_type || ' ' || p_name || ' ' || p_brand""",
+        "line_ratios",
+    ),
+)
 def _(spark, d):
     line = F.concat_ws(" ", "p_name", "p_brand", "p_type")
     other = F.concat_ws(" ", "p_type", "p_name", "p_brand")

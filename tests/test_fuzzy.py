@@ -1,13 +1,14 @@
 """Retrieval against brute force on small fixtures, in both modes."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tmloom.functions import similarity as sim
 from tmloom.operators import fuzzy as f
 from tmloom.operators.batches import assign_batches
 
@@ -149,3 +150,34 @@ def test_own_segmenter(data):
     lists = collected(f.retrieve_hints(batched, log, segment=whole))
     sources = {s for _i, s, _t in data[0]}
     assert all(h in sources for hints in lists.values() for h, _t in hints)
+
+
+def test_bounds_are_never_below_the_ratio(spark):
+    rng = random.Random(12)
+    rows = [tuple("".join(rng.choices("aabc é电😀 ", k=rng.choice([0, 1, 5, 20, 60]))) for _ in range(2)) for _ in range(400)]
+    rows += [("x" * 300, "y" * 300), ("ab" * 150, "ba" * 150)]
+    df = spark.createDataFrame(rows, "a string, b string").select(
+        "*", sim.similarity("a", "b").alias("sim"), sim.letters_bound("a", "b").alias("letters"),
+        sim.similarity_bound("a", "b").alias("lengths"),
+    )
+    got = df.collect()
+    assert all(r.sim <= min(r.letters, r.lengths) + 1e-12 for r in got)
+    assert sum(r.letters < r.lengths for r in got) > 50
+    short = [r for r in got if 0 < len(r.a) + len(r.b) and max(len(r.a), len(r.b)) <= 256]
+    for r in short:
+        shared = sum((Counter(r.a) & Counter(r.b)).values())
+        assert r.letters == pytest.approx(2 * shared / (len(r.a) + len(r.b)))
+
+
+def test_few_pairs_reach_python(spark):
+    """The same texts meet in many batches; each pair is compared once."""
+    rows = [(n // 25, n % 25, f"{'pump valve seal'.split()[n % 3]} size {n % 20}") for n in range(2000)]
+    lines = spark.createDataFrame(rows, "batch long, pos int, src string")
+    history = spark.createDataFrame([(n, f"pump size {n % 15}", "P") for n in range(60)], "seq long, src string, tgt string")
+    tokens = f.line_tokens(lines)
+    pairs = f.candidate_pairs(tokens, f.snapshot_postings(tokens.select("batch", "token").distinct(), f.postings(history)))
+    met, compared = pairs.count(), f.compared_pairs(pairs).count()
+    assert compared == pairs.select("text", "hist_source").distinct().count() <= met / 2
+    plain = pairs.withColumn("sim", sim.similarity("text", "hist_source")).where("sim > 0.1")
+    as_rows = lambda df: sorted(map(repr, df.select("batch", "text", "hist_source", "at", "hist_target", "sim").collect()))
+    assert as_rows(f.fuzzy_candidates(pairs)) == as_rows(plain)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmloom.functions import fixed_values as fv
-from tmloom.functions.similarity import similarity, similarity_bound
+from tmloom.functions.similarity import letters_bound, similarity, similarity_bound
 from tmloom.functions.text import tokens
 from tmloom.operators.scale import materialize
 
@@ -26,6 +26,7 @@ Segmenter = Callable[[Column], Column]
 
 _CHUNK_BATCHES = 256  # batches whose postings are counted by one window group
 _LETTER_BINS = 128
+_RANGE_BITS = 10  # batches among which a pair of texts is compared once
 
 
 def postings(history: DataFrame, segment: Segmenter = tokens) -> DataFrame:
@@ -209,15 +210,27 @@ def candidate_pairs(lines: DataFrame, recent: DataFrame) -> DataFrame:
 def fuzzy_candidates(pairs: DataFrame, min_similarity: float = fv.MIN_SIMILARITY) -> DataFrame:
     """Pairs more similar than the threshold, with ``sim``.
 
-    The length bound is exact, so it removes only pairs that would fail anyway
-    and spares them the Python comparison.
+    A pair of texts is compared once for a range of batches, whatever the number
+    of them it occurs in; the range bounds the group.  The bounds from lengths
+    and letters are exact, so they remove only pairs that would fail anyway and
+    spare them the Python comparison.
     """
-    near = pairs.where(similarity_bound("text", "hist_source") > min_similarity)
-    return near.withColumn("sim", similarity("text", "hist_source")).where(
-        F.col("sim") > min_similarity
+    return compared_pairs(pairs, min_similarity).where(F.col("sim") > min_similarity).select(
+        "text", "hist_source", "sim", F.inline("met")
     )
 
 
+def compared_pairs(pairs: DataFrame, min_similarity: float = fv.MIN_SIMILARITY) -> DataFrame:
+    """(text, hist_source, met, sim): the rows that Python compares, with the batches they were met in."""
+    met = pairs.groupBy("text", "hist_source", F.shiftright("batch", _RANGE_BITS).alias("_range")).agg(
+        F.collect_list(F.struct("batch", "at", "hist_target")).alias("met")
+    )
+    near = met.where(similarity_bound("text", "hist_source") > min_similarity).where(
+        letters_bound("text", "hist_source") > min_similarity
+    )
+    return near.withColumn("sim", similarity("text", "hist_source")).drop("_range")
+
+
 def first_passing_hit(candidates: DataFrame, best: bool = False) -> DataFrame:
     """(batch, hist_source, hist_target, sim, at): the first hit of each past
     source, not its best one (unless ``best``)."""
