@@ -12,6 +12,58 @@ from tmloom.operators import fuzzy as f
 from tmloom.operators import progress as p
 from tmloom.operators.scale import materialize
 
+def add_chain(x: str) -> None:
+    """From ``{x}met_pairs`` to ``{x}kept_hits``: similar pairs, first hits, ranks, and the walk that drops near duplicates."""
+    s.add_ratios(f"{x}pair_ratios", (f"{x}met_pairs",), f"SELECT text AS a, hist_source AS b FROM {x}met_pairs")
+    s.add_cte(
+        f"{x}passing",
+        (f"{x}met_pairs", f"{x}pair_ratios"),
+        f"""SELECT m.*, sim FROM {x}met_pairs m JOIN {x}pair_ratios r ON r.a = m.text AND r.b = m.hist_source WHERE sim > 0.1""",
+    )
+    s.add_cte(
+        f"{x}first_hits",
+        (f"{x}passing",),
+        f"""SELECT batch, hist_source, arg_min(hist_target, first) AS hist_target, arg_min(sim, first) AS sim, min(first) AS first
+           FROM {x}passing GROUP BY batch, hist_source""",
+    )
+    s.add_cte(
+        f"{x}ranked_hits",
+        (f"{x}first_hits",),
+        f"SELECT *, row_number() OVER (PARTITION BY batch ORDER BY sim DESC, first)::INT AS rank FROM {x}first_hits",
+        stored=True,
+    )
+    s.add_ratios(
+        f"{x}hit_ratios",
+        (f"{x}ranked_hits",),
+        f"""SELECT y.hist_source AS a, x.hist_source AS b FROM {x}ranked_hits x JOIN {x}ranked_hits y USING (batch)
+           WHERE x.rank < y.rank""",
+    )
+    s.add_cte(
+        f"{x}near_ones",
+        (f"{x}hit_ratios",),
+        f"SELECT a AS hist_source, list(b) AS near FROM {x}hit_ratios WHERE sim > 0.8 GROUP BY a",
+        stored=True,
+    )
+    s.add_cte(
+        f"{x}walk",
+        (f"{x}ranked_hits", f"{x}near_ones"),
+        f"""SELECT batch, 0 AS rank, []::VARCHAR[] AS kept FROM (SELECT DISTINCT batch FROM {x}ranked_hits)
+           UNION ALL
+           SELECT w.batch, w.rank + 1, CASE WHEN len(kept) < 50 AND NOT list_has_any(kept, coalesce(near, []))
+                                            THEN list_append(kept, c.hist_source) ELSE kept END
+           FROM {x}walk w JOIN {x}ranked_hits c ON c.batch = w.batch AND c.rank = w.rank + 1
+           LEFT JOIN {x}near_ones n ON n.hist_source = c.hist_source""",
+        recursive=True,
+    )
+    s.add_cte(
+        f"{x}kept_hits",
+        (f"{x}walk",),
+        f"""SELECT h.batch, h.rank, h.hist_source, h.hist_target FROM {x}ranked_hits h
+           JOIN (SELECT batch, arg_max(kept, rank) AS kept FROM {x}walk GROUP BY batch) w
+             ON w.batch = h.batch AND list_contains(w.kept, h.hist_source)""",
+    )
+
+
 s.add_cte(
     "line_tokens",
     ("batched",),
@@ -35,9 +87,14 @@ s.add_cte(
 )
 s.add_cte(
     "causal",
+    ("causal_recent",),
+    "SELECT batch, token, src, tgt FROM causal_recent",
+)
+s.add_cte(
+    "causal_recent",
     ("wanted", "postings", "done"),
-    """SELECT batch, token, src, tgt FROM (
-         SELECT w.batch, w.token, p.src, p.tgt, row_number() OVER (
+    """SELECT batch, token, b, o, tok_pos, src, tgt FROM (
+         SELECT w.batch, w.token, p.b, p.o, p.tok_pos, p.src, p.tgt, row_number() OVER (
                   PARTITION BY w.batch, w.token ORDER BY p.b DESC, p.o DESC, p.tok_pos DESC) AS rn
          FROM wanted w JOIN (
            SELECT token, -1 AS b, seq AS o, tok_pos, src, tgt FROM postings
@@ -112,52 +169,15 @@ s.add_cte(
               min(row(line_pos, t.tok_pos, r.seq, r.tok_pos)) AS first
        FROM line_tokens t JOIN recent r USING (batch, token) GROUP BY ALL""",
 )
-s.add_ratios("pair_ratios", ("met_pairs",), "SELECT text AS a, hist_source AS b FROM met_pairs")
-s.add_cte(
-    "passing",
-    ("met_pairs", "pair_ratios"),
-    """SELECT m.*, sim FROM met_pairs m JOIN pair_ratios r ON r.a = m.text AND r.b = m.hist_source WHERE sim > 0.1""",
-)
-s.add_cte(
-    "first_hits",
-    ("passing",),
-    """SELECT batch, hist_source, arg_min(hist_target, first) AS hist_target, arg_min(sim, first) AS sim, min(first) AS first
-       FROM passing GROUP BY batch, hist_source""",
-)
-s.add_cte(
-    "ranked_hits",
-    ("first_hits",),
-    "SELECT *, row_number() OVER (PARTITION BY batch ORDER BY sim DESC, first)::INT AS rank FROM first_hits",
-)
-s.add_ratios(
-    "hit_ratios",
-    ("ranked_hits",),
-    """SELECT y.hist_source AS a, x.hist_source AS b FROM ranked_hits x JOIN ranked_hits y USING (batch)
-       WHERE x.rank < y.rank""",
-)
+add_chain("")
 s.add_cte(
-    "near_ones",
-    ("hit_ratios",),
-    "SELECT a AS hist_source, list(b) AS near FROM hit_ratios WHERE sim > 0.8 GROUP BY a",
-)
-s.add_cte(
-    "walk",
-    ("ranked_hits", "near_ones"),
-    """SELECT batch, 0 AS rank, []::VARCHAR[] AS kept FROM (SELECT DISTINCT batch FROM ranked_hits)
-       UNION ALL
-       SELECT w.batch, w.rank + 1, CASE WHEN len(kept) < 50 AND NOT list_has_any(kept, coalesce(near, []))
-                                        THEN list_append(kept, c.hist_source) ELSE kept END
-       FROM walk w JOIN ranked_hits c ON c.batch = w.batch AND c.rank = w.rank + 1
-       LEFT JOIN near_ones n ON n.hist_source = c.hist_source""",
-    recursive=True,
-)
-s.add_cte(
-    "kept_hits",
-    ("walk",),
-    """SELECT h.batch, h.rank, h.hist_source, h.hist_target FROM ranked_hits h
-       JOIN (SELECT batch, arg_max(kept, rank) AS kept FROM walk GROUP BY batch) w
-         ON w.batch = h.batch AND list_contains(w.kept, h.hist_source)""",
+    "causal_met_pairs",
+    ("line_tokens", "causal_recent"),
+    """SELECT batch, text, src AS hist_source, arg_min(tgt, row(line_pos, t.tok_pos, b, o, r.tok_pos)) AS hist_target,
+              min(row(line_pos, t.tok_pos, b, o, r.tok_pos)) AS first
+       FROM line_tokens t JOIN causal_recent r USING (batch, token) GROUP BY ALL""",
 )
+add_chain("causal_")
 
 
 @register(
@@ -193,20 +213,17 @@ def kept(spark, d):
     return f.suppress_near_duplicates(f.rank_candidates(first_hits(spark, d)))
 
 
-@register(
-    "tm_lists",
-    sql(
-        """SELECT batch, '[' || string_agg('{"source":"' || hist_source || '","target":"' || hist_target || '"}', ','
-                                           ORDER BY rank) || ']' AS tm_list
-           FROM kept_hits GROUP BY batch""",
-        "kept_hits",
-    ),
-)
+_LISTS = """SELECT batch, '[' || string_agg('{"source":"' || hist_source || '","target":"' || hist_target || '"}', ','
+                              ORDER BY rank) || ']' AS tm_list
+    FROM <kept> GROUP BY batch"""
+
+
+@register("tm_lists", sql(_LISTS.replace("<kept>", "kept_hits"), "kept_hits"))
 def _(spark, d):
     return f.tm_lists(kept(spark, d)).withColumn("tm_list", F.to_json("tm_list"))
 
 
-@register("retrieve_hints_causal")
+@register("retrieve_hints_causal", sql(_LISTS.replace("<kept>", "causal_kept_hits"), "causal_kept_hits"))
 def _(spark, d):
     lines = batched(spark, d)
     lists = f.retrieve_hints(lines, history(spark, d), done(lines))

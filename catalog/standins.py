@@ -392,12 +392,16 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 _RECURSIVE: set[str] = set()
+_STORED: set[str] = set()
 
 
-def add_cte(name: str, needs: tuple[str, ...], body: str, recursive: bool = False) -> None:
+def add_cte(name: str, needs: tuple[str, ...], body: str, recursive: bool = False, stored: bool = False) -> None:
+    """``stored``: worked out once, though steps of a recursion read it."""
     _CTES[name] = (needs, body)
     if recursive:
         _RECURSIVE.add(name)
+    if stored:
+        _STORED.add(name)
 
 
 def add_ratios(name: str, needs: tuple[str, ...], pairs: str) -> None:
@@ -408,7 +412,8 @@ def add_ratios(name: str, needs: tuple[str, ...], pairs: str) -> None:
     the letters in blocks, by all letters, is the ratio.
     """
     add_cte(
-        f"{name}_asked", needs, f"SELECT a, b, row_number() OVER () AS p FROM (SELECT DISTINCT a, b FROM ({pairs}))"
+        f"{name}_asked", needs, f"SELECT a, b, row_number() OVER () AS p FROM (SELECT DISTINCT a, b FROM ({pairs}))",
+        stored=True,
     )
     add_cte(
         f"{name}_cells",
@@ -418,6 +423,7 @@ def add_ratios(name: str, needs: tuple[str, ...], pairs: str) -> None:
               FROM (SELECT p, unnest(string_split(a, '')) AS c, unnest(range(1, length(a) + 1)) AS i FROM {name}_asked)
               JOIN (SELECT p, unnest(string_split(b, '')) AS c, unnest(range(1, length(b) + 1)) AS j FROM {name}_asked)
               USING (p, c))""",
+        stored=True,
     )
     add_cte(
         f"{name}_blocks",
@@ -461,4 +467,5 @@ def sql(body: str, *needs: str) -> str:
     if not ordered:
         return body
     first = "WITH RECURSIVE " if _RECURSIVE.intersection(ordered) else "WITH "
-    return first + ",\n".join(f"{n} AS ({_CTES[n][1]})" for n in ordered) + "\n" + body
+    told = lambda n: "AS MATERIALIZED" if n in _STORED else "AS"
+    return first + ",\n".join(f"{n} {told(n)} ({_CTES[n][1]})" for n in ordered) + "\n" + body
