@@ -60,11 +60,15 @@ _SHORT = 256  # longer texts share most of their letters anyway
 
 
 def _numbered_letters(c: Column) -> Column:
-    """The letters of a text, repeats told apart by a number: a set in place of a multiset."""
-    letters = F.array_sort(F.split(c, ""))
-    return F.transform(
-        letters, lambda x, i: F.concat(x, F.lit("\0"), (i - F.array_position(letters, x) + 1).cast("string"))
+    """The letters of a text, repeats told apart by a number: a set in place of a multiset.
+
+    The sorted letters are bound to a name by a list of one, so that they are
+    worked out once and not for every letter.
+    """
+    numbered = lambda letters: F.transform(
+        letters, lambda x, i: F.concat(x, (i - F.array_position(letters, x)).cast("string"))
     )
+    return F.transform(F.array(F.sort_array(F.split(c, ""))), numbered)[0]
 
 
 def letters_bound(a: ColumnOrName, b: ColumnOrName) -> Column:

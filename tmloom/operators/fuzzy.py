@@ -182,6 +182,11 @@ def causal_postings(
     )
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for rows that are small but costly, which Spark would otherwise put together by size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def candidate_pairs(lines: DataFrame, recent: DataFrame) -> DataFrame:
     """(batch, text, hist_source, at, hist_target): the first meeting of each pair.
 
@@ -189,13 +194,12 @@ def candidate_pairs(lines: DataFrame, recent: DataFrame) -> DataFrame:
     together once; the steps after it keep that placement.  The number of tasks
     is given, because small rows are costly ones here: each is compared in Python.
     """
-    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = lines.join(
         recent.select("batch", "token", "ord", F.col("src").alias("hist_source"), F.col("tgt").alias("hist_target")),
         ["batch", "token"],
     )
     return (
-        met.repartition(tasks, "batch")
+        met.repartition(_tasks(lines), "batch")
         .groupBy("batch", "text", "hist_source")
         .agg(
             F.min_by(
@@ -213,21 +217,23 @@ def fuzzy_candidates(pairs: DataFrame, min_similarity: float = fv.MIN_SIMILARITY
     A pair of texts is compared once for a range of batches, whatever the number
     of them it occurs in; the range bounds the group.  The bounds from lengths
     and letters are exact, so they remove only pairs that would fail anyway and
-    spare them the Python comparison.
+    spare them the Python comparison.  Rows of a batch come together again, for
+    the steps that follow.
     """
-    return compared_pairs(pairs, min_similarity).where(F.col("sim") > min_similarity).select(
-        "text", "hist_source", "sim", F.inline("met")
-    )
+    near = compared_pairs(pairs, min_similarity).where(F.col("sim") > min_similarity)
+    return near.select("text", "hist_source", "sim", F.inline("met")).repartition(_tasks(pairs), "batch")
 
 
 def compared_pairs(pairs: DataFrame, min_similarity: float = fv.MIN_SIMILARITY) -> DataFrame:
     """(text, hist_source, met, sim): the rows that Python compares, with the batches they were met in."""
-    met = pairs.groupBy("text", "hist_source", F.shiftright("batch", _RANGE_BITS).alias("_range")).agg(
+    keys = ["text", "hist_source", "_range"]
+    ranged = pairs.withColumn("_range", F.shiftright("batch", _RANGE_BITS)).repartition(_tasks(pairs), *keys)
+    met = ranged.groupBy(*keys).agg(
         F.collect_list(F.struct("batch", "at", "hist_target")).alias("met")
     )
-    near = met.where(similarity_bound("text", "hist_source") > min_similarity).where(
-        letters_bound("text", "hist_source") > min_similarity
-    )
+    # the bound from letters asks for the group, so it is not copied below it, to every single meeting
+    letters = F.when(F.size("met") > 0, letters_bound("text", "hist_source"))
+    near = met.where(similarity_bound("text", "hist_source") > min_similarity).where(letters > min_similarity)
     return near.withColumn("sim", similarity("text", "hist_source")).drop("_range")
 
 
