@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -210,3 +211,72 @@ def test_mixed_documents(spark):
     words = lambda frame: sum(len(r.text.split()) for r in frame.collect())
     assert abs(words(out) - 1.5 * words(df)) < 40
     assert {r.text.split()[0] for r in out.collect()} <= {r.text.split()[0] for r in df.collect()} | {"w"}
+
+
+@pytest.mark.parametrize("distance", [1, 4])
+def test_a_hot_block_is_split_without_loss(spark, monkeypatch, distance):
+    """Most fingerprints share their first block, and frames are small against what is joined at once."""
+    import tmloom.llm.simhash as simhash
+
+    monkeypatch.setattr(simhash, "_HOT", 50)
+    monkeypatch.setattr(simhash, "_FLUSH", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    rng = np.random.default_rng(distance)
+    base = rng.integers(0, 2**50, 150, dtype=np.uint64)  # fourteen leading zeros
+    rows = [base, rng.integers(0, 2**63, 60, dtype=np.uint64)]
+    for _ in range(6):
+        some = base.copy()
+        for _ in range(rng.integers(1, distance + 2)):
+            some ^= np.uint64(1) << rng.integers(0, 64, len(some)).astype(np.uint64)
+        rows.append(some)
+    bits = np.unique(np.concatenate(rows))
+    df = spark.createDataFrame([(int(b),) for b in bits.view(np.int64)], "fp long")
+    try:
+        got = {(r.a, r.b) for r in simhash.links(df, distance).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= distance
+
+    def groups(pairs):
+        root = {int(b): int(b) for b in bits.view(np.int64)}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in pairs:
+                low = min(root[a], root[b])
+                if root[a] != low or root[b] != low:
+                    root[a] = root[b] = low
+                    changed = True
+        return root
+
+    signed = bits.view(np.int64)
+    want = [(int(signed[i]), int(signed[j])) for i, j in zip(*np.nonzero(near), strict=True) if i < j]
+    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 64 for a, b in got)
+    assert groups(got) == groups(want)
+
+
+def test_quotients_of_a_million_shards(spark):
+    """One group with a million rows, ties among them, beside a small one."""
+    from tmloom.llm.mix import highest_quotients
+
+    rng = np.random.default_rng(1)
+    weights = rng.integers(1, 60, 1_000_000) * 1000
+    small = np.array([5, 5, 3, 0, 9])
+    rows = spark.createDataFrame(
+        pa.table({
+            "g": np.repeat([0, 1], [len(weights), len(small)]),
+            "shard": np.concatenate([np.arange(len(weights)), np.arange(len(small))]),
+            "weight": np.concatenate([weights, small]),
+        })
+    )
+    totals = {0: 2_345_678, 1: 7}
+    rows = rows.withColumn("total", F.when(F.col("g") == 0, totals[0]).otherwise(totals[1])).withColumn("cap", F.lit(2**62))
+    got = highest_quotients(rows, ["g"], "weight", "total", "cap", ["shard"]).select("g", "shard", "seats").toPandas()
+    for g, w in ((0, weights), (1, small)):
+        most = int(np.ceil(w.max() / w.sum() * totals[g] * 2)) + 3
+        k = np.arange(1, most + 1)
+        quotient = (w[:, None] / (2 * k - 1)).ravel()
+        order = np.lexsort((np.tile(k, len(w)), np.repeat(np.arange(len(w)), most), -quotient))[: totals[g]]
+        want = np.bincount(order // most, minlength=len(w))
+        have = got[got["g"] == g].sort_values("shard")["seats"].to_numpy()
+        assert have.sum() == totals[g] and (have == want).all()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tmloom.operators.scale import materialize
 
 BLOCK_WORDS = 32
+_BINS = 4096  # of the quotients of a group
 SHARD_ROWS = 4096
 SEED = 42
 WEIGHTS = (5, 2, 1)
@@ -38,8 +39,10 @@ def highest_quotients(
     A row's k-th seat has the quotient weight / (2k - 1), and the highest
     quotients of a group get its seats, none beyond a row's ``cap``.  Seats lie
     within n * weight / (2 * all weights) + 1 of the rounded share, so only
-    quotients in that range are listed: a few for each row.  ``group`` and
-    ``order`` together must tell the rows apart.
+    quotients in that range are listed: a few for each row.  They are counted in
+    ``_BINS`` bins of their group, before the shuffle; the bins above the one in
+    which the seats run out win whole, and only that one is put in order.
+    ``group`` and ``order`` together must tell the rows apart.
     """
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     ranged = (
@@ -63,10 +66,30 @@ def highest_quotients(
         *group, *order, weight, "_open",
         F.explode(F.when(last > F.col("_sure"), F.sequence(F.col("_sure") + 1, last))).alias("_k"),
     ).withColumn("_quotient", F.col(weight) / (2 * F.col("_k") - 1))
-    by = w.orderBy(F.desc("_quotient"), *order, "_k")
+    listed = materialize(listed.where("_quotient > 0"), "quotients")
+    keys = list(group) or [F.lit(0).alias("_one")]
+    names = list(group) or ["_one"]
+    spans = listed.groupBy(*keys).agg(F.min("_quotient").alias("_low"), F.max("_quotient").alias("_high"))
+    quotients = listed.select("*", *([] if group else keys)).join(spans, names)
+    width = F.col("_high") - F.col("_low")
+    binned = quotients.withColumn(
+        "_bin",
+        F.when(width > 0, F.least(F.lit(_BINS - 1), F.floor((F.col("_quotient") - F.col("_low")) / width * _BINS)))
+        .otherwise(0).cast("int"),
+    )
+    above = Window.partitionBy(*names).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = (
+        binned.groupBy(*names, "_bin").agg(F.count(F.lit(1)).alias("_here"))
+        .withColumn("_above", F.coalesce(F.sum("_here").over(above), F.lit(0)))
+    )
+    met = binned.join(counted, [*names, "_bin"]).where("_above < _open")
+    by = Window.partitionBy(*names).orderBy(F.desc("_quotient"), *order, "_k")
+    last = met.where("_above + _here > _open").withColumn("_rank", F.row_number().over(by)).where(
+        "_above + _rank <= _open"
+    )
     won = (
-        listed.withColumn("_rank", F.row_number().over(by))
-        .where("_rank <= _open AND _quotient > 0")
+        met.where("_above + _here <= _open").select(*group, *order)
+        .unionByName(last.select(*group, *order))
         .groupBy(*group, *order)
         .agg(F.count(F.lit(1)).alias("_won"))
     )

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tmloom.llm.graph import components
@@ -21,6 +21,7 @@ MAX_DISTANCE = 4
 SEED = 42
 _SLICE = 1 << 15  # shingles whose bits are counted at once
 _FLUSH = 1 << 18  # fingerprints joined at once
+_HOT = 1 << 18  # fingerprints of one key that stay together
 _PAIRS = 1 << 19  # node pairs expanded at once
 _LEAF = 48  # pairs below a node pair that are compared one by one
 
@@ -159,6 +160,11 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     So the trie is joined once for each rotation, with that budget at each
     depth: the first block must agree and is the shuffle key.  Of the links
     found in one task only as many as connect their rows are returned.
+
+    A key that more than ``_HOT`` fingerprints share is split by the next block,
+    in which a pair may differ by one bit: each fingerprint is dealt to its own
+    value and to those with one of its bits cleared, so any pair in reach meets
+    at the lower of its two values.
     """
     cuts = blocks(max_distance)
     widths = np.diff(cuts)
@@ -168,7 +174,8 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
         if cut:
             turn = F.shiftleft("fp", cut).bitwiseOR(F.shiftrightunsigned("fp", 64 - cut))
         turned.append(F.struct(F.lit(r).alias("r"), turn.alias("bits"),
-                               F.shiftrightunsigned(turn, 64 - int(widths[r])).alias("key")))
+                               F.shiftrightunsigned(turn, 64 - int(widths[r])).alias("key"),
+                               _lower_values(turn, int(widths[r]), int(np.roll(widths, -r)[1]) if len(widths) > 1 else 0).alias("lower")))
     budgets = []
     for r in range(len(widths)):
         order = np.roll(widths, -r)
@@ -176,7 +183,7 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 
     def flush(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for r, some in rows.groupby("r"):
+        for (r, _), some in rows.groupby(["r", "sub"]):
             bits = np.sort(some["bits"].to_numpy().view(np.uint64))
             depth = int(widths[r])
             key = bits >> np.uint64(64 - depth)
@@ -189,30 +196,46 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
             out.append(pd.DataFrame({"a": back[tied].view(np.int64), "b": back[root[tied]].view(np.int64)}))
         return pd.concat(out)
 
+    place = ["r", "key", "sub"]
+
     def run(frames):
         held: list[pd.DataFrame] = []
+        size, open_ = 0, None
         for frame in frames:
             if not len(frame):
                 continue
-            held.append(frame)
-            if sum(map(len, held)) < _FLUSH:
-                continue
-            rows = pd.concat(held)
-            last = rows.iloc[-1]
-            open_ = (rows["r"] == last["r"]) & (rows["key"] == last["key"])
-            held = [rows[open_]]
-            if not open_.all():
-                yield flush(rows[~open_])
+            first, last = (tuple(frame[place].iloc[k]) for k in (0, -1))
+            # as long as one group goes on, its frames are only kept
+            if size >= _FLUSH and (first != open_ or last != open_):
+                rows = pd.concat([*held, frame])
+                tail = (rows[place] == last).all(axis=1)
+                yield flush(rows[~tail])
+                held, size = [rows[tail]], int(tail.sum())
+            else:
+                held.append(frame)
+                size += len(frame)
+            open_ = last
         if held:
             yield flush(pd.concat(held))
 
-    return (
-        distinct.select(F.explode(F.array(*turned)).alias("x"))
-        .select("x.*")
-        .repartition("r", "key")
-        .sortWithinPartitions("r", "key")
-        .mapInPandas(run, "a long, b long")
+    each = distinct.select(F.explode(F.array(*turned)).alias("x")).select("x.*")
+    hot = each.groupBy("r", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _HOT).select(
+        "r", "key", F.lit(True).alias("hot")
     )
+    dealt = each.join(materialize(hot, "hot"), ["r", "key"], "left").select(
+        "r", "bits", "key",
+        F.explode(F.when(F.col("hot"), F.col("lower")).otherwise(F.array(F.lit(-1).cast("long")))).alias("sub"),
+    )
+    return dealt.repartition(*place).sortWithinPartitions(*place).mapInPandas(run, "a long, b long")
+
+
+def _lower_values(turn: Column, skipped: int, width: int) -> Column:
+    """The block of ``width`` bits after the first ``skipped`` ones, and it with each of its bits cleared in turn."""
+    if not width:
+        return F.array(F.lit(-1).cast("long"))
+    value = F.shiftrightunsigned(F.shiftleft(turn, skipped), 64 - width)
+    cleared = [value.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << k)).cast("long")) for k in range(width)]
+    return F.array_distinct(F.array(value, *cleared))
 
 
 def _rooted(nodes: DataFrame, max_distance: int) -> DataFrame:
