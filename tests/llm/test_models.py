@@ -3,6 +3,8 @@
 import html
 import itertools
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -213,6 +215,76 @@ def test_quality_trains_on_all_lines(spark, monkeypatch):
     assert np.allclose(features[start : start + 200], quality.line_features(texts[:1])[0], atol=1e-5)
 
 
+def test_the_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(4)
+    counts = np.array([1, 4, 3])
+    x, label, weight = rng.normal(size=(8, 5)), np.array([1.0, 0.0, 1.0]), np.array([0.5, 2.0, 1.0])
+    theta = rng.normal(size=14)
+    value, slope = quality.chain_gradient(theta, x, counts, label, weight)
+    unary, step, at, want = x @ theta[:10].reshape(5, 2), theta[10:].reshape(2, 2), 0, 0.0
+    for n, y, w in zip(counts, label.astype(int), weight, strict=True):  # of all labellings, the one that is all y
+        scores = [
+            sum(unary[at + k, s] for k, s in enumerate(z)) + sum(step[a, b] for a, b in itertools.pairwise(z))
+            for z in itertools.product((0, 1), repeat=int(n))
+        ]
+        want -= w * (scores[-1 if y else 0] - np.log(np.exp(scores).sum()))
+        at += n
+    assert value == pytest.approx(want)
+    for k in range(14):
+        more = theta.copy()
+        more[k] += 1e-6
+        assert (quality.chain_gradient(more, x, counts, label, weight)[0] - value) / 1e-6 == pytest.approx(slope[k], abs=1e-4)
+
+
+def test_a_very_long_training_document(spark):
+    """A hundred thousand lines in one document take as many steps as the longest run, not as many as lines."""
+    rng = random.Random(15)
+    good = "\n".join(sentence(rng, SYLLABLES["yy"], 6).capitalize() + "." for _ in range(500))
+    rows = [(0, "\n".join([good] * 200), 1), (1, "AB## CD##\n" * 30, 0)] + [
+        (k, "\n".join(good.split("\n")[k : k + 5]) if k % 2 else "XY## ZZ##\nQ## W##", k % 2) for k in range(2, 40)
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    started = time.monotonic()
+    got = {r.doc_id: r.score for r in quality.score_quality(df.drop("quality"), df.select("doc_id", "quality")).collect()}
+    assert time.monotonic() - started < 60
+    assert all((got[k] >= 0.7) == bool(label) for k, _, label in rows)
+
+
+def test_spelling_models_are_kneser_ney():
+    """Word values against the formula, worked out from the counts anew for each letter."""
+    rng = random.Random(21)
+    counts = [Counter(), Counter()]
+    for k in (0, 1):
+        for _ in range(60):
+            for g in toxicity.grams_of("".join(rng.choices("abc" if k else "abd", k=rng.randint(1, 5))), 3):
+                counts[k][g] += 1
+    models = toxicity.SpellingModels.fit([(g, counts[0][g], counts[1][g]) for g in counts[0] | counts[1]], 3)
+    every = set(counts[0]) | set(counts[1])
+    before = {g[j:]: {h[i - 1] for h in every for i in range(1, len(h)) if h[i:] == g[j:]} for g in every for j in range(1, len(g))}
+    letters = len({g[-1] for g in before}) + 1
+
+    def shared(g):  # of both classes: by how many letters stand before
+        if not g:
+            return 1 / letters
+        followers = {x: len(s) for x, s in before.items() if x[:-1] == g[:-1] and len(x) == len(g)}
+        if not followers:
+            return shared(g[1:])
+        lower = 1 / letters if len(g) == 1 else shared(g[1:])
+        d = toxicity.DISCOUNT
+        return (max(followers.get(g, 0) - d, 0) + d * len(followers) * lower) / sum(followers.values())
+
+    def prob(k, g):
+        of = {x: n for x, n in counts[k].items() if x[:-1] == g[:-1]}
+        if not of:
+            return shared(g[1:])
+        d = toxicity.DISCOUNT
+        return (max(of.get(g, 0) - d, 0) + d * len(of) * shared(g[1:])) / sum(of.values())
+
+    words = ["a", "abc", "dab", "cab", "bb", "abd", "ccc"]
+    want = [sum(np.log(prob(1, g)) - np.log(prob(0, g)) for g in toxicity.grams_of(w, 3)) for w in words]
+    assert models.word_values(words) == pytest.approx(want, abs=1e-4)
+
+
 def test_urls(spark):
     rules = [site_rule("org", "/", "allow"), site_rule("example.org", "/en/1", "block"), word_rule("spam"),
              ("any", ".*zzz.*", [], "block", 1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,8 +15,10 @@ from tmloom.llm.folds import bounded_labels
 from tmloom.llm.texts import Shared, map_texts
 
 SAMPLE_ROWS = 1500  # labelled documents of each class that the field is fitted on, at most
-ROUNDS = 250
+ROUNDS = 100  # of the fit, at most
+FLAT = 1e-4  # slope at which it ends
 RIDGE = 1e-3
+CHAIN_LINES = 512  # of a training text that go as one chain
 
 _KINDS = ("upper", "lower", "digit", "space", "stop", "mark", "symbol", "other")
 _CLASS = np.full(256, _KINDS.index("other"), np.uint8)
@@ -157,6 +160,65 @@ def marginals(unary: np.ndarray, step: np.ndarray, counts: np.ndarray):
     return ahead + behind - per_line[:, None], pair, i
 
 
+def chain_gradient(theta: np.ndarray, x: np.ndarray, counts: np.ndarray, label: np.ndarray, weight: np.ndarray):
+    """Summed loss and gradient of some chains, every line bearing its chain's label and weight.
+
+    ``x`` holds the lines' features with their neighbours', chain after chain.
+    """
+    width = x.shape[1]
+    weights, step = theta[: 2 * width].reshape(width, 2), theta[2 * width :].reshape(2, 2)
+    unary = x @ weights
+    target = np.repeat(label, counts).astype(int)
+    mass = np.repeat(weight, counts)
+    log_p, pair, inner = marginals(unary, step, counts)
+    grad_w = x.T @ ((np.exp(log_p) - np.column_stack([1 - target, target])) * mass[:, None])
+    # the loss is that of the whole labelling: of the first line's mark, and of each next one given the one before
+    first = np.cumsum(counts) - counts
+    given = np.log(np.maximum(pair[np.arange(len(inner)), target[inner], target[inner]], 1e-300)) - log_p[inner, target[inner]]
+    loss = -(log_p[first, target[first]] @ weight) - given @ mass[inner]
+    pair = pair.copy()
+    pair[np.arange(len(inner)), target[inner], target[inner]] -= 1
+    grad_s = (pair * mass[inner][:, None, None]).sum(axis=0)
+    return loss, np.concatenate([grad_w.ravel(), grad_s.ravel()])
+
+
+def least_point(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int) -> np.ndarray:
+    """Where a convex ``loss`` (value, gradient) is least, from zero on.
+
+    Steps follow the curvature that the last gradients show (limited-memory
+    BFGS), each halved until the loss goes down.
+    """
+    at = np.zeros(size)
+    value, slope = loss(at)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(ROUNDS):
+        if np.abs(slope).max() < FLAT:
+            break
+        way, shares = slope.copy(), []
+        for step, turn in reversed(past):
+            share = step @ way / (step @ turn)
+            way -= share * turn
+            shares.append(share)
+        if past:
+            step, turn = past[-1]
+            way *= step @ turn / (turn @ turn)
+        for (step, turn), share in zip(past, reversed(shares), strict=True):
+            way += (share - turn @ way / (step @ turn)) * step
+        size_ = 1.0 if past else 1.0 / max(1.0, np.abs(slope).sum())
+        while True:
+            after = at - size_ * way
+            new, bend = loss(after)
+            if new <= value - 1e-4 * size_ * (slope @ way) or size_ < 1e-6:
+                break
+            size_ /= 2
+        if new > value:
+            break
+        if (after - at) @ (bend - slope) > 0:
+            past = [*past[-9:], (after - at, bend - slope)]
+        at, value, slope = after, new, bend
+    return at
+
+
 @dataclass
 class LineField:
     weights: np.ndarray  # features x 2
@@ -166,26 +228,24 @@ class LineField:
     def fit(cls, features: np.ndarray, counts: np.ndarray, labels: np.ndarray, mass: np.ndarray) -> LineField:
         """Maximum conditional likelihood with a ridge, every line bearing its document's label.
 
-        A document weighs ``mass``, shared among its lines.  Adam steps on the
-        whole sample.
+        A document weighs ``mass``, shared among its lines.  Lines have their
+        true neighbours' features; for the steps between lines a document is
+        taken in runs of at most CHAIN_LINES, which go side by side, so a very
+        long one takes no more rounds than others.
         """
         x = with_neighbours(features, counts)
+        pieces = -(-counts // CHAIN_LINES)
+        size = np.full(int(pieces.sum()), CHAIN_LINES)
+        size[np.cumsum(pieces) - 1] = counts - (pieces - 1) * CHAIN_LINES
+        label = np.repeat(labels, pieces)
+        weight = np.repeat(mass / np.maximum(counts, 1), pieces)
+
+        def loss(theta):
+            value, slope = chain_gradient(theta, x, size, label, weight)
+            return value / mass.sum() + RIDGE / 2 * theta @ theta, slope / mass.sum() + RIDGE * theta
+
         width = x.shape[1]
-        theta = np.zeros(2 * width + 4)
-        weight = np.repeat(mass / np.maximum(counts, 1), counts)
-        target = np.repeat(labels, counts).astype(int)
-        truth = np.column_stack([1 - target, target])
-        first, second = np.zeros_like(theta), np.zeros_like(theta)
-        for t in range(1, ROUNDS + 1):
-            weights, step = theta[: 2 * width].reshape(width, 2), theta[2 * width :].reshape(2, 2)
-            log_p, pair, inner = marginals(x @ weights, step, counts)
-            grad_w = x.T @ ((np.exp(log_p) - truth) * weight[:, None])
-            pair[np.arange(len(inner)), target[inner], target[inner]] -= 1
-            grad_s = (pair * weight[inner][:, None, None]).sum(axis=0)
-            grad = np.concatenate([grad_w.ravel(), grad_s.ravel()]) / mass.sum() + RIDGE * theta
-            first = 0.9 * first + 0.1 * grad
-            second = 0.99 * second + 0.01 * grad**2
-            theta -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        theta = least_point(loss, 2 * width + 4)
         return cls(theta[: 2 * width].reshape(width, 2), theta[2 * width :].reshape(2, 2))
 
     def line_goodness(self, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
