@@ -173,23 +173,33 @@ def earlier_memory(spark, d):
     )
 
 
-@register(
-    "translate_documents",
-    sql(
-        """SELECT doc_key, page, block_no, cache_hit, CASE WHEN cache_hit THEN 0 WHEN block_no % 5 = 0
+_TRANSLATED = sql(
+    """SELECT doc_key, page, block_no, cache_hit, CASE WHEN cache_hit THEN 0 WHEN block_no % 5 = 0
                   THEN 2 ELSE 1 END AS attempts,
                   CASE WHEN NOT cache_hit AND block_no % 5 = 0 THEN 'failed' ELSE 'ok' END AS status,
                   CASE WHEN cache_hit THEN 'old ' || source_text WHEN block_no % 5 = 0 THEN ''
                        ELSE 'new ' || source_text END AS translation
            FROM (SELECT *, EXISTS (SELECT 1 FROM blocks m WHERE m.doc_key = b.doc_key
                    AND m.source_text = b.source_text AND m.page % 2 = 0) AS cache_hit FROM blocks b)""",
-        "blocks",
-    ),
+    "blocks",
 )
+
+
+@register("translate_documents_waves", _TRANSLATED)
 def _(spark, d):
+    """The same run in three waves, each with the terms of those before it as hints."""
+    return translated(spark, d, 3)
+
+
+@register("translate_documents", _TRANSLATED)
+def _(spark, d):
+    return translated(spark, d, 1)
+
+
+def translated(spark, d, waves):
     memory = materialize(earlier_memory(spark, d), "memory")
     params = DocumentParameters(max_chars=SIZE, max_attempts=2, retry_base_delay=0.0)
-    run = translate_documents(raw_pages(spark, d), memory, block_answers, params)
+    run = translate_documents(raw_pages(spark, d), memory, block_answers, params, waves)
     return run.results.select(
         "doc_key", "page", "block_no", "cache_hit", "attempts", "status", "translation"
     )

@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 from tmloom.operators.attempts import call_model
 from tmloom.operators.progress import latest_progress
 from tmloom.plans.parameters import DocumentParameters, LineParameters
+from tmloom.plans.translate_documents import translate_documents
 from tmloom.plans.translate_lines import translate_lines
+from tmloom.sources.files import RESULT_SCHEMA
 from tmloom.streaming.incremental import (
     memory_log,
     postings_table,
@@ -148,3 +150,29 @@ def test_each_batch_gets_hints_of_those_before_it(spark, tmp_path):
         assert found and found <= set(all_sources[: n + 1])
     runs = [r.name for r in postings_table(spark, f"{log}/_postings", 20).live()]
     assert any(r.startswith("L1-") for r in runs) and len(runs) <= 5
+
+
+def test_terms_of_a_wave_are_hints_of_the_next(spark):
+    pages = spark.createDataFrame(
+        [("d", p, f"The pump number {p} runs. Valve {p}.", "") for p in range(1, 9)] + [("e", 1, "A pump elsewhere.", "")],
+        "doc_key string, page int, primary_text string, fallback_text string",
+    )
+    memory = spark.createDataFrame([], f"seq long, doc_key string, source_hash string, result {RESULT_SCHEMA}")
+
+    def caller(requests, attempt):
+        def factory():
+            def model(q):
+                terms = '[{"source":"pump","target":"泵"}]' if "number 1" in q["payload"] else "[]"
+                return {"body": f'{{"translation":"t","terms":{terms}}}'}
+
+            return model
+
+        return call_model(requests, factory, attempt, partitions=1)
+
+    params = DocumentParameters(retry_base_delay=0.0)
+    told = {}
+    for waves in (1, 4):
+        run = translate_documents(pages, memory, caller, params, waves=waves)
+        told[waves] = {(r.doc_key, r.page) for r in run.requests.collect() if "pump => 泵" in r.user_text}
+        assert run.results.count() == 9 and run.results.where("status = 'ok'").count() == 9
+    assert told == {1: set(), 4: {("d", p) for p in range(3, 9)}}
