@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -27,6 +29,7 @@ def durable_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         named = tempfile.mkdtemp(prefix="tmloom-")
         spark.conf.set("spark.checkpoint.dir", named)
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     folder = f"{named.rstrip('/')}/tmloom-{spark.sparkContext.applicationId}"
     if folder not in _OWNED:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -41,11 +44,24 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the run's folder and read it back.
 
     Used where a second evaluation would cost a model call or could differ.
+    ``release`` drops the table before the application ends.
     """
     spark = df.sparkSession
     path = f"{durable_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` returned and nothing reads any more: those of the round before last, say."""
+    for table in tables:
+        at = getattr(table, "_written_at", None)
+        if at is not None:
+            spark = table.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def global_rank(
