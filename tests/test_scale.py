@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,15 +10,11 @@ from tmloom.operators.scale import (
     global_rank,
     materialize,
     previous_value,
+    release,
 )
 
 
-@pytest.mark.parametrize("seed", [1, 3])
 def test_released_tables_are_gone(spark):
-    from pathlib import Path
-
-    from tmloom.operators.scale import materialize, release
-
     table = materialize(spark.range(5), "kept")
     folder = Path(table._written_at.removeprefix("file:"))
     assert table.count() == 5 and folder.exists()
@@ -25,6 +22,7 @@ def test_released_tables_are_gone(spark):
     assert not folder.exists()
 
 
+@pytest.mark.parametrize("seed", [1, 3])
 def test_global_rank_of_sparse_ids(spark, seed):
     rng = random.Random(seed)
     ids = [rng.randrange(-(2**63), 2**63) for _ in range(200)] + rng.sample(range(0, 5000), 300) + [1 << 40, (1 << 40) + 7, -5, 1 << 61]
