@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmloom.operators.scale import materialize
+from tmloom.operators.scale import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has two columns of one type.  Alternating large and small stars:
     every round links the larger neighbours of a node, then the smaller ones,
     to the smallest; the number of rounds grows with the logarithm of a
-    component.  Each round is one written table of at most as many edges.
+    component.  Each round is one written table of at most as many edges; that of
+    the round before is dropped.
     """
     a, b = (F.col(c) for c in edges.columns)
     current = materialize(
@@ -36,9 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
         ).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        current = materialize(
+        before, current = current, materialize(
             small.select("a", F.col("m").alias("b"))
             .unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
             .distinct(),
             "edges",
         )
+        release(before)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmloom.operators.scale import materialize
+from tmloom.operators.scale import materialize, release
 
 DEGREE = 40
 REVERSE = 100  # links into a node that meet in one group; a node with more has several groups
@@ -247,7 +247,8 @@ def build_graph(
     edges = materialize(_best(first_graph(nodes, dtype, tables, CHUNK, seed), degree), "graph")
     small = materialize(_small(nodes, dtype), "small")
     for turn in range(rounds):
-        edges = materialize(descend(edges, small, degree, REVERSE, turn), "graph")
+        before, edges = edges, materialize(descend(edges, small, degree, REVERSE, turn), "graph")
+        release(before)
         fresh = edges.agg(F.avg(F.col("new").cast("int"))).first()[0]
         if fresh is None or fresh < SETTLED:
             break
