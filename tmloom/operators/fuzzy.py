@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tmloom.functions import fixed_values as fv
 from tmloom.functions.similarity import letters_bound, similarity, similarity_bound
 from tmloom.functions.text import tokens
-from tmloom.operators.scale import materialize
+from tmloom.operators.scale import materialize, release
 
 Segmenter = Callable[[Column], Column]
 
@@ -75,12 +75,16 @@ class PostingsIndex:
         return cls((materialize(last_postings(postings(history, segment), n), "postings"),), n, segment)
 
     def extended(self, rows: DataFrame) -> PostingsIndex:
-        """With the postings of successful ``rows`` (seq, src, tgt), which come after all others."""
+        """With the postings of successful ``rows`` (seq, src, tgt), which come after all others.
+
+        Parts that are merged are deleted, so an index is read no more once it was extended.
+        """
         added = materialize(last_postings(postings(rows, self.segment), self.n), "postings")
         first, *later = [*self.parts, added]
         if len(later) >= self.fan:
-            merged = last_postings(reduce(DataFrame.unionByName, later), self.n)
-            later = [materialize(merged, "postings")]
+            merged = materialize(last_postings(reduce(DataFrame.unionByName, later), self.n), "postings")
+            release(*later)
+            later = [merged]
         return replace(self, parts=(first, *later))
 
     def of_tokens(self, wanted: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from tmloom.operators import reports as rep
 from tmloom.operators import segment as seg
 from tmloom.operators.hints import glossary_hints
 from tmloom.operators.prompts import block_prompts
-from tmloom.operators.scale import global_rank, materialize
+from tmloom.operators.scale import global_rank, materialize, release
 from tmloom.plans.parameters import DocumentParameters
 from tmloom.sources import sinks
 from tmloom.sources.pages import pages_with_fallback
@@ -124,11 +124,12 @@ def translate_documents(
         fresh = a.fill_failed_blocks(requests, resolved, params.max_attempts)
         if wave < waves - 1:
             fresh = materialize(fresh, "fresh")
-            terms = materialize(
+            before, terms = terms, materialize(
                 terms.unionByName(_terms_of(fresh, wave + 1)).groupBy("doc_key", "source", "target").agg(
                     F.sum("frequency").alias("frequency"), F.min("first_seen").alias("first_seen")
                 ), "terms",
             )
+            release(before)
         sent.append((requests, tried, fresh))
     requests, tried, fresh = (reduce(DataFrame.unionByName, x) for x in zip(*sent))
     results = materialize(m.combine_results(hits, fresh), "results")
