@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tmloom.operators.scale import materialize
@@ -41,8 +41,8 @@ def highest_quotients(
     within n * weight / (2 * all weights) + 1 of the rounded share, so only
     quotients in that range are listed: a few for each row.  They are counted in
     ``_BINS`` bins of their group, before the shuffle; the bins above the one in
-    which the seats run out win whole, and only that one is put in order.
-    ``group`` and ``order`` together must tell the rows apart.
+    which the seats run out win whole, and only that one is put in order.  An
+    empty ``group`` takes all rows for one small group.  ``group`` and ``order`` together must tell the rows apart.
     """
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     ranged = (
@@ -66,37 +66,38 @@ def highest_quotients(
         *group, *order, weight, "_open",
         F.explode(F.when(last > F.col("_sure"), F.sequence(F.col("_sure") + 1, last))).alias("_k"),
     ).withColumn("_quotient", F.col(weight) / (2 * F.col("_k") - 1))
-    listed = materialize(listed.where("_quotient > 0"), "quotients")
-    keys = list(group) or [F.lit(0).alias("_one")]
-    names = list(group) or ["_one"]
-    spans = listed.groupBy(*keys).agg(F.min("_quotient").alias("_low"), F.max("_quotient").alias("_high"))
-    quotients = listed.select("*", *([] if group else keys)).join(spans, names)
+    by = w.orderBy(F.desc("_quotient"), *order, "_k")
+    listed = listed.where("_quotient > 0")
+    if group:
+        winners = _highest(listed, list(group), by)
+    else:  # one small group
+        winners = listed.withColumn("_rank", F.row_number().over(by)).where("_rank <= _open")
+    won = winners.groupBy(*group, *order).agg(F.count(F.lit(1)).alias("_won"))
+    return (
+        ranged.join(won, [*group, *order], "left")
+        .withColumn("seats", F.col("_sure") + F.coalesce("_won", F.lit(0)))
+        .drop("_all", "_n", "_part", "_margin", "_sure", "_open", "_won")
+    )
+
+
+def _highest(listed: DataFrame, group: list[str], by: WindowSpec) -> DataFrame:
+    """Of each group the ``_open`` first rows in the order ``by``, which begins with the highest ``_quotient``."""
+    listed = materialize(listed, "quotients")
+    spans = listed.groupBy(*group).agg(F.min("_quotient").alias("_low"), F.max("_quotient").alias("_high"))
     width = F.col("_high") - F.col("_low")
-    binned = quotients.withColumn(
-        "_bin",
-        F.when(width > 0, F.least(F.lit(_BINS - 1), F.floor((F.col("_quotient") - F.col("_low")) / width * _BINS)))
-        .otherwise(0).cast("int"),
+    place = F.floor((F.col("_quotient") - F.col("_low")) / width * _BINS)
+    binned = listed.join(spans, group).withColumn(
+        "_bin", F.when(width > 0, F.least(F.lit(_BINS - 1), place)).otherwise(0).cast("int")
     )
-    above = Window.partitionBy(*names).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*group).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     counted = (
-        binned.groupBy(*names, "_bin").agg(F.count(F.lit(1)).alias("_here"))
+        binned.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_here"))
         .withColumn("_above", F.coalesce(F.sum("_here").over(above), F.lit(0)))
     )
-    met = binned.join(counted, [*names, "_bin"]).where("_above < _open")
-    by = Window.partitionBy(*names).orderBy(F.desc("_quotient"), *order, "_k")
-    last = met.where("_above + _here > _open").withColumn("_rank", F.row_number().over(by)).where(
-        "_above + _rank <= _open"
-    )
-    won = (
-        met.where("_above + _here <= _open").select(*group, *order)
-        .unionByName(last.select(*group, *order))
-        .groupBy(*group, *order)
-        .agg(F.count(F.lit(1)).alias("_won"))
-    )
-    return (
-        ranged.join(won, [*group, *order], "left")
-        .withColumn("seats", F.col("_sure") + F.coalesce("_won", F.lit(0)))
-        .drop("_all", "_n", "_part", "_margin", "_sure", "_open", "_won")
+    met = binned.join(counted, [*group, "_bin"]).where("_above < _open")
+    last = met.where("_above + _here > _open").withColumn("_rank", F.row_number().over(by))
+    return met.where("_above + _here <= _open").unionByName(
+        last.where("_above + _rank <= _open").drop("_rank")
     )
 
 
