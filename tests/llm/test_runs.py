@@ -4,11 +4,12 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tmloom.llm.queries import QUERIES
+from tmloom.llm.queries import ORACLES, QUERIES
 from tmloom.llm.runs import Octave, periodic_runs, stitched, tile_fragments, z_function
 
 
@@ -111,4 +112,7 @@ def test_the_query(spark, tmp_path):
         assert r.exponent_milli == (1000 * best[1] // best[2] if runs else None)
         assert r.runs_sha256 == hashlib.sha256(lines.encode()).hexdigest()
         assert r.collapsed_sha256 == hashlib.sha256(collapsed(words, runs).encode()).hexdigest()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(db.execute(ORACLES["op13_periodic_runs"]).fetchall(), key=repr) == sorted(map(tuple, got.values()), key=repr)
     assert got[0].__fields__ == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]

@@ -360,7 +360,50 @@ def with_loops(docs: DataFrame) -> DataFrame:
     )
 
 
-@register("op13_periodic_runs")
+@register(
+    "op13_periodic_runs",
+    r"""
+WITH table_ AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+           lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+given AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),
+               lambda c: ascii(c)::BIGINT)),
+             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS h
+  FROM documents, table_),
+sized AS (
+  SELECT *, len(words)::BIGINT AS n, h // 10 AS g, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a FROM given),
+docs AS MATERIALIZED (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+           words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE words END AS w
+  FROM sized),
+placed AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS word FROM docs),
+-- five words at a time: a stretch of m matching places holds m - 4 matching fives
+fives AS (
+  SELECT r, n, i, string_agg(word, ' ') OVER f AS g, count(*) OVER f AS k FROM placed
+  WINDOW f AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+pairs AS (
+  SELECT a.r, a.i, b.i - a.i AS q FROM fives a JOIN fives b ON a.r = b.r AND a.g = b.g AND b.i > a.i
+  WHERE a.k = 5 AND b.k = 5 AND 4 * (b.i - a.i) <= a.n),
+stretches AS (
+  SELECT r, q, min(i) AS s, max(i) + 5 AS e
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs) GROUP BY r, q, island),
+runs AS MATERIALIZED (
+  SELECT r, s AS start, e - s + q AS length, min(q) AS period FROM stretches
+  WHERE e - s >= greatest(3 * q, 6 - q) GROUP BY r, s, e - s + q),
+told AS (
+  SELECT r, count(*) AS n_runs, min({'n': -length, 's': start, 'q': period}) AS best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY r),
+dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM placed ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s AS start, -best.n AS length, best.q AS period,
+       -1000 * best.n // best.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN told USING (r) LEFT JOIN kept USING (r)""",
+)
 def op13(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     found = periodic_runs(with_loops(docs), digest=True)
