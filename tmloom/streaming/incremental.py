@@ -10,6 +10,7 @@ id, so a batch that is repeated after a failure replaces its rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -73,13 +74,12 @@ def postings_table(spark: SparkSession, path: str, n: int) -> LevelTable:
     return LevelTable(spark, path, _POSTINGS, ["token"], lambda rows: fuzzy.last_postings(rows, n))
 
 
+@dataclass(frozen=True)
 class StoredPostings(fuzzy.PostingsIndex):
     """An index over a ``LevelTable`` of postings, as it was before a batch."""
 
-    def __init__(self, table: LevelTable, before: int, n: int, segment: fuzzy.Segmenter):
-        super().__init__((), n, segment)
-        object.__setattr__(self, "table", table)
-        object.__setattr__(self, "before", before)
+    table: LevelTable | None = None
+    before: int = 0
 
     def of_tokens(self, wanted: DataFrame) -> DataFrame:
         return self.table.read(wanted, self.before)
@@ -181,7 +181,7 @@ def run_incremental(
         first = F.lit(-(1 << 62)) + F.col("place")  # before all new lines
         todo = fresh.unionByName(waiting.select(first.alias("row_id"), "src"))
         _, _, new_rows, after = send_lines(
-            todo, StoredPostings(index, batch_id + 1, n, segment), next_seq, caller, verifier, params
+            todo, StoredPostings((), n, segment, table=index, before=batch_id + 1), next_seq, caller, verifier, params
         )
         new_rows = materialize(new_rows, "new_rows")
         failed = latest_progress(new_rows).where(F.col("tgt") == mark).select("src")
@@ -199,7 +199,9 @@ def run_incremental(
         leave(still.where(F.col("tries") < max_batches), after, batch_id + 1)
         append_progress(new_rows, progress_path, _run_id(batch_id))
 
-    seen = progress_log(spark, progress_path).select("src").distinct().groupBy("src")
+    # a first batch that is repeated finds its own rows in the log; its sources are still new
+    earlier = progress_log(spark, progress_path).where(F.col("run_id") != _run_id(0))
+    seen = earlier.select("src").distinct().groupBy("src")
     arrivals = lines.select("row_id", "src").groupBy("src").transformWithStateInPandas(
         FirstArrival(), outputStructType="row_id long, src string", outputMode="Append", timeMode="None",
         initialState=seen,
