@@ -316,8 +316,8 @@ cuts AS (
   SELECT word, n, substr(word, 1, k) AS l, substr(word, k + 1) AS r
   FROM (SELECT word, n, unnest(range(1, length(word))) AS k FROM grams WHERE length(word) > 1 AND n >= 5)),
 held AS (
-  SELECT word, any_value(c.n) AS n FROM cuts c JOIN grams a ON a.word = l JOIN grams b ON b.word = r, total
-  GROUP BY word HAVING bool_and(c.n::HUGEINT * total >= 20 * a.n::HUGEINT * b.n))"""
+  SELECT c.word, any_value(c.n) AS n FROM cuts c JOIN grams a ON a.word = l JOIN grams b ON b.word = r, total
+  GROUP BY c.word HAVING bool_and(c.n::HUGEINT * total >= 20 * a.n::HUGEINT * b.n))"""
 
 
 @register(
