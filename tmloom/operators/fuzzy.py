@@ -221,11 +221,10 @@ def fuzzy_candidates(pairs: DataFrame, min_similarity: float = fv.MIN_SIMILARITY
     A pair of texts is compared once for a range of batches, whatever the number
     of them it occurs in; the range bounds the group.  The bounds from lengths
     and letters are exact, so they remove only pairs that would fail anyway and
-    spare them the Python comparison.  Rows of a batch come together again, for
-    the steps that follow.
+    spare them the Python comparison.
     """
     near = compared_pairs(pairs, min_similarity).where(F.col("sim") > min_similarity)
-    return near.select("text", "hist_source", "sim", F.inline("met")).repartition(_tasks(pairs), "batch")
+    return near.select("text", "hist_source", "sim", F.inline("met"))
 
 
 def compared_pairs(pairs: DataFrame, min_similarity: float = fv.MIN_SIMILARITY) -> DataFrame:
@@ -243,11 +242,15 @@ def compared_pairs(pairs: DataFrame, min_similarity: float = fv.MIN_SIMILARITY)
 
 def first_passing_hit(candidates: DataFrame, best: bool = False) -> DataFrame:
     """(batch, hist_source, hist_target, sim, at): the first hit of each past
-    source, not its best one (unless ``best``)."""
+    source, not its best one (unless ``best``).
+
+    Rows of a batch come together, for the steps that follow.
+    """
     hit = F.struct("hist_target", "sim", "at")
     pick = F.max_by(hit, F.struct("sim")) if best else F.min_by(hit, "at")
     return (
-        candidates.groupBy("batch", "hist_source")
+        candidates.repartition(_tasks(candidates), "batch")
+        .groupBy("batch", "hist_source")
         .agg(pick.alias("_h"))
         .select("batch", "hist_source", "_h.hist_target", "_h.sim", "_h.at")
     )
