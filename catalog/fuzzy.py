@@ -125,9 +125,13 @@ def done(lines):
 
 
 def snapshot_pairs(spark, d):
-    lines = batched(spark, d)
-    posted = f.postings(history(spark, d))
-    return f.candidate_pairs(f.line_tokens(lines), f.snapshot_postings(wanted(lines), posted))
+    lines = f.line_tokens(batched(spark, d))
+    return f.in_batches(f.text_pairs(lines, f.postings(history(spark, d))), lines)
+
+
+def passing(spark, d):
+    lines = f.line_tokens(batched(spark, d))
+    return f.in_batches(f.similar_text_pairs(f.text_pairs(lines, f.postings(history(spark, d)))), lines)
 
 
 @register("line_tokens", sql("SELECT * FROM line_tokens", "line_tokens"))
@@ -185,11 +189,11 @@ add_chain("causal_")
     sql("SELECT batch, text, hist_source, hist_target, sim FROM passing", "passing"),
 )
 def _(spark, d):
-    return f.fuzzy_candidates(snapshot_pairs(spark, d)).drop("at")
+    return passing(spark, d).drop("at")
 
 
 def first_hits(spark, d):
-    return f.first_passing_hit(f.fuzzy_candidates(snapshot_pairs(spark, d)))
+    return f.first_passing_hit(passing(spark, d))
 
 
 @register(

@@ -181,3 +181,26 @@ def test_few_pairs_reach_python(spark):
     plain = pairs.withColumn("sim", sim.similarity("text", "hist_source")).where("sim > 0.1")
     as_rows = lambda df: sorted(map(repr, df.select("batch", "text", "hist_source", "at", "hist_target", "sim").collect()))
     assert as_rows(f.fuzzy_candidates(pairs)) == as_rows(plain)
+
+
+def test_a_snapshot_compares_texts_not_batches(spark):
+    """Pairs of texts are found and compared once, then meet the batches; the same rows as batch by batch."""
+    rows = [(n // 25, n % 25, f"{'pump valve seal'.split()[n % 3]} size {n % 20}") for n in range(2000)]
+    lines = spark.createDataFrame(rows, "batch long, pos int, src string")
+    history = spark.createDataFrame([(n, f"pump size {n % 15}", f"P{n}") for n in range(60)], "seq long, src string, tgt string")
+    tokens, posted = f.line_tokens(lines), f.postings(history)
+    pairs = f.text_pairs(tokens, posted, 5)
+    assert pairs.count() == pairs.select("text", "hist_source").distinct().count() < 1000
+    by_batch = f.candidate_pairs(tokens, f.snapshot_postings(tokens.select("batch", "token").distinct(), posted, 5))
+    as_rows = lambda df: sorted(map(repr, df.select(*by_batch.columns).collect()))
+    assert as_rows(f.in_batches(pairs, tokens)) == as_rows(by_batch)
+    near = f.in_batches(f.similar_text_pairs(pairs, 0.5), tokens)
+    assert as_rows(near) == as_rows(f.fuzzy_candidates(by_batch, 0.5))
+
+
+def test_pairs_are_told_apart_once_a_task():
+    known = {}
+    sources = ["large ring a", "large ring b", "old bolt"]
+    assert f.keep_distinct(sources, 0.8, 5, known) == [0, 2]
+    known[("large ring b", "large ring a")] = False
+    assert f.keep_distinct(sources, 0.8, 5, known) == [0, 1, 2]

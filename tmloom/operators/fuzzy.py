@@ -215,6 +215,42 @@ def candidate_pairs(lines: DataFrame, recent: DataFrame) -> DataFrame:
     )
 
 
+def text_pairs(lines: DataFrame, posted: DataFrame, n: int = fv.POSTINGS_PER_TOKEN) -> DataFrame:
+    """(text, hist_source, place, hist_target): the first meeting of each distinct text with each past source.
+
+    What a text meets in a snapshot is the same in every batch, so it is looked
+    up once for a text.  ``place`` = (token, posting) position.
+    """
+    recent = last_postings(posted, n).select(
+        "token", F.struct("seq", "tok_pos").alias("ord"), F.col("src").alias("hist_source"), F.col("tgt").alias("hist_target")
+    )
+    met = lines.select("text", "token", "tok_pos").distinct().join(recent, "token")
+    place = F.struct("tok_pos", "ord")
+    return (
+        met.groupBy("text", "hist_source")
+        .agg(F.min_by(F.struct(place.alias("place"), "hist_target"), place).alias("_m"))
+        .select("text", "hist_source", "_m.place", "_m.hist_target")
+    )
+
+
+def similar_text_pairs(pairs: DataFrame, min_similarity: float = fv.MIN_SIMILARITY) -> DataFrame:
+    """``text_pairs`` more similar than the threshold, with ``sim``: each is compared once, whatever its batches."""
+    # the bound from letters asks for the row, so it is not copied below the grouping
+    letters = F.when(F.col("place").isNotNull(), letters_bound("text", "hist_source"))
+    spread = pairs.repartition(_tasks(pairs), "text", "hist_source")
+    near = spread.where(similarity_bound("text", "hist_source") > min_similarity).where(letters > min_similarity)
+    return near.withColumn("sim", similarity("text", "hist_source")).where(F.col("sim") > min_similarity)
+
+
+def in_batches(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs of texts as pairs of the batches that hold the texts; ``at`` as in ``candidate_pairs``."""
+    held = lines.groupBy("batch", "text").agg(F.min("line_pos").alias("line_pos"))
+    rest = [c for c in pairs.columns if c not in ("text", "hist_source", "place", "hist_target")]
+    return held.join(pairs, "text").select(
+        "batch", "text", "hist_source", F.struct("line_pos", "place.tok_pos", "place.ord").alias("at"), "hist_target", *rest
+    )
+
+
 def fuzzy_candidates(pairs: DataFrame, min_similarity: float = fv.MIN_SIMILARITY) -> DataFrame:
     """Pairs more similar than the threshold, with ``sim``.
 
@@ -262,14 +298,22 @@ def rank_candidates(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order))
 
 
-def keep_distinct(sources: list[str], threshold: float, cap: int) -> list[int]:
+_REMEMBERED = 200_000  # compared pairs a task keeps before it starts afresh
+
+
+def keep_distinct(
+    sources: list[str], threshold: float, cap: int, known: dict[tuple[str, str], bool] | None = None
+) -> list[int]:
     """Indexes kept when each source is compared with those kept before it.
 
+    ``known`` tells of pairs compared before, at the same threshold, and is added to.
+
     The ratio never exceeds what the shared letters of two texts allow.  That
     bound is taken for all kept sources at once from letter counts; letters fall
     into a fixed number of bins, which can only raise it.  Only pairs above the
     bound are compared.
     """
+    known = {} if known is None else known
     lengths = np.array([len(source) for source in sources])
     counts = np.zeros((cap, _LETTER_BINS), dtype=np.int32)  # of the kept ones
     kept: list[int] = []
@@ -283,10 +327,13 @@ def keep_distinct(sources: list[str], threshold: float, cap: int) -> list[int]:
         bound = 2.0 * shared / np.maximum(lengths[kept] + lengths[i], 1)
         for at in np.flatnonzero((bound > threshold) | (lengths[kept] + lengths[i] == 0)):
             j = kept[at]
-            if j not in matchers:
-                matchers[j] = SequenceMatcher(None, "", sources[j])
-            matchers[j].set_seq1(source)
-            if matchers[j].ratio() > threshold:
+            pair = (source, sources[j])
+            if pair not in known:
+                if j not in matchers:
+                    matchers[j] = SequenceMatcher(None, "", sources[j])
+                matchers[j].set_seq1(source)
+                known[pair] = matchers[j].ratio() > threshold
+            if known[pair]:
                 break
         else:
             counts[len(kept)] = own
@@ -302,12 +349,16 @@ def suppress_near_duplicates(
     """(batch, rank, hist_source, hist_target): greedy selection in rank order.
 
     A batch is one request, so its candidates are bounded by lines, tokens and
-    postings per token; the greedy walk needs them together.
+    postings per token; the greedy walk needs them together.  The same past
+    sources meet in many batches: a task compares a pair of them once.
     """
+    known: dict[tuple[str, str], bool] = {}  # of a task
 
     def select(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(known) > _REMEMBERED:
+            known.clear()
         pdf = pdf.sort_values("rank", ignore_index=True)
-        return pdf.iloc[keep_distinct(pdf["hist_source"].tolist(), threshold, cap)]
+        return pdf.iloc[keep_distinct(pdf["hist_source"].tolist(), threshold, cap, known)]
 
     slim = ranked.select("batch", "rank", "hist_source", "hist_target")
     return slim.groupBy("batch").applyInPandas(
@@ -348,10 +399,13 @@ def retrieve_hints(
     lines = line_tokens(batched, segment)
     wanted = lines.select("batch", "token").distinct()
     if isinstance(history, PostingsIndex):
-        recent = snapshot_postings(wanted, history.of_tokens(wanted), postings_per_token)
+        posted = history.of_tokens(wanted)
     elif done is None:
-        recent = snapshot_postings(wanted, postings(history, segment), postings_per_token)
+        posted = postings(history, segment)
     else:
         recent = causal_postings(wanted, history, done, postings_per_token, segment)
-    hits = first_passing_hit(fuzzy_candidates(candidate_pairs(lines, recent), min_similarity))
+        hits = first_passing_hit(fuzzy_candidates(candidate_pairs(lines, recent), min_similarity))
+        return tm_lists(suppress_near_duplicates(rank_candidates(hits), threshold, cap))
+    passing = similar_text_pairs(text_pairs(lines, posted, postings_per_token), min_similarity)
+    hits = first_passing_hit(in_batches(passing, lines))
     return tm_lists(suppress_near_duplicates(rank_candidates(hits), threshold, cap))
