@@ -204,3 +204,10 @@ def test_pairs_are_told_apart_once_a_task():
     assert f.keep_distinct(sources, 0.8, 5, known) == [0, 2]
     known[("large ring b", "large ring a")] = False
     assert f.keep_distinct(sources, 0.8, 5, known) == [0, 1, 2]
+
+
+def test_far_batches_share_a_comparison(spark):
+    rows = [(n * 1500, 0, 0, "pump size 4") for n in range(20)]
+    pairs = spark.createDataFrame(rows, "batch long, at int, n int, text string").withColumn("hist_source", F.lit("pump size 5"))
+    pairs = pairs.withColumn("hist_target", F.lit("P"))
+    assert f.compared_pairs(pairs).count() == 1

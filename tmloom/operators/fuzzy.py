@@ -26,7 +26,7 @@ Segmenter = Callable[[Column], Column]
 
 _CHUNK_BATCHES = 256  # batches whose postings are counted by one window group
 _LETTER_BINS = 128
-_RANGE_BITS = 10  # batches among which a pair of texts is compared once
+_RANGE_BITS = 16  # batches among which a pair of texts is compared once
 
 
 def postings(history: DataFrame, segment: Segmenter = tokens) -> DataFrame:
