@@ -13,6 +13,7 @@ from tmloom.functions import fixed_values as fv
 from tmloom.operators import progress as p
 from tmloom.operators import reports as r
 from tmloom.operators import segment as seg
+from tmloom.operators.scale import numbered_in_place
 from tmloom.plans.score_pairs import attach_scores
 from tmloom.sources import files, sinks
 
@@ -143,10 +144,7 @@ def glossary(spark, d):
 )
 def _(spark, d):
     """The view with the place of each row in it."""
-    from catalog.batches import dense_rank
-
-    view = snake(r.glossary_view(r.glossary(s.results(spark, d))))
-    return dense_rank(view.withColumn("row_id", F.monotonically_increasing_id()))
+    return numbered_in_place(snake(r.glossary_view(r.glossary(s.results(spark, d)))), "n")
 
 
 _SUMMARY = f"""SELECT <keys> count(*) AS total, count(*) FILTER (status = 'ok') AS ok,

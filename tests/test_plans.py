@@ -7,7 +7,7 @@ from catalog import standins as s
 from tmloom.functions.text import block_id
 from tmloom.operators import fuzzy, memory, progress
 from tmloom.operators.batches import assign_batches, batch_requests
-from tmloom.operators.scale import global_rank
+from tmloom.operators.scale import global_rank, numbered_in_place
 from tmloom.operators.segment import to_blocks
 from tmloom.plans.translate_documents import plan_requests
 
@@ -89,3 +89,10 @@ def test_lookup_joins_once_by_equality(spark, plan):
     blocks = s.whole_blocks(spark, SF).withColumn("block_id", block_id("page", "block_no"))
     hits, _ = memory.lookup_exact(blocks, s.memory(spark, SF))
     assert "Join" not in plan(hits) and "Cartesian" not in plan(hits)
+
+
+def test_rows_in_order_are_numbered_where_they_are(spark, plan):
+    rows = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 5000).alias("v")).orderBy("v")
+    numbered = numbered_in_place(rows, "n")
+    assert numbered.where("n <> v").isEmpty() and numbered.count() == 5000
+    assert "rangepartitioning" not in plan(numbered)
