@@ -243,3 +243,10 @@ def test_ids_that_would_overflow_raise(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "_FILE_BITS", 4)
     with pytest.raises(Exception, match="too large a file"):
         files.read_lines(spark, str(tmp_path / "a.csv")).collect()
+
+
+def test_repeating_sinks_are_compressed_and_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("d", 1, "x\ny", [("a", "A")]), ("d", 2, None, [])], "doc_key string, page int, text string, term_pairs array<struct<source:string,target:string>>")
+    sinks.write_results_json(rows, str(tmp_path / "json"))
+    assert list((tmp_path / "json").glob("*.json.gz")) and not list((tmp_path / "json").glob("*.json"))
+    assert sorted(spark.read.schema(rows.schema).json(str(tmp_path / "json")).collect(), key=lambda r: r.page) == rows.collect()
