@@ -250,3 +250,8 @@ def test_repeating_sinks_are_compressed_and_read_back(spark, tmp_path):
     sinks.write_results_json(rows, str(tmp_path / "json"))
     assert list((tmp_path / "json").glob("*.json.gz")) and not list((tmp_path / "json").glob("*.json"))
     assert sorted(spark.read.schema(rows.schema).json(str(tmp_path / "json")).collect(), key=lambda r: r.page) == rows.collect()
+    flat = rows.drop("term_pairs")
+    out = sinks.write_tables(flat, flat, flat, str(tmp_path / "csv"))
+    back = spark.read.schema(flat.schema).options(header=True, escape='"', multiLine=True).csv(out["glossary"])
+    assert list((tmp_path / "csv" / "glossary").glob("*.csv.gz"))
+    assert sorted((r.page, r.text or "") for r in back.collect()) == [(1, "x\ny"), (2, "")]
