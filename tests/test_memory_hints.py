@@ -133,3 +133,34 @@ def test_top_hints_order(spark):
     (row,) = h.hint_lists(h.top_hints(found)).collect()
     assert [x.source for x in row.hints] == ["w", *words[:7]]
     assert row.page == 1
+
+
+@pytest.mark.parametrize("scope", [("doc_key",), ()])
+def test_blocks_that_first_terms_do_not_settle_meet_all_terms(spark, scope, monkeypatch):
+    monkeypatch.setattr(h, "LEADERS", 3, raising=False)
+    rng = random.Random(23)
+    alphabet = ["ab", "Ba", "c", " ", "-", "电缆", "+", "12"]
+    text = lambda n: "".join(rng.choices(alphabet, k=n))
+    block_rows = [(rng.choice("de"), p, 1, f"P{p}", text(rng.randint(0, 40))) for p in range(40)]
+    block_rows += [("d", 1, 1, "P1", "12 ab"), ("d", None, 1, "P", "ab c"), (None, 2, 1, "P2", "ab c"), ("d", 90, 1, "P90", None)]
+    pairs = {(rng.choice("de"), text(rng.randint(1, 4))) for _ in range(60)}
+    found, terms = contained(spark, block_rows, [(k, s, rng.randint(1, 3)) for k, s in sorted(pairs)], scope=scope)
+    for k in (1, 3):
+        want = sorted(map(repr, h.top_hints(found, k).select(*h.BLOCK_KEY, "source", "target", "rank").collect()))
+        assert sorted(map(repr, h.best_terms(blocks(spark, block_rows), terms, k, scope).collect())) == want
+        lists = sorted(map(repr, h.hint_lists(h.top_hints(found, k)).collect()))
+        assert sorted(map(repr, h.glossary_hints(blocks(spark, block_rows), terms, k, scope).collect())) == lists
+
+
+def test_settled_blocks_are_not_cut_into_words(spark, monkeypatch):
+    words = [f"w{i:03d}" for i in range(300)]
+    term_rows = [("d", w, 5 if i < 20 else 1) for i, w in enumerate(words)]
+    rows = [("d", 1, 1, "P", " ".join(words)), ("d", 2, 1, "P", " ".join(words[5:20]))]
+    _, terms = contained(spark, rows, term_rows)
+
+    def cut(*_):
+        raise AssertionError("cut into words")
+
+    monkeypatch.setattr(h, "_block_words", cut)
+    got = {r.page: [x.source for x in r.hints] for r in h.glossary_hints(blocks(spark, rows), terms).collect()}
+    assert got == {1: words[:8], 2: words[5:13]}
