@@ -1,5 +1,7 @@
 import itertools
 import random
+import time
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -199,6 +201,18 @@ def test_a_learned_dictionary_finds_its_words(spark):
     assert segmenter.learn_words(df.limit(0)).count() == 0
 
 
+def test_a_long_run_is_counted_in_one_pass(spark):
+    rng = random.Random(8)
+    run = "".join(rng.choices("电力缆铜芯", k=120_000))
+    df = spark.createDataFrame([(f"{run} x 电力 {run[:9]}",), ("泵",), (None,)], "text string")
+    began = time.monotonic()
+    words = segmenter.learn_words(df, cohesion=0)
+    got = {r.word: r.n for r in words.collect()}
+    assert time.monotonic() - began < 20  # a scan up to each character takes minutes
+    want = Counter(x[i : i + n] for x in (run, "电力", run[:9], "泵") for n in range(1, 5) for i in range(len(x) - n + 1))
+    assert got == {w: n for w, n in want.items() if len(w) == 1 or n >= 5}
+
+
 def test_operators_take_the_dictionary_as_segmenter(spark):
     segment = segmenter.DictionarySegmenter({"电力": 1, "电缆": 1})
     history = spark.createDataFrame([(1, "电力电缆", "power cable")], "seq long, src string, tgt string")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tmloom.functions.text import ColumnOrName, as_col
+from tmloom.operators.scale import materialize
 
 _HAN = r"\x{4e00}-\x{9fff}"
 _PIECE = re.compile("[一-鿿]+|[A-Za-z0-9]{2,}")
@@ -33,13 +34,12 @@ def learn_words(
     share of all characters, in thousandths.  Counts are whole numbers, added up
     before the shuffle.
     """
-    runs = texts.select(F.explode(F.regexp_extract_all(as_col(text_col), F.lit(f"[{_HAN}]+"), F.lit(0))).alias("run"))
-    sizes = F.sequence(F.lit(1), F.least(F.length("run"), F.lit(longest)))
-    of_size = lambda n: F.transform(
-        F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring("run", i, n)
-    )
-    grams = runs.select(F.explode(F.flatten(F.transform(sizes, of_size))).alias("word"))
-    counts = grams.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # a look-ahead matches at every character once, so a long run costs no more than many short ones
+    of_size = [
+        F.regexp_extract_all(as_col(text_col), F.lit(f"(?=([{_HAN}]{{{n}}}))"), F.lit(1)) for n in range(1, longest + 1)
+    ]
+    grams = texts.select(F.explode(F.concat(*of_size)).alias("word"))
+    counts = materialize(grams.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "grams")
     total = counts.where(F.length("word") == 1).agg(F.sum("n")).first()[0] or 0
     often = counts.where((F.length("word") > 1) & (F.col("n") >= least))
     cuts = often.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at")).select(
