@@ -211,3 +211,20 @@ def test_far_batches_share_a_comparison(spark):
     pairs = spark.createDataFrame(rows, "batch long, at int, n int, text string").withColumn("hist_source", F.lit("pump size 5"))
     pairs = pairs.withColumn("hist_target", F.lit("P"))
     assert f.compared_pairs(pairs).count() == 1
+
+
+def test_suppression_starts_no_python_group_for_a_batch(spark):
+    """A batch is a row whose list goes to Python with others, not a group of its own; equal lists are walked once."""
+    rows = [(b, r, s, s.upper()) for b in range(40) for r, s in enumerate(["blue valve M20", "blue valve M21", "pump"], 1)]
+    ranked = spark.createDataFrame(
+        rows, "batch long, rank int, hist_source string, hist_target string"
+    ).repartition(5)  # out of order
+    kept = f.suppress_near_duplicates(ranked, 0.8, 50)
+    assert "InPandas" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, kept.collect())) == sorted(
+        (b, r, s, s.upper()) for b in range(40) for r, s in ((1, "blue valve M20"), (3, "pump"))
+    )
+    # no more than the cap, and a batch without a number is a batch
+    few = f.suppress_near_duplicates(ranked.withColumn("batch", F.lit(None).cast("long")).limit(3), 2.0, 2)
+    assert few.schema.simpleString() == "struct<batch:bigint,rank:int,hist_source:string,hist_target:string>"
+    assert few.count() == 2

@@ -10,10 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -244,7 +243,8 @@ def similar_text_pairs(pairs: DataFrame, min_similarity: float = fv.MIN_SIMILARI
 
 def in_batches(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Pairs of texts as pairs of the batches that hold the texts; ``at`` as in ``candidate_pairs``."""
-    held = lines.groupBy("batch", "text").agg(F.min("line_pos").alias("line_pos"))
+    # a row for each line: few bytes when packed, far more as a broadcast table in the driver
+    held = lines.groupBy("batch", "text").agg(F.min("line_pos").alias("line_pos")).hint("merge")
     rest = [c for c in pairs.columns if c not in ("text", "hist_source", "place", "hist_target")]
     return held.join(pairs, "text").select(
         "batch", "text", "hist_source", F.struct("line_pos", "place.tok_pos", "place.ord").alias("at"), "hist_target", *rest
@@ -301,6 +301,12 @@ def rank_candidates(hits: DataFrame) -> DataFrame:
 _REMEMBERED = 200_000  # compared pairs a task keeps before it starts afresh
 
 
+@lru_cache(maxsize=10_000)
+def _letter_counts(source: str) -> np.ndarray:
+    points = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount(points % _LETTER_BINS, minlength=_LETTER_BINS)
+
+
 def keep_distinct(
     sources: list[str], threshold: float, cap: int, known: dict[tuple[str, str], bool] | None = None
 ) -> list[int]:
@@ -321,8 +327,7 @@ def keep_distinct(
     for i, source in enumerate(sources):
         if len(kept) >= cap:
             break
-        points = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), np.uint32)
-        own = np.bincount(points % _LETTER_BINS, minlength=_LETTER_BINS)
+        own = _letter_counts(source)
         shared = np.minimum(counts[: len(kept)], own).sum(axis=1)
         bound = 2.0 * shared / np.maximum(lengths[kept] + lengths[i], 1)
         for at in np.flatnonzero((bound > threshold) | (lengths[kept] + lengths[i] == 0)):
@@ -349,21 +354,37 @@ def suppress_near_duplicates(
     """(batch, rank, hist_source, hist_target): greedy selection in rank order.
 
     A batch is one request, so its candidates are bounded by lines, tokens and
-    postings per token; the greedy walk needs them together.  The same past
-    sources meet in many batches: a task compares a pair of them once.
+    postings per token; the greedy walk needs them together, as one list.  The
+    same past sources meet in many batches: a task compares a pair of them once.
     """
-    known: dict[tuple[str, str], bool] = {}  # of a task
+    rows = F.array_sort(F.collect_list(F.struct("rank", "hist_source", "hist_target")))
+    lists = ranked.groupBy("batch").agg(rows.alias("_rows"))
+    kept = F.transform(_kept_places(threshold, cap)("_rows.hist_source"), lambda i: F.get("_rows", i))
+    return lists.select(F.col("batch").cast("long").alias("batch"), F.inline(kept)).select(
+        "batch", F.col("rank").cast("int").alias("rank"), "hist_source", "hist_target"
+    )
 
-    def select(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(known) > _REMEMBERED:
-            known.clear()
-        pdf = pdf.sort_values("rank", ignore_index=True)
-        return pdf.iloc[keep_distinct(pdf["hist_source"].tolist(), threshold, cap, known)]
 
-    slim = ranked.select("batch", "rank", "hist_source", "hist_target")
-    return slim.groupBy("batch").applyInPandas(
-        select, "batch long, rank int, hist_source string, hist_target string"
-    )
+def _kept_places(threshold: float, cap: int) -> Callable[..., Column]:
+    """``keep_distinct`` over a column of lists: a list, too, is walked once in a task while it is remembered."""
+    known: dict[tuple[str, str], bool] = {}  # of a task, as the other two
+    walked: dict[tuple[str, ...], list[int]] = {}
+    held = [0]  # sources in ``walked``
+
+    def choose(sources: list[str]) -> list[int]:
+        key = tuple(sources)
+        if key not in walked:
+            if len(known) > _REMEMBERED:
+                known.clear()
+            if held[0] > _REMEMBERED:
+                walked.clear()
+                held[0] = 0
+            walked[key] = keep_distinct(sources, threshold, cap, known)
+            held[0] += len(key)
+        return walked[key]
+
+    # pickled in small portions, whatever the session's way of passing rows to Python
+    return F.udf(choose, "array<int>", useArrow=False)
 
 
 def tm_lists(kept: DataFrame) -> DataFrame:
