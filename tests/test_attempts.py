@@ -242,3 +242,31 @@ def test_a_replayed_record_is_added_up_once(spark, tmp_path):
     got = sorted(map(tuple, df.collect()))
     assert got == [(1, 1, "body 11"), (1, 2, "body 3"), (1, 3, "body 4"), (2, 1, "body 3"), (2, 2, "body 4"), (2, 3, "body 5")]
     assert "lineitem" not in df._jdf.queryExecution().toString()  # seven waves read the stored record
+
+
+def test_waves_broadcast_no_table_of_requests(spark, monkeypatch):
+    """Files of requests are packed: Spark would take them for small and send them through the driver."""
+    plans = []
+    write = a.materialize
+
+    def seen(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(a, "materialize", seen)
+    requests = spark.range(50).select(F.col("id").alias("request_id"), F.lit(1).alias("expected_lines"))
+
+    def caller(open_, attempt):
+        body = F.when((F.col("request_id") % 2 == 0) | F.lit(attempt == 2), F.lit("x"))
+        return open_.select(
+            "request_id", F.lit(attempt).alias("attempt"), F.lit(200).alias("status_code"),
+            F.lit(None).cast("string").alias("retry_after"), body.alias("body"),
+            F.when(body.isNull(), "down").alias("error_message"), F.lit(0.0).alias("elapsed_seconds"),
+        )
+
+    sent, tried = a.run_waves(requests, caller, a.line_judge(), 2, delay=a.line_delay(0.0))
+    done = a.fill_failed_lines(sent, a.resolve_attempts(tried, 2, ["lines"]))
+    plans.append(done._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("BroadcastHashJoin" in p for p in plans)
+    assert done.where(F.col("lines") == F.array(F.lit("x"))).count() == 50

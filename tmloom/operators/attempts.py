@@ -193,18 +193,22 @@ def run_waves(
     by their retry delay, form the next wave.  ``judge`` adds ``accepted``; it
     sees the answers and the request columns ``judge_by``, so a wave's table
     holds answers and no prompts.
+
+    The tables of a wave are rows for each request.  Their files are packed many
+    times over, so that Spark would take them for small and broadcast them
+    through the driver; the joins are merged instead.
     """
     requests = materialize(requests, "requests")
     still, waves = requests, []
     for attempt in range(1, max_attempts + 1):
         raw = materialize(caller(still, attempt), f"attempts{attempt}")
-        answered = requests.select(id_col, *judge_by).join(raw, id_col)
+        answered = requests.select(id_col, *judge_by).hint("merge").join(raw, id_col)
         judged = materialize(judge(answered), f"judged{attempt}")
         waves.append(judged)
         if attempt == max_attempts:
             break
-        accepted = judged.where("accepted").select(id_col)
-        delays = judged.select(id_col, delay().alias("wait_seconds"))
+        accepted = judged.where("accepted").select(id_col).hint("merge")
+        delays = judged.select(id_col, delay().alias("wait_seconds")).hint("merge")
         still = (
             still.drop("wait_seconds")
             .join(accepted, id_col, "left_anti")
@@ -333,7 +337,7 @@ def fill_failed_lines(
 ) -> DataFrame:
     """Requests with ``lines``; a failed batch gets the mark on every row."""
     lines = F.coalesce("lines", F.array_repeat(F.lit(mark), F.col("expected_lines")))
-    joined = requests.join(resolved, "request_id", "left")
+    joined = requests.join(resolved.hint("merge"), "request_id", "left")
     return joined.withColumns(
         {
             "lines": lines,
@@ -347,7 +351,7 @@ def fill_failed_scores(
 ) -> DataFrame:
     """Requests with ``scores``; a failed batch scores -1 on every row."""
     scores = F.coalesce("scores", F.array_repeat(F.lit(failed), F.col("expected_lines")))
-    return requests.join(resolved, "request_id", "left").withColumn("scores", scores)
+    return requests.join(resolved.hint("merge"), "request_id", "left").withColumn("scores", scores)
 
 
 def fill_failed_blocks(
@@ -357,7 +361,7 @@ def fill_failed_blocks(
     no_terms = F.array().cast("array<struct<source:string,target:string>>")
     joined = requests.select(
         "request_id", "doc_key", "page", "block_no", "block_id", "source_text"
-    ).join(resolved, "request_id", "left")
+    ).join(resolved.hint("merge"), "request_id", "left")
     return joined.select(
         "doc_key",
         "page",
