@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +166,39 @@ def test_settled_blocks_are_not_cut_into_words(spark, monkeypatch):
     monkeypatch.setattr(h, "_block_words", cut)
     got = {r.page: [x.source for x in r.hints] for r in h.glossary_hints(blocks(spark, rows), terms).collect()}
     assert got == {1: words[:8], 2: words[5:13]}
+
+
+def test_words_terms_and_entries_are_not_broadcast(spark, monkeypatch):
+    """Packed tables look small to Spark; as broadcast tables they fill the driver."""
+    plans = []
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    for module in (h, m):
+        monkeypatch.setattr(
+            module, "materialize", lambda df, name="table", w=module.materialize: (plans.append((name, plan(df))), w(df, name))[1]
+        )
+    blocks = spark.createDataFrame(
+        [("d", 1, 1, "A valve and a pump ring"), ("d", 2, 1, "no such thing")], "doc_key string, page int, block_no int, source_text string"
+    )
+    terms = spark.createDataFrame(
+        [("d", w, w.upper(), 1, i) for i, w in enumerate(["valve", "pump ring", "seal"])],
+        "doc_key string, source string, target string, frequency long, first_seen int",
+    )
+    monkeypatch.setattr(h, "LEADERS", 1)  # so that blocks meet the terms by their words
+    best = h.best_terms(blocks, terms, 1)
+    plans.append(("best", plan(best)))
+    assert [tuple(r) for r in best.collect()] == [("d", 1, 1, "pump ring", "PUMP RING", 1)]
+    result = "page int, block_id string, source_text string, translation string, term_pairs array<struct<source:string,target:string>>"
+    memory = spark.createDataFrame(
+        [(0, "d", hashlib.sha1(b"no such thing").hexdigest(), (2, "b", "no such thing", "x", []))],
+        f"seq long, doc_key string, source_hash string, result struct<{result.replace(' ', ':').replace(',:', ',')}>",
+    )
+    hits, misses = m.lookup_exact(blocks.withColumn("block_id", F.lit("b")), memory)
+    assert (hits.count(), misses.count()) == (1, 1)
+    assert {"several", "looked"} <= {name for name, _ in plans}
+    for name, text in plans:
+        # a row for each scope or partition may be broadcast, one for each word, term or block may not
+        keys = re.findall(r"BroadcastHashJoin \[([^\]]*)\]", text)
+        assert all(re.fullmatch(r"(doc_key|_part)#\d+L?", k) for k in keys), (name, keys)
