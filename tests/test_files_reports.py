@@ -255,3 +255,35 @@ def test_repeating_sinks_are_compressed_and_read_back(spark, tmp_path):
     back = spark.read.schema(flat.schema).options(header=True, escape='"', multiLine=True).csv(out["glossary"])
     assert list((tmp_path / "csv" / "glossary").glob("*.csv.gz"))
     assert sorted((r.page, r.text or "") for r in back.collect()) == [(1, "x\ny"), (2, "")]
+
+
+def test_glossary_sends_an_example_once_for_a_list_of_terms(spark):
+    """Terms travel as lists: far fewer rows than terms pass the shuffle, and no example stands beside each term."""
+    rows = [
+        entry(f"text {p} " + "x" * 300, "译", [(f"word {i}", f"词{i}") for i in range(p % 7, 400)] + [(f"word {p % 7}", f"词{p % 7}")], page=p)
+        for p in range(1, 21)
+    ]
+    found = r.glossary(results(spark, rows))
+    got = {(x.source, x.target): x for x in found.collect()}
+    assert len(got) == 400
+    one = got["word 3", "词3"]
+    assert one.frequency == sum(p % 7 <= 3 for p in range(1, 21)) + sum(p % 7 == 3 for p in range(1, 21))
+    assert one.pages == ", ".join(str(p) for p in range(1, 21) if p % 7 <= 3)
+    assert one.example == ("text 1 " + "x" * 300)[:180] and tuple(one.first_seen) == (1, 1, 2)
+    only = got["word 0", "词0"]
+    assert (only.frequency, only.pages, only.example[:6], tuple(only.first_seen)) == (4, "7, 14", "text 7", (7, 1, 0))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    (dealt,) = [i for i, x in enumerate(plan) if "RepartitionByExpression" in x]
+    assert any("posexplode" in x for x in plan[:dealt]) and not any("posexplode" in x for x in plan[dealt:])
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1
+
+
+def test_glossary_keeps_null_keys_and_repeated_blocks(spark):
+    pairs = "array<struct<source:string,target:string>>"
+    rows = [
+        (None, None, 1, "a", [("one", "1"), (None, "x"), ("two", None)]), (None, None, 1, "a", [("one", "1")]),
+        ("d", 1, 1, None, [("one", "1")]), ("d", 1, 1, "b", None), ("d", 2, 1, "c", []),
+    ]
+    df = spark.createDataFrame(rows, f"doc_key string, page int, block_no int, source_text string, term_pairs {pairs}")
+    got = sorted((tuple(x[:-1]) + tuple(x.first_seen) for x in r.glossary(df).collect()), key=repr)
+    assert got == [("d", "one", "1", 1, "1", None, 1, 1, 0), (None, "one", "1", 2, "", "a", None, 1, 0)]

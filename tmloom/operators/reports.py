@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmloom.functions import fixed_values as fv
@@ -23,6 +23,7 @@ from tmloom.functions.text import (
 from tmloom.operators.segment import skipped_page_lists
 
 BLOCK_ORDER = ("doc_key", "page", "block_no")
+TERM_PARTS = 8  # lists of a block's terms, and tasks that share a document's
 
 
 def order_results(results: DataFrame, block_id_as_text: bool = False) -> DataFrame:
@@ -83,31 +84,63 @@ def glossary(
 ) -> DataFrame:
     """(keys, source, target, frequency, pages, example, first_seen).
 
-    Everything is combined before the shuffle: a term found in a large part of
-    all blocks sends one row per task, and its page set is bounded by the page
-    numbers of a document.
+    The terms of a block travel as ``TERM_PARTS`` lists, with its page and its
+    example once for each list, so that a term sends little but its letters.
+    What a part of a document holds of a term is counted, and given the example
+    of the block that was first, where the lists arrive.
     """
-    at = F.struct("page", "block_no", "pos")
-    return (
+    part, block = [*keys, "_part"], [*keys, "_part", "_block"]
+
+    def term(pair: Column, pos: Column) -> Column:
+        source, target = normalize_term(pair["source"]), strip(pair["target"])
+        return F.struct(pos.alias("pos"), source.alias("source"), target.alias("target"))
+
+    lists = (
         results.select(
             *keys,
             "page",
             "block_no",
+            F.monotonically_increasing_id().alias("_block"),
             F.substring("source_text", 1, example_chars).alias("_text"),
-            F.posexplode("term_pairs").alias("pos", "pair"),
+            F.filter(F.transform("term_pairs", term), lambda t: (t["source"] != "") & (t["target"] != "")).alias("_terms"),
         )
-        .withColumns(
-            {"source": normalize_term("pair.source"), "target": strip("pair.target")}
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1))))
+        .withColumn(
+            "_terms",
+            F.filter("_terms", lambda t: F.pmod(F.xxhash64(t["source"], t["target"]), F.lit(TERM_PARTS)) == F.col("_part")),
         )
-        .where((F.col("source") != "") & (F.col("target") != ""))
-        .groupBy(*keys, "source", "target")
-        .agg(
-            F.count(F.lit(1)).alias("frequency"),
-            F.array_join(
-                F.array_sort(F.collect_set("page")).cast("array<string>"), ", "
-            ).alias("pages"),
-            F.min_by("_text", at).alias("example"),
-            F.min(at).alias("first_seen"),
+        .where(F.size("_terms") > 0)
+        # a list for each field packs better than one of structs
+        .select(*block, "page", "block_no", "_text", *(F.col(f"_terms.{c}").alias(c) for c in ("pos", "source", "target")))
+        .repartition(*part)
+    )
+    # one row of a list keeps the example for the others
+    rows = lists.select(
+        *block, "page", "block_no", "_text", F.posexplode(F.arrays_zip("pos", "source", "target")).alias("_i", "_term")
+    ).select(
+        *block, "page", "block_no", "_term.*", (F.col("_i") == 0).alias("_holds"),
+        F.when(F.col("_i") == 0, F.col("_text")).alias("_text"),
+    )
+    seen = Window.partitionBy(*part, "source", "target").orderBy("page", "block_no", "pos")
+    all_ = seen.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = rows.select(
+        "*",
+        (F.row_number().over(seen) == 1).alias("_first"),
+        F.count(F.lit(1)).over(all_).alias("frequency"),
+        F.collect_set("page").over(all_).alias("_pages"),
+    ).where(F.col("_first") | F.col("_holds"))
+    return (
+        counted.withColumn("_pages", F.when(F.col("_first"), F.col("_pages")))
+        .withColumn("example", F.max("_text").over(Window.partitionBy(*block)))
+        .where("_first")
+        .select(
+            *keys,
+            "source",
+            "target",
+            "frequency",
+            F.array_join(F.array_sort("_pages").cast("array<string>"), ", ").alias("pages"),
+            "example",
+            F.struct("page", "block_no", "pos").alias("first_seen"),
         )
     )
 
