@@ -202,3 +202,49 @@ def test_words_terms_and_entries_are_not_broadcast(spark, monkeypatch):
         # a row for each scope or partition may be broadcast, one for each word, term or block may not
         keys = re.findall(r"BroadcastHashJoin \[([^\]]*)\]", text)
         assert all(re.fullmatch(r"(doc_key|_part)#\d+L?", k) for k in keys), (name, keys)
+
+
+def test_parts_of_words_are_cut_after_the_shuffle(spark):
+    """Words travel to the heads of their parts; the parts, far more, stay where they are cut."""
+    rng = random.Random(5)
+    made = ["".join(rng.choices("abcn", k=rng.randint(1, 30))) for _ in range(120)]
+    words = spark.createDataFrame([(rng.choice("de"), w) for w in made] + [(None, "an"), ("d", None)], "doc_key string, _word string")
+    units = spark.createDataFrame(
+        [(rng.choice("de"), w[i : i + rng.randint(1, 9)]) for w in made for i in (0, 3, 11)] + [(None, "a"), ("d", "nbnb")],
+        "doc_key string, _unit string",
+    ).where("_unit <> ''")
+    for scope in (["doc_key"], []):
+        met = h._met(words, units, scope)
+        columns = [*scope, "_word", "_unit"]
+        got = sorted(map(tuple, met.select(*columns).collect()))
+        pairs = {
+            (*((w.doc_key,) if scope else ()), w._word, u._unit) for w in words.collect() for u in units.collect()
+            if w._word and u._unit in w._word and (not scope or w.doc_key == u.doc_key is not None)
+        }
+        assert got == sorted(pairs) and len(got) > 500
+        plan = met._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        (dealt,) = [i for i, x in enumerate(plan) if "RepartitionByExpression" in x]
+        assert any("explode" in x and "_part" in x for x in plan[:dealt])
+        # below it, a row for each character of a word at most, and one for each distinct character
+        long_ = spark.createDataFrame([("d", "".join(rng.choices("abcn", k=60)))], "doc_key string, _word string")
+        assert long_.select(F.explode(h._heads(F.col("_word")))).count() <= 60 + 4
+
+
+@pytest.mark.parametrize("scope", [("doc_key",), ()])
+def test_terms_met_by_many_words_do_not_travel_with_the_blocks(spark, scope, monkeypatch):
+    seen, w = {}, h.materialize
+    monkeypatch.setattr(h, "materialize", lambda df, name="table": seen.setdefault(name, w(df, name)))
+    monkeypatch.setattr(h, "LEADERS", 2)
+    text = " ".join(f"a{i}an" for i in range(50))
+    block_rows = [("d", p, 1, f"P{p}", f"{text} only{p}") for p in range(10)]
+    block_rows += [("d", 3, 1, "P3", "a0an once"), ("d", None, 1, "P", "an a0an x0 y"), (None, 5, 1, "P5", "an"), ("d", 7, 2, "P7", None)]
+    term_rows = [("d", s, 1) for s in ("a", "an", "A7AN", "only", "once", "a0an x0", "x0 y", "-", "  ")]
+    found, _ = contained(spark, block_rows, term_rows, scope=scope)
+    got = sorted(((r.doc_key or "", r.page if r.page is not None else -1, r.source) for r in found.collect()))
+    # pages without a number have their one-word terms; texts of one key count together
+    want = [("d", -1, s) for s in ("a", "an")] + [("d", p, s) for p in range(10) for s in ("A7AN", "a", "an", "only")] + [("d", 3, "once")]
+    want += [] if scope else [("", 5, "a"), ("", 5, "an")]
+    assert got == sorted(want)
+    assert {r.source for r in seen["common"].collect()} == {"a", "an"}
+    sent = seen["candidates"].where("source in ('a', 'an')").count()
+    assert sent == 0 and seen["candidates"].where("source = 'A7AN'").count() == 10
