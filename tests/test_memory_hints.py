@@ -248,3 +248,20 @@ def test_terms_met_by_many_words_do_not_travel_with_the_blocks(spark, scope, mon
     assert {r.source for r in seen["common"].collect()} == {"a", "an"}
     sent = seen["candidates"].where("source in ('a', 'an')").count()
     assert sent == 0 and seen["candidates"].where("source = 'A7AN'").count() == 10
+
+
+def test_only_scopes_with_open_blocks_put_all_their_terms_in_order(spark, monkeypatch):
+    monkeypatch.setattr(h, "LEADERS", 2)
+    seen, written, best, w = [], [], h._best_by_word, h.materialize
+    monkeypatch.setattr(h, "_best_by_word", lambda b, units, *a: (seen.append(units), best(b, units, *a))[1])
+    monkeypatch.setattr(h, "materialize", lambda df, name="table": (written.append(name), w(df, name))[1])
+    block_rows = [("d", 1, 1, "P1", "one two"), ("e", 1, 1, "P1", "six"), ("f", 1, 1, "P1", "one")]
+    term_rows = [("d", "one", 3), ("d", "two", 2), ("d", "six", 1), ("e", "one", 2), ("e", "two", 2), ("e", "six", 1), ("f", "one", 1)]
+    _, terms = contained(spark, block_rows, term_rows)
+    for stored in (False, True):
+        seen.clear(), written.clear()
+        hints = h.glossary_hints(blocks(spark, block_rows), terms, 2, stored=stored)
+        got = {r.doc_key: [x.source for x in r.hints] for r in hints.collect()}
+        assert got == {"d": ["one", "two"], "e": ["six"], "f": ["one"]}
+        assert {r.doc_key for r in seen[0].collect()} == {"e"}
+        assert ("units" in written) == (not stored)

@@ -37,8 +37,10 @@ def plan_requests(
     return requests_with(misses, m.term_frequencies(memory), params)
 
 
-def requests_with(misses: DataFrame, terms: DataFrame, params: DocumentParameters) -> DataFrame:
-    hints = glossary_hints(misses, terms, params.hints_per_block)
+def requests_with(
+    misses: DataFrame, terms: DataFrame, params: DocumentParameters, stored: bool = False
+) -> DataFrame:
+    hints = glossary_hints(misses, terms, params.hints_per_block, stored=stored)
     return block_prompts(misses, hints, params.system).withColumns(
         {
             "request_id": F.concat_ws("/", "doc_key", "block_id"),
@@ -109,7 +111,7 @@ def translate_documents(
     for wave in range(waves):
         part = misses.where(F.col("_wave") == wave).drop("_wave") if waves > 1 else misses
         requests, tried = a.run_waves(
-            requests_with(part, terms, params),
+            requests_with(part, terms, params, stored=waves > 1),
             caller,
             a.block_judge,
             params.max_attempts,
