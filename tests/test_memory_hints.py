@@ -265,3 +265,27 @@ def test_only_scopes_with_open_blocks_put_all_their_terms_in_order(spark, monkey
         assert got == {"d": ["one", "two"], "e": ["six"], "f": ["one"]}
         assert {r.doc_key for r in seen[0].collect()} == {"e"}
         assert ("units" in written) == (not stored)
+
+
+@pytest.mark.parametrize("scope", [("doc_key",), ()])
+def test_parts_of_words_are_looked_up_without_sorting(spark, scope, monkeypatch):
+    """The parts of words, most rows of the search, are neither sorted nor dealt again by themselves."""
+    plans, w = {}, h.materialize
+    monkeypatch.setattr(
+        h, "materialize", lambda df, name="table": (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), w(df, name))[1]
+    )
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting)
+    rng = random.Random(11)
+    made = ["".join(rng.choices("abn", k=rng.randint(1, 9))) for _ in range(60)] + ["banana", "--"]
+    block_rows = [(rng.choice("de"), p, 1, f"P{p}", " ".join(rng.choices(made, k=12)) + " --- ") for p in range(12)]
+    term_rows = [(rng.choice("de"), x, rng.randint(1, 3)) for x in {*made, "an", "a", "na b", "aN", "-", "--"}]
+    found, _ = contained(spark, block_rows, term_rows, scope=scope)
+    got = sorted((r.doc_key, r.page, r.source) for r in found.collect())
+    assert got == sorted(
+        (d, p, s) for d, p, _, _, text in block_rows for e, s, _ in term_rows if (not scope or d == e) and s.lower() in text.lower()
+    )
+    plan = plans["met"]
+    assert "Sort" not in plan and "Window" not in plan and plan.count("ShuffledHashJoin") == 2
+    assert not any("_unit" in x and "_at" in x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+    assert spark.conf.get(setting) == before
