@@ -96,3 +96,25 @@ def test_rows_in_order_are_numbered_where_they_are(spark, plan):
     numbered = numbered_in_place(rows, "n")
     assert numbered.where("n <> v").isEmpty() and numbered.count() == 5000
     assert "rangepartitioning" not in plan(numbered)
+
+
+def test_text_tables_that_make_enough_splits_are_not_dealt_again(spark, plan, tmp_path):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    for n, dealt in ((1, True), (8, False)):  # the test session has four cores
+        d = tmp_path / str(n)
+        docs.repartition(n, "doc_id").write.option("maxRecordsPerFile", 40 // n).parquet(f"{d}/documents.parquet")
+        rows = s.in_place(spark, str(d), "documents")
+        assert ("Exchange" in plan(rows)) == dealt
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_places_of_partitions_are_broadcast_not_the_rows_shuffled(spark, plan):
+    rows = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 5000).alias("v")).orderBy("v")
+    numbered = numbered_in_place(rows, "n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(numbered.select("*"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
